@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from aforo.functions.rows import drop_null_rows
 from aforo.operators.encode import apply_scaling, scaling
+from aforo.session import compact
 from aforo.sources.billing import sample_rows
 
 SEED = 42
@@ -41,6 +42,8 @@ def kmeans(
 ) -> KMeansModel:
     """The best of ``n_init`` restarts by training cost; persist the vectors first."""
 
+    vectors = compact(vectors, vectors.count())
+
     def fit(s: int) -> KMeansModel:
         return KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="zvec", predictionCol="cluster").fit(vectors)
 
@@ -126,8 +129,9 @@ def best_k_search(
     seed: int = SEED,
 ) -> DataFrame:
     """Silhouette per k on a seeded sample; k is skipped once it reaches the sample size."""
-    sample = sample_rows(vectors, sample_for_k, keys, seed).select(*keys, "zvec").persist()
-    n = sample.count()
+    drawn = sample_rows(vectors, sample_for_k, keys, seed).select(*keys, "zvec").persist()
+    n = drawn.count()
+    sample = compact(drawn, n).persist()
     ks = [k for k in range(k_min, k_max + 1) if k < n]
     fits = _in_parallel(
         lambda a: KMeans(
@@ -142,6 +146,7 @@ def best_k_search(
         labelled = best.transform(labelled)
     scores = silhouette_sample(labelled, keys, [f"k{k}" for k in ks], sample_for_k, seed)
     sample.unpersist()
+    drawn.unpersist()
     return scores.select(
         F.substring("labelling", 2, 3).cast("int").alias("k"), "silhouette", F.col("n").alias("n_sample")
     )

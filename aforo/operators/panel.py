@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,13 +79,12 @@ def sample_controls(
     hashed = candidates.select(*keys, key_hash(keys, seed).alias("_h"))
     chosen = smallest(hashed, "_h", ratio * n_treated, ties=keys)
     position = key_hash(keys, seed + 1) % F.lit(n_treated)
-    month: Column | None = None
-    upto = 0
-    for r in histogram:
-        upto += r["count"]
-        hit = position < upto
-        month = F.when(hit, r["mes_evento"]) if month is None else month.when(hit, r["mes_evento"])
-    return chosen.select(*keys, month.cast("int").alias("mes_evento"))
+    upto = list(itertools.accumulate(r["count"] for r in histogram))
+    bounds = F.array(*[F.lit(u).cast("long") for u in upto])
+    months = F.array(*[F.lit(r["mes_evento"]) for r in histogram])
+    return chosen.select(*keys, position.alias("_pos")).select(
+        *keys, F.get(months, F.size(F.filter(bounds, lambda b: b <= F.col("_pos")))).alias("mes_evento")
+    )
 
 
 def event_panel(

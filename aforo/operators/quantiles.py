@@ -64,12 +64,13 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame |
     return suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on the keys."""
-    cond = F.lit(True)
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join that keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def group_quantiles(
@@ -90,7 +91,7 @@ def group_quantiles(
     their other aggregates stay one mergeable aggregation, their quantiles come
     from ``select_quantiles``.
     """
-    keys, names = list(keys), list(probs)
+    keys = list(keys)
     if aggregates and not keys:
         raise ValueError("aggregates next to quantiles need a group key")
     if hot_rows is None:
@@ -105,17 +106,17 @@ def group_quantiles(
     else:
         spark = df.sparkSession
         key_schema = df.select(*keys).schema
-        hot_df = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in hot_keys], key_schema))
-        cold = df.join(hot_df, same_keys(df, hot_df, keys), "left_anti")
-        hot = df.join(hot_df, same_keys(df, hot_df, keys), "left_semi")
+        listed = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot_keys], key_schema)
+        hot_df = F.broadcast(listed.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cold = df.join(hot_df, same, "left_anti")
+        hot = df.join(hot_df, same, "left_semi")
 
     quantiles = select_quantiles(hot, keys, value, probs, method, hot_rows)
     if aggregates:
-        rest = hot.groupBy(*keys).agg(*aggregates)
-        joined = rest.join(quantiles, same_keys(rest, quantiles, keys), "left")
-        hot_out = joined.select(
-            *[rest[c] for c in rest.columns], *[quantiles[n] for n in names]
-        )
+        hot_out = join_on_keys(hot.groupBy(*keys).agg(*aggregates), quantiles, keys, "left")
     else:
         hot_out = quantiles
     if cold is None:
@@ -175,9 +176,7 @@ def select_quantiles(
                 "_n", "_min", "_max", "_cuts",
             )
         else:
-            located = targets.join(sketch, [*keys, "_i"]) if not keys else targets.join(
-                sketch, same_keys(targets, sketch, [*keys, "_i"])
-            ).select(targets["*"], *[sketch[c] for c in ("_n", "_min", "_max", "_cuts")])
+            located = join_on_keys(targets, sketch, groups)
         brackets = _brackets(located, keys).checkpoint()
 
         inside = _within(rows, brackets, keys, tagged="_i" in rows.columns)
@@ -203,10 +202,10 @@ def select_quantiles(
     ranked = distinct.withColumn("_end", F.sum("_c").over(upto)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
-    hit = ranked.join(targets, same_keys(ranked, targets, groups)).filter(
+    hit = join_on_keys(ranked, targets, groups).filter(
         (F.col("_start") <= F.col("_hi")) & (F.col("_end") > F.col("_lo"))
     )
-    picked = hit.groupBy(*[ranked[g] for g in groups]).agg(
+    picked = hit.groupBy(*groups).agg(
         (F.min("_v") + F.first("_frac") * (F.max("_v") - F.min("_v"))).alias("_q")
     )
     return picked.groupBy(*keys).agg(
@@ -238,11 +237,7 @@ def _attach(rows: DataFrame, brackets: DataFrame, keys: list[str], tagged: bool)
         )
     n = brackets.count()
     right = F.broadcast(brackets) if n <= MAX_BROADCAST_GROUPS else brackets
-    joined = rows.join(right, same_keys(rows, brackets, on))
-    return joined.select(
-        *[rows[k] for k in keys], brackets["_i"], rows["_v"],
-        *[brackets[c] for c in ("_frac", "_lo", "_hi", "_a", "_z")],
-    )
+    return join_on_keys(rows, right, on)
 
 
 def _within(rows, brackets, keys, tagged) -> DataFrame:

@@ -7,11 +7,12 @@ from aforo.functions.hashing import MODULUS, key_hash_sql
 from catalog.fixture import ORACLE_CONSUMO
 
 SAMPLE = 1_000
+SHIFT = 0.0173  # as in the queries: keeps short decimals off the rounding boundary
 TOTAL = "TOTAL (todos los distritos)"
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round(({expr}) + {SHIFT * 10.0**-digits!r}, {digits}) + 0.0 AS {name}"
 
 
 def rs(names, digits: int = 6, prefix: str = "") -> str:

@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {}
 CENTROIDS = [[-1.0] * 5, [0.0] * 5, [1.0] * 5]
 TARIFF = 5.0
 SAMPLE = 1_000
+SHIFT = 0.0173
 
 
 def register(fn: Query) -> Query:
@@ -44,10 +45,15 @@ def register(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a fixed number of decimals, without negative zero."""
+    """Doubles to a fixed number of decimals, without negative zero.
+
+    A short decimal can lie exactly on a rounding boundary, where engines
+    differ; a small shift moves it off, here and in the SQL.
+    """
+    shift = F.lit(SHIFT * 10.0**-digits)
     return df.select(
         *[
-            (F.round(f.name, digits) + 0.0).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
+            (F.round(F.col(f.name) + shift, digits) + 0.0).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
