@@ -13,6 +13,7 @@ from aforo.functions.hashing import key_hash
 from aforo.functions.measures import month_index
 from aforo.operators.aggregates import distinct_values, pivot_mean
 from aforo.operators.selection import smallest
+from aforo.session import checkpoint_dir
 
 WINDOW = 6
 CONTROLS_PER_TREATED = 2
@@ -26,34 +27,51 @@ def with_month(df: DataFrame, name: str = "mes") -> DataFrame:
 def unit_months(df: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
     """One state per unit and month: 1 if any record of the month is not subsidised, else 0.
 
+    ``otro`` marks months with a record that is anything but not subsidised.
     Coding the state as an integer keeps the aggregation in generated code; it
     combines map-side, so a unit with very many records is no problem.
     """
     state = F.when(F.col("situdu") == S.NOT_SUBSIDISED, 1).when(F.col("situdu") == S.SUBSIDISED, 0)
-    return with_month(df).groupBy(*keys, "mes").agg(F.max(state).alias("estado"))
+    other = F.when(F.col("situdu") == S.NOT_SUBSIDISED, 0).otherwise(1)
+    return with_month(df).groupBy(*keys, "mes").agg(F.max(state).alias("estado"), F.max(other).alias("otro"))
 
 
-def first_transition(
-    df: DataFrame, direction: str = "1to2", keys: Sequence[str] = UNIT
-) -> DataFrame:
-    """First month in which a unit's state changes in the given direction.
+def unit_history(df: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
+    """First change of state in each direction per unit, and whether it was never subsidised.
 
-    The window runs over unit-months, at most one row per month and unit.
+    One pass for treated and control units alike. The window runs over
+    unit-months, at most one row per month and unit.
     """
-    before, after = {"1to2": (0, 1), "2to1": (1, 0)}[direction]
-    in_time = Window.partitionBy(*keys).orderBy("mes")
+    before = Window.partitionBy(*keys).orderBy("mes").rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.last("estado", ignorenulls=True).over(before)
+
+    def first_change(old: int, new: int) -> Column:
+        return F.min(F.when((F.col("_prev") == old) & (F.col("estado") == new), F.col("mes")))
+
     return (
         unit_months(df, keys)
-        .filter(F.col("estado").isNotNull())
-        .withColumn("_prev", F.lag("estado").over(in_time))
-        .filter((F.col("_prev") == before) & (F.col("estado") == after))
+        .withColumn("_prev", prev)
         .groupBy(*keys)
-        .agg(F.min("mes").alias("mes_evento"))
+        .agg(
+            first_change(0, 1).alias("mes_1to2"),
+            first_change(1, 0).alias("mes_2to1"),
+            (F.max("otro") == 0).alias("nunca"),
+        )
     )
 
 
+def events_of(history: DataFrame, direction: str, keys: Sequence[str] = UNIT) -> DataFrame:
+    month = F.col(f"mes_{direction}")
+    return history.filter(month.isNotNull()).select(*keys, month.alias("mes_evento"))
+
+
+def first_transition(df: DataFrame, direction: str = "1to2", keys: Sequence[str] = UNIT) -> DataFrame:
+    """First month in which a unit's state changes in the given direction."""
+    return events_of(unit_history(df, keys), direction, keys)
+
+
 def never_treated(df: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
-    """Units whose every record is not subsidised."""
+    """Units whose every record is not subsidised; needs no order, hence no window."""
     other = F.when(F.col("situdu") == S.NOT_SUBSIDISED, 0).otherwise(1)
     return df.groupBy(*keys).agg(F.max(other).alias("_o")).filter(F.col("_o") == 0).select(*keys)
 
@@ -92,10 +110,11 @@ def event_panel(
 ) -> DataFrame:
     """Records of the units with an event, within ``window`` months of it.
 
-    An inner equi-join without a hint: Catalyst and AQE broadcast the events
-    when they measure small and split skewed units otherwise.
+    Further columns of ``events`` are carried along. An inner equi-join without
+    a hint: Catalyst and AQE broadcast the events when they measure small and
+    split skewed units otherwise.
     """
-    ev = events.select(*[F.col(k).alias(f"_{k}") for k in keys], "mes_evento")
+    ev = events.withColumnsRenamed({k: f"_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
@@ -109,27 +128,48 @@ def event_panel(
 
 
 def event_study_panel(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Both event types stacked, told apart by ``event_type``."""
-    parts = [
-        event_panel(df, first_transition(df, d), window).withColumn("event_type", F.lit(d))
-        for d in ("1to2", "2to1")
-    ]
-    return parts[0].unionByName(parts[1])
+    """Both event types stacked, told apart by ``event_type``: one history, one join."""
+    kinds = F.array(
+        *[
+            F.struct(F.lit(d).alias("event_type"), F.col(f"mes_{d}").alias("mes_evento"))
+            for d in ("1to2", "2to1")
+        ]
+    )
+    events = (
+        unit_history(df)
+        .select(*UNIT, F.explode(kinds).alias("e"))
+        .select(*UNIT, "e.event_type", "e.mes_evento")
+        .filter(F.col("mes_evento").isNotNull())
+    )
+    return event_panel(df, events, window)
+
+
+def with_post(panel: DataFrame) -> DataFrame:
+    return panel.withColumn("post", (F.col("t_rel") >= 0).cast("int"))
 
 
 def combine_panels(treated: DataFrame, controls: DataFrame) -> DataFrame:
     """Treated and control records with the ``treated`` and ``post`` indicators."""
-    both = treated.withColumn("treated", F.lit(1)).unionByName(controls.withColumn("treated", F.lit(0)))
-    return both.withColumn("post", (F.col("t_rel") >= 0).cast("int"))
+    return with_post(
+        treated.withColumn("treated", F.lit(1)).unionByName(controls.withColumn("treated", F.lit(0)))
+    )
 
 
 def did_panel(
     df: DataFrame, window: int = WINDOW, ratio: int = CONTROLS_PER_TREATED, seed: int = 42
 ) -> DataFrame:
-    """The difference-in-differences panel around losing the subsidy."""
-    treated = first_transition(df, "1to2")
-    controls = sample_controls(treated, never_treated(df), ratio, seed)
-    return combine_panels(event_panel(df, treated, window), event_panel(df, controls, window))
+    """The difference-in-differences panel around losing the subsidy.
+
+    The unit histories are read several times (histogram, sampling, join), so
+    they are checkpointed: one narrow row per unit. Treated and control events
+    then join the records once.
+    """
+    checkpoint_dir(df.sparkSession)
+    history = unit_history(df).checkpoint()
+    treated = events_of(history, "1to2")
+    controls = sample_controls(treated, history.filter("nunca"), ratio, seed)
+    events = treated.withColumn("treated", F.lit(1)).unionByName(controls.withColumn("treated", F.lit(0)))
+    return with_post(event_panel(df, events, window))
 
 
 def pretrend_means(panel: DataFrame, value: str = "volfac") -> DataFrame:

@@ -16,16 +16,17 @@ def smallest(df: DataFrame, hash_col: str, n: int, ties: Sequence[str]) -> DataF
     """The n rows with the smallest hash, ties broken by the given columns.
 
     A histogram of hash buckets (at most 65,536 rows) tells which bucket holds
-    the n-th row. Lower buckets are kept whole; only the one bucket on the
-    boundary is ranked, so no task sees more than about 1/65,536 of the rows.
+    the n-th row; only that bucket, about 1/65,536 of the rows, is ranked to
+    find it. The result is then a plain filter. ``ties`` must tell rows apart.
     """
     if n <= 0:
         return df.limit(0)
-    bucketed = df.withColumn("_b", F.shiftright(F.col(hash_col).cast("long"), BUCKET_BITS))
-    per_bucket = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    bucket = F.shiftright(F.col(hash_col).cast("long"), BUCKET_BITS)
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
-        per_bucket.withColumn("_upto", F.sum("_c").over(running))
+        df.groupBy(bucket.alias("_b"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(running))
         .filter(F.col("_upto") >= n)
         .orderBy("_b")
         .select("_b", (F.col("_upto") - F.col("_c")).alias("_before"))
@@ -33,15 +34,17 @@ def smallest(df: DataFrame, hash_col: str, n: int, ties: Sequence[str]) -> DataF
     )
     if cut is None:
         return df
-    below = bucketed.filter(F.col("_b") < cut["_b"]).drop("_b")
     rank = Window.partitionBy("_b").orderBy(hash_col, *ties)
-    boundary = (
-        bucketed.filter(F.col("_b") == cut["_b"])
+    last = (
+        df.select(bucket.alias("_b"), hash_col, *ties)
+        .filter(F.col("_b") == cut["_b"])
         .withColumn("_r", F.row_number().over(rank))
-        .filter(F.col("_r") <= n - cut["_before"])
-        .drop("_b", "_r")
+        .filter(F.col("_r") == n - cut["_before"])
+        .first()
     )
-    return below.unionByName(boundary)
+    order = [hash_col, *ties]
+    nth = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    return df.filter(F.struct(*order) <= nth)
 
 
 def hash_share(hash_col: str, share: float):

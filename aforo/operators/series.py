@@ -92,27 +92,34 @@ def centred_moving_average(series: DataFrame, period: int = PERIOD) -> DataFrame
     )
 
 
-def seasonal_decompose(series: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Additive decomposition of every series with at least two periods.
+def _decompose(series: DataFrame, period: int) -> DataFrame:
+    """Decomposition columns for every series; null where a series is too short.
 
     All windows share the partitioning by series, so there is one exchange.
     """
-    smooth = centred_moving_average(series, period).filter(F.col("n_puntos") >= 2 * period)
+    smooth = centred_moving_average(series, period)
+    long_enough = F.col("n_puntos") >= 2 * period
     by_position = Window.partitionBy("serie", "_p")
     whole = Window.partitionBy("serie")
     raw = F.avg(F.col("valor") - F.col("tendencia")).over(by_position)
     # the first period holds each position once
     centre = F.avg(F.when(F.col("t") < period, F.col("_raw"))).over(whole)
     return (
-        smooth.withColumn("_p", F.col("t") % period)
+        smooth.withColumn("tendencia", F.when(long_enough, F.col("tendencia")))
+        .withColumn("_p", F.col("t") % period)
         .withColumn("_raw", raw)
-        .withColumn("estacional", F.col("_raw") - centre)
+        .withColumn("estacional", F.when(long_enough, F.col("_raw") - centre))
         .withColumn("residuo", F.col("valor") - F.col("tendencia") - F.col("estacional"))
         .withColumn("posicion", F.col("_p") + 1)
         .drop("_p", "_raw")
     )
 
 
+def seasonal_decompose(series: DataFrame, period: int = PERIOD) -> DataFrame:
+    """Additive decomposition of every series with at least two periods."""
+    return _decompose(series, period).filter(F.col("n_puntos") >= 2 * period)
+
+
 def seasonal_component(series: DataFrame, period: int = PERIOD) -> DataFrame:
     return seasonal_decompose(series, period).select("serie", "nuanio", "nummes", "t", "estacional")
 
@@ -242,14 +249,44 @@ def dickey_fuller(series: DataFrame) -> DataFrame:
     return sums.select("serie", "n", F.try_divide(F.col("b"), se).alias("df_statistic"))
 
 
-def seasonal_summary(series: DataFrame, with_test: bool = True) -> DataFrame:
-    """One row per series: level, spread, trend, seasonality, peak and trough."""
-    dec = seasonal_decompose(series)
+def seasonal_summary(series: DataFrame, with_test: bool = True, period: int = PERIOD) -> DataFrame:
+    """One row per series: level, spread, trend, seasonality, peak and trough.
+
+    Every figure comes from one aggregation of the decomposed rows.
+    """
+    known = F.when(F.col("tendencia").isNotNull(), F.col("t"))
+    seasonal = F.col("estacional")
+    peak = F.max(F.when(seasonal.isNotNull(), F.struct(seasonal.alias("v"), (-F.col("posicion")).alias("m"))))
+    trough = F.min(F.when(seasonal.isNotNull(), F.struct(seasonal.alias("v"), F.col("posicion").alias("m"))))
     out = (
-        series_stats(series)
-        .join(trend_change(dec), "serie", "left")
-        .join(seasonal_amplitude(dec), "serie", "left")
-        .join(peak_trough_month(monthly_pattern(dec)), "serie", "left")
+        _decompose(series, period)
+        .groupBy("serie")
+        .agg(
+            F.count("valor").alias("n_puntos"),
+            F.avg("valor").alias("media"),
+            F.stddev_pop("valor").alias("std"),
+            F.min("valor").alias("min"),
+            F.max("valor").alias("max"),
+            F.min_by("tendencia", known).alias("tendencia_inicio"),
+            F.max_by("tendencia", known).alias("tendencia_fin"),
+            F.max(seasonal).alias("estacionalidad_max"),
+            F.min(seasonal).alias("estacionalidad_min"),
+            peak.alias("_b"),
+            trough.alias("_w"),
+        )
+        .select(
+            "serie", "n_puntos", "media", "std", "min", "max", "tendencia_inicio", "tendencia_fin",
+            ((F.try_divide(F.col("tendencia_fin"), F.col("tendencia_inicio")) - 1) * 100).alias(
+                "tendencia_cambio_pct"
+            ),
+            "estacionalidad_max",
+            "estacionalidad_min",
+            (F.col("estacionalidad_max") - F.col("estacionalidad_min")).alias("estacionalidad_amplitud"),
+            (-F.col("_b.m")).alias("mes_max"),
+            F.col("_b.v").alias("valor_max"),
+            F.col("_w.m").alias("mes_min"),
+            F.col("_w.v").alias("valor_min"),
+        )
     )
     return out.join(adf_test(series), "serie", "left") if with_test else out
 

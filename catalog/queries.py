@@ -75,6 +75,23 @@ def demand(spark, sf) -> DataFrame:
     return FT.district_demand(consumo(spark, sf))
 
 
+def stored(spark, df: DataFrame, name: str) -> DataFrame:
+    """A written table for what is read several times: in use, these tables live on disk."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def did_panel(spark, sf) -> DataFrame:
+    return stored(spark, P.did_panel(consumo(spark, sf)), "did-panel")
+
+
+def event_study_panel(spark, sf) -> DataFrame:
+    path = scratch_path(spark, "event-panel")
+    P.event_study_panel(consumo(spark, sf)).write.partitionBy("event_type").parquet(path)
+    return spark.read.parquet(path)
+
+
 def series_of(spark, sf) -> DataFrame:
     return T.districts_and_total(demand(spark, sf))
 
@@ -422,8 +439,8 @@ def pivot_mean(spark, sf):
 
 @register
 def first_transition(spark, sf):
-    fact = consumo(spark, sf)
-    parts = [P.first_transition(fact, d).withColumn("tipo", F.lit(d)) for d in ("1to2", "2to1")]
+    history = P.unit_history(consumo(spark, sf))
+    parts = [P.events_of(history, d).withColumn("tipo", F.lit(d)) for d in ("1to2", "2to1")]
     return parts[0].unionByName(parts[1])
 
 
@@ -434,8 +451,8 @@ def never_treated(spark, sf):
 
 @register
 def sample_controls(spark, sf):
-    fact = consumo(spark, sf)
-    return P.sample_controls(P.first_transition(fact, "1to2"), P.never_treated(fact), ratio=1)
+    history = stored(spark, P.unit_history(consumo(spark, sf)), "unit-history")
+    return P.sample_controls(P.events_of(history, "1to2"), history.filter("nunca"), ratio=1)
 
 
 @register
@@ -537,7 +554,7 @@ def sort_multi(spark, sf):
 
 def scored_units(spark, sf) -> DataFrame:
     """Units with mean consumption as the score to cut."""
-    return IF.contamination_cut(units(spark, sf), "consumo_promedio")
+    return IF.contamination_cut(stored(spark, units(spark, sf), "units"), "consumo_promedio")
 
 
 @register
@@ -794,14 +811,14 @@ def cluster_robust_se(spark, sf):
 
 @register
 def event_study(spark, sf):
-    panel = P.event_study_panel(consumo(spark, sf))
+    panel = event_study_panel(spark, sf)
     plain = G.event_study(panel, categorical=(), numerics=(), trend=False)
     return rounded(plain.select("event_type", "baseline", "term", "coef", "std_error", "n_obs", "n_clusters", "r2"))
 
 
 @register
 def event_study_covariates(spark, sf):
-    return rounded(G.coef_interval(G.event_study(P.event_study_panel(consumo(spark, sf)))))
+    return rounded(G.coef_interval(G.event_study(event_study_panel(spark, sf))))
 
 
 @register
@@ -817,14 +834,14 @@ def did_basic(spark, sf):
 
 @register
 def did_ols_saturated(spark, sf):
-    panel = P.did_panel(consumo(spark, sf))
+    panel = did_panel(spark, sf)
     plain = G.did_ols_cluster(panel, categorical=(), numerics=())
     return rounded(plain.select("term", "coef", "std_error", "n_obs", "n_clusters", "r2"))
 
 
 @register
 def did_ols_cluster(spark, sf):
-    return rounded(G.did_ols_cluster(P.did_panel(consumo(spark, sf))))
+    return rounded(G.did_ols_cluster(did_panel(spark, sf)))
 
 
 # ---- impact ----
