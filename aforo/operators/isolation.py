@@ -105,7 +105,7 @@ def isolation_forest_fit(
                           features)
     limit = math.ceil(math.log2(max(sample_size, 2)))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         ordered = pdf.sort_values(keys)[features].to_numpy(dtype=float)
         nodes = _grow(ordered, np.random.default_rng([seed, tree]), limit)

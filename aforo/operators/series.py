@@ -213,7 +213,7 @@ def _adf_of(values: np.ndarray) -> tuple[float | None, int | None]:
 def adf_test(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant; the lag minimises AIC."""
 
-    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tau, lag = _adf_of(pdf.sort_values(["nuanio", "nummes"])["valor"].to_numpy())
         p = None if tau is None else mackinnon_p(tau)
         return pd.DataFrame(
