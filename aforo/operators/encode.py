@@ -51,11 +51,6 @@ def feature_vector(
     return Pipeline(stages=[assembler]).fit(out).transform(out)
 
 
-def is_test(keys: Sequence[str], share: float = TEST_SHARE, seed: int = SEED) -> Column:
-    """Membership of the test part by key hash: the same on any cluster and after any retry."""
-    return key_hash(keys, seed) < int(share * 2_147_483_647)
-
-
 def train_test_split(
     df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:

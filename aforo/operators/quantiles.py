@@ -192,11 +192,11 @@ def select_quantiles(
         if missed:
             raise ArithmeticError("the sketch did not bracket a wanted rank")
         rows, groups = inside, [*keys, "_i"]
-        largest = counts.filter(F.col("_a") < F.col("_z")).agg(F.max("_in")).first()[0]
+        # repeated values collapse before the ranking, so only distinct ones count
+        largest = counts.agg(F.max("_distinct")).first()[0]
         if largest is None or largest <= stop_rows:
             break
 
-    # equal values collapse before the ranking, so ties cost nothing
     distinct = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = distinct.withColumn("_end", F.sum("_c").over(upto)).withColumn(
@@ -255,5 +255,8 @@ def _counts(rows, brackets, keys, tagged) -> DataFrame:
         .agg(
             F.count_if(F.col("_v") < F.col("_a")).alias("_below"),
             F.count_if(F.col("_v").between(F.col("_a"), F.col("_z"))).alias("_in"),
+            F.approx_count_distinct(
+                F.when(F.col("_v").between(F.col("_a"), F.col("_z")), F.col("_v"))
+            ).alias("_distinct"),
         )
     )

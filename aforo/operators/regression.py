@@ -21,6 +21,7 @@ from aforo.functions.measures import month_index
 
 CLUSTER = ["codcon", "codudu"]
 MAX_TERMS = 2_000
+CELL_GAIN = 10
 Z_95 = 1.96
 TREND = "mes_abs"
 
@@ -178,16 +179,34 @@ class Fit:
         return rows
 
 
-def ols_normal_equations(df: DataFrame, outcome: str, terms: Sequence[Term]) -> Fit:
+def few_cells(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether the distinct regressor combinations are far fewer than the rows."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*columns)).alias("d")
+    ).first()
+    return row["d"] * CELL_GAIN < row["n"]
+
+
+def ols_normal_equations(
+    df: DataFrame, outcome: str, terms: Sequence[Term], cells: Sequence[str] | None = None
+) -> Fit:
     """One pass: all products of regressors and outcome, then a k x k solve.
 
+    ``cells`` names the columns the terms read. Rows equal in them are then
+    pooled first, map-side, and only pooled rows reach Python: the products
+    need no more than count, sum and sum of squares of the outcome per cell.
     Columns are scaled to unit length before the pseudo-inverse, so its cut-off
     sees collinearity and not units. A collinear design keeps the minimum-norm
     solution and reports its rank.
     """
     y = F.col(outcome).cast("double")
     k = len(terms)
-    products = _as_matrix(product_matrix(df, [*[t.centred() for t in terms], F.lit(1.0), y]), k + 2)
+    pooled = df.withColumns({"_n": F.lit(1.0), "_s": y, "_q": y * y})
+    if cells:
+        pooled = pooled.groupBy(*cells).agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_q")])
+    root = F.sqrt("_n")
+    vector = [*[t.centred() * root for t in terms], root, F.col("_s") / root, F.sqrt("_q")]
+    products = _as_matrix(product_matrix(pooled, vector), k + 3)
     xx, xy = products[:k, :k], products[:k, k + 1]
     n = int(round(products[k, k]))
     if n == 0:
@@ -198,7 +217,7 @@ def ols_normal_equations(df: DataFrame, outcome: str, terms: Sequence[Term]) ->
     cutoff = k * np.finfo(float).eps * 100
     bread = np.linalg.pinv(normal, rcond=cutoff, hermitian=True) / np.outer(scale, scale)
     rank = int(np.linalg.matrix_rank(normal, tol=cutoff * np.linalg.norm(normal, 2), hermitian=True))
-    sum_y, sum_y2 = products[k, k + 1], products[k + 1, k + 1]
+    sum_y, sum_y2 = products[k, k + 1], products[k + 2, k + 2]
     return Fit(list(terms), y, bread @ xy, bread, rank, n, float(sum_y2 - sum_y**2 / n))
 
 
@@ -231,10 +250,14 @@ def cluster_robust(df: DataFrame, fit: Fit, cluster: Sequence[str] = CLUSTER) ->
 
 
 def ols(
-    df: DataFrame, outcome: str, terms: Sequence[Term], cluster: Sequence[str] | None = CLUSTER
+    df: DataFrame,
+    outcome: str,
+    terms: Sequence[Term],
+    cluster: Sequence[str] | None = CLUSTER,
+    cells: Sequence[str] | None = None,
 ) -> DataFrame:
     """Coefficient table of one regression."""
-    fit = ols_normal_equations(df, outcome, terms)
+    fit = ols_normal_equations(df, outcome, terms, cells)
     if cluster:
         cluster_robust(df, fit, cluster)
     return df.sparkSession.createDataFrame(fit.coefficients(), COEFFICIENT_SCHEMA)
@@ -270,8 +293,8 @@ def event_study(
 ) -> DataFrame:
     """Dynamic effects by relative month, one regression per event type.
 
-    Types without t = -1 or t = 0 are skipped. Each type costs three scans of
-    its rows: levels and means, products, scores. Store the panel partitioned by
+    Types without t = -1 or t = 0 are skipped. Each type costs a few
+    scans of its rows: levels and means, cells, products, scores. Store the panel partitioned by
     ``event_type`` so that each scan reads its own files only.
     """
     from aforo.operators.panel import baseline_of
@@ -286,7 +309,9 @@ def event_study(
             continue
         terms = [intercept(), *[indicator("t_rel", t, f"t_rel__{t}") for t in times if t != base]]
         terms += covariate_terms(rows, categorical, numerics, trend)
-        fit = cluster_robust(rows, ols_normal_equations(rows, outcome, terms), cluster)
+        cells = ["t_rel", "nuanio", "nummes", *[c for c in [*numerics, *categorical] if c in rows.columns]]
+        pool = cells if few_cells(rows, cells) else None
+        fit = cluster_robust(rows, ols_normal_equations(rows, outcome, terms, pool), cluster)
         results += [(kind, base, *r) for r in fit.coefficients()]
     table = panel.sparkSession.createDataFrame(
         results, f"event_type string, baseline int, {COEFFICIENT_SCHEMA}"
@@ -321,4 +346,5 @@ def did_ols_cluster(
         numeric(both, "treated_post"),
         *covariate_terms(rows, categorical, numerics, trend=False),
     ]
-    return ols(rows, outcome, terms, cluster)
+    cells = ["treated", "post", *numerics, *[c for c in categorical if c in rows.columns]]
+    return ols(rows, outcome, terms, cluster, cells if few_cells(rows, cells) else None)

@@ -130,14 +130,14 @@ def minibatch_kmeans(
             .groupBy("cluster")
             .agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(c) for c in columns]).alias("_s"))
         )
-        new_weight = F.col("weight") + F.col("_n")
-        moved = F.zip_with(
-            "centre", "_s", lambda c, s: (c * F.col("weight") + s) / new_weight
-        )
-        state = old.join(sums, "cluster", "left").select(
+        # own names: inside a lambda, a name the select also defines would mean the new value
+        before = old.select("cluster", F.col("weight").alias("_w"), F.col("centre").alias("_c"))
+        new_weight = F.col("_w") + F.col("_n")
+        moved = F.zip_with("_c", "_s", lambda c, s: (c * F.col("_w") + s) / new_weight)
+        state = before.join(sums, "cluster", "left").select(
             "cluster",
-            F.coalesce(new_weight, F.col("weight")).alias("weight"),
-            F.coalesce(F.when(F.col("_n") > 0, moved), F.col("centre")).alias("centre"),
+            F.coalesce(new_weight, F.col("_w")).alias("weight"),
+            F.coalesce(F.when(F.col("_n") > 0, moved), F.col("_c")).alias("centre"),
         )
         _store(state, state_path, batch_id)
 

@@ -385,7 +385,7 @@ ORACLE: dict[str, str] = {
     "derived_spread": sql(
         f"SELECT codcon, {r('MAX(volfac) - MIN(volfac)', 'consumo_rango')} FROM consumo GROUP BY 1", "consumo"),
     "filter_eq": sql(
-        f"SELECT codudu, nuanio, nummes, {rs(['volfac'])} FROM consumo WHERE nomdis = 'PERU'", "consumo"),
+        f"SELECT codudu, nuanio, nummes, {rs(['volfac'])} FROM consumo WHERE nomdis = 'NATION_7'", "consumo"),
     "filter_lt": sql(
         "SELECT event_type, t_rel, COUNT(*) AS n FROM panel WHERE t_rel < 0 GROUP BY 1, 2", "panel"),
     "drop_null_rows": sql(
@@ -538,6 +538,12 @@ ORACLE: dict[str, str] = {
             f"SELECT '{f}' AS feature, COUNT(*) AS n, {r(f'AVG({f})', 'mean')}, {r(f'STDDEV_POP({f})', 'std')} FROM bz"
             for f in CLUSTER_B
         ), "bz"),
+    "minibatch_kmeans_one_batch": sql(
+        "\nUNION ALL\n".join(
+            f"""SELECT cluster, CAST(COUNT(*) AS DOUBLE) AS weight, CAST({i} AS INT) AS dim, {r(f'AVG(z_{f})', 'centre')}
+            FROM labelled GROUP BY cluster"""
+            for i, f in enumerate(CLUSTER_B)
+        ), "labelled"),
     "assign_clusters": sql("SELECT codcon, cluster FROM labelled", "labelled"),
     "cluster_profiles": sql(
         f"""SELECT cluster, COUNT(*) AS n, {r('COUNT(*) * 100.0 / (SELECT COUNT(*) FROM labelled)', 'pct')},

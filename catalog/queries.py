@@ -268,7 +268,7 @@ def derived_spread(spark, sf):
 @register
 def filter_eq(spark, sf):
     return rounded(
-        R.filter_eq(consumo(spark, sf), "nomdis", "PERU").select("codudu", "nuanio", "nummes", "volfac")
+        R.filter_eq(consumo(spark, sf), "nomdis", "NATION_7").select("codudu", "nuanio", "nummes", "volfac")
     )
 
 
@@ -695,6 +695,18 @@ def minibatch_kmeans(spark, sf):
     return rounded(centres.select("cluster", "weight", F.posexplode("centre").alias("dim", "centre")), 4)
 
 
+@register
+def minibatch_kmeans_one_batch(spark, sf):
+    """All files in one batch: each centre becomes the mean of the rows assigned to it."""
+    wanted = S.CLUSTER_FEATURES["B"]
+    path, stored_rows = stored_features(spark, sf, 500)
+    scales = E.scaling(R.drop_null_rows(stored_rows, wanted), wanted)
+    stream = INC.stream_table(spark, path, stored_rows.schema, files_per_batch=1_000_000)
+    state, check = scratch_path(spark, "kmeans-state"), scratch_path(spark, "kmeans-stream")
+    centres = INC.minibatch_kmeans(stream, wanted, scales, CENTROIDS, state, check)
+    return rounded(centres.select("cluster", "weight", F.posexplode("centre").alias("dim", "centre")))
+
+
 def labelled_connections(spark, sf) -> DataFrame:
     wanted = S.CLUSTER_FEATURES["B"]
     rows = R.drop_null_rows(connections(spark, sf).select("codcon", *wanted), wanted)
