@@ -75,18 +75,27 @@ def design_matrix(df: DataFrame, terms: Sequence[Term], keep: Sequence[str] = ()
 
 
 def design_statistics(
-    df: DataFrame, categorical: Sequence[str], numerics: Sequence[str | Column]
-) -> tuple[dict[str, list], list[float]]:
-    """Sorted levels of the categorical columns and means of the numeric ones, in one pass."""
-    if not categorical and not numerics:
-        return {}, []
+    df: DataFrame,
+    categorical: Sequence[str],
+    numerics: Sequence[str | Column],
+    cells: Sequence[str] = (),
+) -> tuple[dict[str, list], list[float], bool]:
+    """What a design needs to know about its rows, in one pass.
+
+    Sorted levels of the categorical columns, means of the numeric ones, and
+    whether the distinct combinations of ``cells`` are far fewer than the rows.
+    """
+    if not categorical and not numerics and not cells:
+        return {}, [], False
     cols = [F.array_sort(F.collect_set(c)).alias(f"l{i}") for i, c in enumerate(categorical)]
     cols += [F.avg(c).alias(f"m{i}") for i, c in enumerate(numerics)]
-    row = df.agg(*cols).first()
+    distinct = F.approx_count_distinct(F.struct(*cells)) if cells else F.lit(0)
+    row = df.agg(*cols, F.count(F.lit(1)).alias("n"), distinct.alias("d")).first()
     levels = {c: list(row[f"l{i}"]) for i, c in enumerate(categorical)}
     if sum(len(v) for v in levels.values()) > MAX_TERMS:
         raise ValueError("too many levels for a dense design; pass fewer categorical columns")
-    return levels, [float(row[f"m{i}"] or 0.0) for i in range(len(numerics))]
+    means = [float(row[f"m{i}"] or 0.0) for i in range(len(numerics))]
+    return levels, means, bool(cells) and row["d"] * CELL_GAIN < row["n"]
 
 
 def product_matrix(df: DataFrame, vector: Sequence[Column]) -> DataFrame:
@@ -179,14 +188,6 @@ class Fit:
         return rows
 
 
-def few_cells(df: DataFrame, columns: Sequence[str]) -> bool:
-    """Whether the distinct regressor combinations are far fewer than the rows."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*columns)).alias("d")
-    ).first()
-    return row["d"] * CELL_GAIN < row["n"]
-
-
 def ols_normal_equations(
     df: DataFrame, outcome: str, terms: Sequence[Term], cells: Sequence[str] | None = None
 ) -> Fit:
@@ -269,17 +270,25 @@ def complete_rows(panel: DataFrame, outcome: str, needed: Sequence[str]) -> Data
 
 
 def covariate_terms(
-    rows: DataFrame, categorical: Sequence[str], numerics: Sequence[str], trend: bool
-) -> list[Term]:
-    """Centred trend and covariates, then drop-first dummies."""
+    rows: DataFrame,
+    categorical: Sequence[str],
+    numerics: Sequence[str],
+    trend: bool,
+    also: Sequence[str] = (),
+) -> tuple[list[Term], dict[str, list], list[str] | None]:
+    """Centred trend and covariates, then drop-first dummies.
+
+    Also returns the levels found, with those of the ``also`` columns, and the
+    columns to pool rows by, or None where pooling would not pay.
+    """
     categorical = [c for c in categorical if c in rows.columns]
     numerics = [c for c in numerics if c in rows.columns]
-    month = month_index("nuanio", "nummes")
-    measured: list[tuple[str, str | Column]] = [(TREND, month)] if trend else []
+    measured: list[tuple[str, str | Column]] = [(TREND, month_index("nuanio", "nummes"))] if trend else []
     measured += [(c, c) for c in numerics]
-    levels, means = design_statistics(rows, categorical, [c for _, c in measured])
+    cells = [*also, *(["nuanio", "nummes"] if trend else []), *numerics, *categorical]
+    levels, means, pool = design_statistics(rows, [*also, *categorical], [c for _, c in measured], cells)
     terms = [numeric(c, name, centre) for (name, c), centre in zip(measured, means)]
-    return terms + dummy_terms(categorical, levels)
+    return terms + dummy_terms(categorical, levels), levels, cells if pool else None
 
 
 def event_study(
@@ -293,8 +302,8 @@ def event_study(
 ) -> DataFrame:
     """Dynamic effects by relative month, one regression per event type.
 
-    Types without t = -1 or t = 0 are skipped. Each type costs a few
-    scans of its rows: levels and means, cells, products, scores. Store the panel partitioned by
+    Types without t = -1 or t = 0 are skipped. Each type costs three
+    scans of its rows: levels and means, products, scores. Store the panel partitioned by
     ``event_type`` so that each scan reads its own files only.
     """
     from aforo.operators.panel import baseline_of
@@ -303,15 +312,13 @@ def event_study(
     for kind in event_types:
         needed = ["t_rel", *cluster, "nuanio", "nummes", *[c for c in numerics if c in panel.columns]]
         rows = complete_rows(panel.filter(F.col("event_type") == kind), outcome, needed)
-        times = design_statistics(rows, ["t_rel"], [])[0]["t_rel"]
-        base = baseline_of(times)
+        covariates, levels, cells = covariate_terms(rows, categorical, numerics, trend, ["t_rel"])
+        base = baseline_of(levels["t_rel"])
         if base is None:
             continue
-        terms = [intercept(), *[indicator("t_rel", t, f"t_rel__{t}") for t in times if t != base]]
-        terms += covariate_terms(rows, categorical, numerics, trend)
-        cells = ["t_rel", "nuanio", "nummes", *[c for c in [*numerics, *categorical] if c in rows.columns]]
-        pool = cells if few_cells(rows, cells) else None
-        fit = cluster_robust(rows, ols_normal_equations(rows, outcome, terms, pool), cluster)
+        times = [indicator("t_rel", t, f"t_rel__{t}") for t in levels["t_rel"] if t != base]
+        terms = [intercept(), *times, *covariates]
+        fit = cluster_robust(rows, ols_normal_equations(rows, outcome, terms, cells), cluster)
         results += [(kind, base, *r) for r in fit.coefficients()]
     table = panel.sparkSession.createDataFrame(
         results, f"event_type string, baseline int, {COEFFICIENT_SCHEMA}"
@@ -339,12 +346,12 @@ def did_ols_cluster(
     numerics = [c for c in numerics if c in panel.columns]
     rows = complete_rows(panel, outcome, ["treated", "post", *cluster, *numerics])
     both = F.col("treated") * F.col("post")
+    covariates, _, cells = covariate_terms(rows, categorical, numerics, False, ["treated", "post"])
     terms = [
         intercept(),
         numeric("treated", "treated"),
         numeric("post", "post"),
         numeric(both, "treated_post"),
-        *covariate_terms(rows, categorical, numerics, trend=False),
+        *covariates,
     ]
-    cells = ["treated", "post", *numerics, *[c for c in categorical if c in rows.columns]]
-    return ols(rows, outcome, terms, cluster, cells if few_cells(rows, cells) else None)
+    return ols(rows, outcome, terms, cluster, cells)

@@ -791,7 +791,7 @@ def product_matrix(spark, sf):
 
 
 def category_terms(fact: DataFrame) -> list[G.Term]:
-    levels, _ = G.design_statistics(fact, ["codcat"], [])
+    levels, _, _ = G.design_statistics(fact, ["codcat"], [])
     return [G.intercept(), *G.dummy_terms(["codcat"], levels)]
 
 
