@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from aforo import schema as S
 from aforo.functions import measures as M
@@ -150,9 +151,11 @@ def features_district_month(
     main = group_quantiles(base, keys, "consumo", probs, aggs, method=quantile_method, hot_rows=hot_rows)
     # Two distinct counts would send every wide row through the shuffle three
     # times; here only (group, kind, id) is shuffled, and the join is on groups.
+    numbers = all(isinstance(df.schema[c].dataType, IntegralType) for c in S.UNIT_KEYS)
+    id_type = "long" if numbers else "string"
     ids = F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("codudu").cast("long").alias("id")),
-        F.struct(F.lit(1).alias("kind"), F.col("codcon").cast("long").alias("id")),
+        F.struct(F.lit(0).alias("kind"), F.col("codudu").cast(id_type).alias("id")),
+        F.struct(F.lit(1).alias("kind"), F.col("codcon").cast(id_type).alias("id")),
     )
     right = (
         df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(ids).alias("e"))

@@ -22,6 +22,7 @@ HASH_BUCKETS = 65_536
 CUTS = 500
 SKETCH_ACCURACY = 10_000
 MAX_ROUNDS = 4
+BRACKET = ("_i", "_frac", "_lo", "_hi", "_min", "_max", "_a", "_z")
 
 
 def percentile_column(value: str, probs: Sequence[float], method: str = "linear") -> Column:
@@ -179,18 +180,23 @@ def select_quantiles(
             located = join_on_keys(targets, sketch, groups)
         brackets = _brackets(located, keys).checkpoint()
 
-        inside = _within(rows, brackets, keys, tagged="_i" in rows.columns)
-        counts = _counts(rows, brackets, keys, tagged="_i" in rows.columns).checkpoint()
+        tagged = "_i" in rows.columns
+        counts = _counts(rows, brackets, keys, tagged).checkpoint()
+        miss = (F.col("_below") > F.col("_lo")) | (F.col("_below") + F.col("_in") <= F.col("_hi"))
+        if counts.filter(miss).limit(1).count():
+            # a bracket that missed its rank becomes the whole range of its group
+            brackets = counts.select(
+                *keys, *BRACKET[:-2],
+                F.when(miss, F.col("_min")).otherwise(F.col("_a")).alias("_a"),
+                F.when(miss, F.col("_max")).otherwise(F.col("_z")).alias("_z"),
+            ).checkpoint()
+            counts = _counts(rows, brackets, keys, tagged).checkpoint()
+        inside = _within(rows, brackets, keys, tagged)
         targets = counts.select(
             *keys, "_i", "_frac",
             (F.col("_lo") - F.col("_below")).alias("_lo"),
             (F.col("_hi") - F.col("_below")).alias("_hi"),
         )
-        missed = counts.filter(
-            (F.col("_below") > F.col("_lo")) | (F.col("_below") + F.col("_in") <= F.col("_hi"))
-        ).count()
-        if missed:
-            raise ArithmeticError("the sketch did not bracket a wanted rank")
         rows, groups = inside, [*keys, "_i"]
         # repeated values collapse before the ranking, so only distinct ones count
         largest = counts.agg(F.max("_distinct")).first()[0]
@@ -220,20 +226,19 @@ def _brackets(located: DataFrame, keys: list[str]) -> DataFrame:
     # _cuts[j] (0-based) sits near rank share (j + 1) / CUTS
     a = F.when(step - 2 < 0, F.col("_min")).otherwise(F.get("_cuts", step - 2))
     z = F.when(step_hi + 1 > CUTS - 2, F.col("_max")).otherwise(F.get("_cuts", step_hi + 1))
-    return located.select(*keys, "_i", "_frac", "_lo", "_hi", a.alias("_a"), z.alias("_z"))
+    return located.select(*keys, *BRACKET[:-2], a.alias("_a"), z.alias("_z"))
 
 
 def _attach(rows: DataFrame, brackets: DataFrame, keys: list[str], tagged: bool) -> DataFrame:
     on = [*keys, "_i"] if tagged else keys
     if not on:
         # one group: its few brackets are literals, no join
-        fields = ("_i", "_frac", "_lo", "_hi", "_a", "_z")
         structs = [
-            F.struct(*[F.lit(r[c]).cast(brackets.schema[c].dataType).alias(c) for c in fields])
+            F.struct(*[F.lit(r[c]).cast(brackets.schema[c].dataType).alias(c) for c in BRACKET])
             for r in brackets.collect()
         ]
         return rows.withColumn("_t", F.explode(F.array(*structs))).select(
-            *[F.col(f"_t.{c}").alias(c) for c in fields], "_v"
+            *[F.col(f"_t.{c}").alias(c) for c in BRACKET], "_v"
         )
     n = brackets.count()
     right = F.broadcast(brackets) if n <= MAX_BROADCAST_GROUPS else brackets
@@ -251,7 +256,7 @@ def _within(rows, brackets, keys, tagged) -> DataFrame:
 def _counts(rows, brackets, keys, tagged) -> DataFrame:
     return (
         _attach(rows, brackets, keys, tagged)
-        .groupBy(*keys, "_i", "_frac", "_lo", "_hi", "_a", "_z")
+        .groupBy(*keys, *BRACKET)
         .agg(
             F.count_if(F.col("_v") < F.col("_a")).alias("_below"),
             F.count_if(F.col("_v").between(F.col("_a"), F.col("_z"))).alias("_in"),

@@ -91,6 +91,12 @@ def test_district_quantiles_and_spread(bills):
     assert row.mes_absoluto == 1
 
 
+def test_ids_may_be_text(bills):
+    df = bills(dict(codudu=1), dict(codudu=2)).withColumn("codudu", F.concat(F.lit("u-"), "codudu"))
+    assert features_district_month(df).first().num_unidades == 2
+    assert features_unit(df).count() == 2
+
+
 def test_missing_keys_form_a_group(bills):
     df = bills(dict(nomdis=None, volfac=2.0), dict(nomdis=None, volfac=4.0))
     row = features_district_month(df).first()

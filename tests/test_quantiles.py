@@ -57,6 +57,17 @@ def test_nearest_on_both_paths(skewed):
         assert [r[n] for n in PROBS] == [plain[r["k"]][n] for n in PROBS]
 
 
+def test_a_bracket_that_misses_is_widened(skewed, monkeypatch):
+    """Even with useless brackets the counts keep the answer exact."""
+    good = Q._brackets
+    monkeypatch.setattr(
+        Q, "_brackets", lambda located, keys: good(located, keys).withColumns({"_a": F.lit(-2.0), "_z": F.lit(-1.0)})
+    )
+    want = expected(skewed)
+    for r in Q.select_quantiles(skewed, ["k"], "v", PROBS, stop_rows=10**9).collect():
+        assert [r[n] for n in PROBS] == pytest.approx(want[r["k"]], rel=1e-12)
+
+
 def test_constant_and_null_values(spark):
     df = spark.createDataFrame([(1, 2.0)] * 500 + [(1, None)] * 5 + [(2, 7.0)], "k int, v double")
     got = {r["k"]: r["p50"] for r in Q.select_quantiles(df, ["k"], "v", {"p50": 0.5}, stop_rows=1).collect()}
