@@ -140,11 +140,19 @@ PIECE = re.compile(
 )
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: printable ones their own, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class PieceEncoder:
     """A byte-level BPE that encodes each distinct piece of text once.
 
     Merges never cross the pieces that the tokenizer cuts a text into, so the
-    ids of a text are those of its pieces in order.
+    ids of a text are those of its pieces in order. Other tokenizers encode
+    every text whole.
     """
 
     def __init__(self, path: str):
@@ -152,6 +160,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        t = self.tokenizer
+        self.pieces = t.normalizer is None and all(
+            type(part).__name__ == kind for part, kind in ((t.pre_tokenizer, "ByteLevel"), (t.model, "BPE"))
+        )
+        self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
@@ -161,7 +174,7 @@ class PieceEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def direct(self, text: str) -> bool:
-        return UNSAFE.search(text) is not None or any(a in text for a in self.added)
+        return not self.pieces or UNSAFE.search(text) is not None or any(a in text for a in self.added)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_PIECES:
@@ -172,7 +185,8 @@ class PieceEncoder:
         known = len(self.number)
         index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
         if fresh := list(self.number)[known:]:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            merge, letters = self.tokenizer.model.tokenize, self.letters
+            got = [[t.id for t in merge(p.encode().decode("latin-1").translate(letters))] for p in fresh]
             self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
         size = self.lengths[index]
@@ -279,7 +293,9 @@ def read_token_files(index: DataFrame) -> DataFrame:
                 arrays = [pa.array(doc_ids, pa.int64()), pa.array(start + row["start"]), pa.array(end - start)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return index.repartition("file", "chunk").mapInArrow(read, schema)
+    # a number keeps the small index from being merged into one task
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartition(tasks, "file", "chunk").mapInArrow(read, schema)
 
 
 def token_ids(

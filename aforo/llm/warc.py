@@ -172,7 +172,9 @@ def read_records(index: DataFrame, gap: int = 1 << 16, longest: int = 1 << 24, p
 
     part: Column = F.floor(F.col("offset") / longest)
     wanted = index.select("file", "offset", "length", part.alias("_slice"))
-    return wanted.repartition("file", "_slice").sortWithinPartitions("file", "offset").drop("_slice").mapInArrow(read, schema)
+    # a number keeps the narrow index from being merged into a few tasks
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted.repartition(tasks, "file", "_slice").sortWithinPartitions("file", "offset").drop("_slice").mapInArrow(read, schema)
 
 
 def archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
