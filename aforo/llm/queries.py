@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import mixing, tokenfile, warc
+from aforo.llm import mixing, simhash, tokenfile, warc
 from aforo.llm.common import table
 from aforo.session import scratch_path
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("h")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     records = warc.read_records(index)
@@ -36,6 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_warc": op3_warc,
     "op6_token_files": op6_token_files,
     "op10_mixing": op10_mixing,
