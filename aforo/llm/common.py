@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -48,3 +51,11 @@ def new_file(folder: str, number: int, suffix: str) -> str:
 def text_values(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def kept_in_process(slot: str, key: str, build: Callable):
+    """What ``build()`` gave for ``key``, kept by the worker process between its tasks; one value per slot."""
+    held = sys.modules.setdefault("_aforo_worker", types.ModuleType("_aforo_worker")).__dict__
+    if held.get(slot, (None,))[0] != key:
+        held[slot] = (key, build())
+    return held[slot][1]

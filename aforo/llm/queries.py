@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import mixing, simhash, tokenfile, warc
+from aforo.llm import decontam, language, mixing, simhash, tokenfile, warc
 from aforo.llm.common import table
 from aforo.session import scratch_path
 
@@ -35,6 +35,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_ids(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = language.bucket_of("doc_id", 5)
+    found = language.predict(docs, language.fit(docs, rest != 0))
+    return found.withColumn("held_out", F.coalesce(language.bucket_of("doc_id", 5) == 0, F.lit(False)))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_warc": op3_warc,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
+    "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
 

@@ -20,8 +20,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -33,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aforo.llm.common import new_file, open_fs, pick, stored, text_values
+from aforo.llm.common import kept_in_process, new_file, open_fs, pick, stored, text_values
 from aforo.session import scratch_path
 
 #: Fixed values of the format: ids in a word, and bits of an id, by selector; 15 is the escape.
@@ -202,10 +200,7 @@ class PieceEncoder:
 
 def piece_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """The encoder of this worker process, kept between its tasks."""
-    kept = sys.modules.setdefault("_aforo_worker", types.ModuleType("_aforo_worker"))
-    if getattr(kept, "path", None) != path:
-        kept.encoder, kept.path = PieceEncoder(path), path
-    return kept.encoder.encode
+    return kept_in_process("tokenizer", path, lambda: PieceEncoder(path)).encode
 
 
 def write_token_files(
