@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import decontam, language, mixing, simhash, tokenfile, warc
+from aforo.llm import chat, decontam, language, mixing, simhash, tokenfile, urls, warc
 from aforo.llm.common import table
 from aforo.session import scratch_path
 
@@ -31,6 +31,28 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = [F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+             for i, role in enumerate(("user", "assistant"))]
+    odd = spark.range(1).select(F.inline(F.array(*extra)))
+    turns = chat.turns_of_table(rows.unionByName(odd), "conv_id", "turn")
+    return chat.conversation_digests(chat.stored_conversations(turns))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_ids(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +75,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_warc": op3_warc,
+    "op4_url_filter": op4_url_filter,
+    "op5_chat": op5_chat,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
