@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import chat, decontam, language, mixing, simhash, tokenfile, urls, warc
+from aforo.llm import chat, decontam, ibf, language, mixing, simhash, tokenfile, urls, warc
 from aforo.llm.common import table
 from aforo.session import scratch_path
 
@@ -68,6 +68,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(language.bucket_of("doc_id", 5) == 0, F.lit(False)))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ibf.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
+    "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
 
