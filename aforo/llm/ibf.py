@@ -34,8 +34,8 @@ UNIT_END = r"(?<=[.!?])[ \t]+|[\r\n]+"
 SUB = 8
 PER_SKETCH = 12
 ROUNDS = 16
-BUCKET_CHARS = 16 << 20
-MOST_BUCKETS = 1 << 16
+BUCKET_CHARS = 2 << 20
+MOST_BUCKETS = 1 << 17
 
 
 def digests(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import chat, decontam, ibf, language, mixing, simhash, tokenfile, urls, warc
+from aforo.llm import chat, decontam, ibf, language, lm, mixing, simhash, tokenfile, urls, warc
 from aforo.llm.common import table
 from aforo.session import scratch_path
 
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = language.bucket_of("doc_id", 7)
+    return lm.scores(table(spark, sf_dir, "documents"), rest != 2, rest == 2)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     records = warc.read_records(index)
@@ -78,6 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_lm_scores": op2_lm_scores,
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op5_chat": op5_chat,
