@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from aforo.llm.common import pick, stored
 
 ORDER = 2
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 SHARD_BYTES = 32 << 20
 CLASSES = 64
 BLOCK_SCHEMA = "block long, tokens_n long, docs binary, tokens binary, vocabulary binary"
