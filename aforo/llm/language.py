@@ -127,17 +127,24 @@ class Model:
 def sample_labelled(rows: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``most`` rows of ``(text, lang)``, as many of each language.
 
-    The cut of each language is found on hashes alone; the rank is limited in
-    every partition before rows are shuffled.
+    Rows are counted by language first; a language with more than four times
+    its part keeps the rows of the lowest hashes, twice its part on average, so
+    that the exact rank is taken over few rows whatever the language's share.
     """
     hashed = rows.withColumn("_h", F.xxhash64("id", "text"))
     keys = hashed.select("lang", "_h").distinct()
-    codes = [r["lang"] for r in keys.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(codes) > MOST_LANGUAGES:
+    sizes = keys.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    each = max(1, most // max(len(codes), 1))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    chosen = keys.withColumn("_r", rank).filter(F.col("_r") <= each).drop("_r")
+    each = max(1, most // max(len(sizes), 1))
+    span = 1 << 32
+    low = F.lit(span)
+    for r in sizes:
+        if r["count"] > 4 * each:
+            low = F.when(F.col("lang") == r["lang"], 2 * each * span // r["count"]).otherwise(low)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_low", "_h"))
+    few = keys.withColumn("_low", F.pmod("_h", F.lit(span))).filter(F.col("_low") < low)
+    chosen = few.withColumn("_r", rank).filter(F.col("_r") <= each).select("lang", "_h")
     return hashed.join(F.broadcast(chosen), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", "_h", "text")
 
 
