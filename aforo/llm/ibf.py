@@ -40,7 +40,7 @@ MOST_BUCKETS = 1 << 17
 
 def digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's units."""
-    units = F.filter(F.transform(F.split(text, UNIT_END), F.trim), lambda u: u != "")
+    units = F.filter(F.transform(F.split(text, UNIT_END), lambda u: F.trim(u)), lambda u: u != "")
     return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
 
 
