@@ -1,4 +1,4 @@
-"""A reproducible pseudo-random number per integer key.
+"""A reproducible pseudo-random number per key.
 
 Plain 64-bit integer arithmetic, so that samples and splits do not depend on
 partitioning, row order or engine.
@@ -16,13 +16,20 @@ MULTIPLIERS = (48_271, 69_621, 16_807, 39_373, 62_089)
 
 
 def key_hash(keys: Sequence[str | Column], seed: int = 42) -> Column:
-    """Integer in [0, MODULUS) from integer key columns; nulls count as -1."""
+    """Integer in [0, MODULUS) from key columns; nulls count as -1.
+
+    Whole numbers, also as text, count as they are; other keys by the first
+    eight hexadecimal digits of the MD5 of their text.
+    """
     if len(keys) > len(MULTIPLIERS):
         raise ValueError("too many key columns")
     total = F.lit(seed).cast("long")
     for key, mult in zip(keys, MULTIPLIERS):
         c = F.col(key) if isinstance(key, str) else key
-        residue = F.pmod(F.coalesce(c.cast("long"), F.lit(-1)), F.lit(MODULUS).cast("long"))
+        text = c.cast("string")
+        number = F.when(~text.contains("."), text.try_cast("long"))
+        digits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        residue = F.pmod(F.coalesce(number, digits, F.lit(-1).cast("long")), F.lit(MODULUS).cast("long"))
         total = total + residue * F.lit(mult)
     h = total % MODULUS
     # the square breaks the lattice a linear form has on consecutive ids
@@ -30,7 +37,8 @@ def key_hash(keys: Sequence[str | Column], seed: int = 42) -> Column:
 
 
 def key_hash_sql(keys: Sequence[str], seed: int = 42) -> str:
-    """The same number as SQL text for non-negative keys."""
-    terms = " + ".join(f"(CAST({k} AS BIGINT) % {MODULUS}) * {m}" for k, m in zip(keys, MULTIPLIERS))
+    """The same number as SQL text for keys that are no negative numbers."""
+    number = "COALESCE(TRY_CAST({k} AS BIGINT), CAST(('0x' || SUBSTR(MD5(CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT))"
+    terms = " + ".join(f"({number.format(k=k)} % {MODULUS}) * {m}" for k, m in zip(keys, MULTIPLIERS))
     h = f"(({seed} + {terms}) % {MODULUS})"
     return f"(({h} * {h} + {h} * 12345) % {MODULUS})"

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from aforo.functions.measures import col, safe_ratio
 
 
+#: Levels of one column that may be listed in a row.
+MOST_LEVELS = 100_000
+
+
 def moments(value: Column | str, prefix: str) -> list[Column]:
     """Mean, sample deviation, minimum, maximum, sum and row count."""
     v = col(value)
@@ -107,8 +111,16 @@ def total_series(districts: DataFrame) -> DataFrame:
     )
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sorted non-null levels of low-cardinality columns, all in one pass."""
+def distinct_values(df: DataFrame, columns: Sequence[str], most: int = MOST_LEVELS) -> DataFrame:
+    """Sorted non-null levels of low-cardinality columns, in one pass after a count by sketch.
+
+    A column with clearly more than ``most`` levels is refused: its levels
+    would all meet in one row.
+    """
+    if columns:
+        sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+        if large := [c for c in columns if sketch[c] > 1.2 * most]:
+            raise ValueError(f"more than {most} levels in {', '.join(large)}")
     return df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
 
 

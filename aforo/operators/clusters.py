@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 
 from aforo.functions.rows import drop_null_rows
 from aforo.operators.encode import apply_scaling, scaling
-from aforo.session import compact
 from aforo.sources.billing import sample_rows
 
 SEED = 42
 K_MIN, K_MAX = 2, 8
 N_INIT = 10
 MAX_ITER = 300
-SAMPLE_FOR_K = 50_000
 PARALLEL_FITS = 8
 
 
@@ -42,8 +40,6 @@ def kmeans(
 ) -> KMeansModel:
     """The best of ``n_init`` restarts by training cost; persist the vectors first."""
 
-    vectors = compact(vectors, vectors.count())
-
     def fit(s: int) -> KMeansModel:
         return KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="zvec", predictionCol="cluster").fit(vectors)
 
@@ -67,11 +63,12 @@ def silhouette(labelled: DataFrame, features_col: str = "zvec", label: str = "cl
 
 
 def silhouette_sample(
-    labelled: DataFrame, keys: Sequence[str], labels: Sequence[str], max_rows: int = SAMPLE_FOR_K, seed: int = SEED
+    labelled: DataFrame, keys: Sequence[str], labels: Sequence[str], max_rows: int, seed: int = SEED
 ) -> DataFrame:
     """Mean Euclidean silhouette of a seeded sample, for several labellings at once.
 
-    The pairwise metric is defined on at most ``max_rows`` rows. That sample is
+    Every pair of sampled rows is compared, so the caller states the size; for a
+    value over all rows use :func:`silhouette`. The sample is
     the broadcast side; tasks compare slices of it with the whole and emit one
     row per sampled row.
     """
@@ -81,7 +78,7 @@ def silhouette_sample(
     ).persist()
     whole = sample.toPandas()  # at most max_rows rows
     if whole.empty:
-        return spark.createDataFrame([], "labelling string, silhouette double, n long")
+        return spark.createDataFrame([], "labelling string, silhouette_sample double, n_sample long")
     points = np.vstack(whole["x"].to_numpy())
     shared = spark.sparkContext.broadcast((points, {c: whole[c].to_numpy() for c in labels}))
     names = list(labels)
@@ -115,7 +112,7 @@ def silhouette_sample(
     means = scores.agg(*[F.avg(c).alias(c) for c in names], F.count(F.lit(1)).alias("n")).first()
     sample.unpersist()
     return spark.createDataFrame(
-        [(c, means[c], means["n"]) for c in names], "labelling string, silhouette double, n long"
+        [(c, means[c], means["n"]) for c in names], "labelling string, silhouette_sample double, n_sample long"
     )
 
 
@@ -124,32 +121,46 @@ def best_k_search(
     keys: Sequence[str],
     k_min: int = K_MIN,
     k_max: int = K_MAX,
-    sample_for_k: int = SAMPLE_FOR_K,
     n_init: int = N_INIT,
     seed: int = SEED,
 ) -> DataFrame:
-    """Silhouette per k on a seeded sample; k is skipped once it reaches the sample size."""
-    drawn = sample_rows(vectors, sample_for_k, keys, seed).select(*keys, "zvec").persist()
-    n = drawn.count()
-    sample = compact(drawn, n).persist()
-    ks = [k for k in range(k_min, k_max + 1) if k < n]
-    fits = _in_parallel(
-        lambda a: KMeans(
-            k=a[0], seed=a[1], maxIter=MAX_ITER, featuresCol="zvec", predictionCol=f"k{a[0]}"
-        ).fit(sample),
-        [(k, seed + i) for k in ks for i in range(n_init)],
-        sample,
-    )
-    labelled = sample
-    for k in ks:
-        best = min((m for m in fits if m.getK() == k), key=lambda m: m.summary.trainingCost)
-        labelled = best.transform(labelled)
-    scores = silhouette_sample(labelled, keys, [f"k{k}" for k in ks], sample_for_k, seed)
-    sample.unpersist()
-    drawn.unpersist()
-    return scores.select(
-        F.substring("labelling", 2, 3).cast("int").alias("k"), "silhouette", F.col("n").alias("n_sample")
-    )
+    """Silhouette per k, fitted and scored on all rows; k stays below the number of rows.
+
+    The silhouette is the one in squared distance, whose cost is linear.
+    """
+    rows = vectors.select(*keys, "zvec").persist()
+    try:
+        n = rows.count()
+        ks = [k for k in range(k_min, k_max + 1) if k < n]
+        fits = _in_parallel(
+            lambda a: KMeans(
+                k=a[0], seed=a[1], maxIter=MAX_ITER, featuresCol="zvec", predictionCol="cluster"
+            ).fit(rows),
+            [(k, seed + i) for k in ks for i in range(n_init)],
+            rows,
+        )
+        scores = []
+        for k in ks:
+            best = min((m for m in fits if m.getK() == k), key=lambda m: m.summary.trainingCost)
+            # equal points can leave fewer centres than asked for, at worst one
+            score = silhouette(best.transform(rows)) if len(best.clusterCenters()) > 1 else 0.0
+            scores.append((k, score, n))
+    finally:
+        rows.unpersist()
+    return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double, n long")
+
+
+def silhouette_by_k(df: DataFrame, columns: Sequence[str], centroids: dict[int, Sequence[Sequence[float]]]) -> DataFrame:
+    """Silhouette over all rows of given centres, per number of clusters."""
+    rows = VectorAssembler(inputCols=list(columns), outputCol="zvec").transform(df).persist()
+    try:
+        scores = [
+            (k, silhouette(assign_clusters(rows, columns, centres).withColumn("cluster", F.col("cluster").cast("double"))))
+            for k, centres in centroids.items()
+        ]
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
 def squared_distance(columns: Sequence[str], centroid: Sequence[float]) -> Column:
@@ -176,15 +187,3 @@ def cluster_profiles(df: DataFrame, features: Sequence[str], label: str = "clust
     profiles = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features])
     whole = Window.partitionBy(F.lit(1))  # k rows
     return profiles.select(label, "n", (F.col("n") * 100.0 / F.sum("n").over(whole)).alias("pct"), *features)
-
-
-def segment(
-    df: DataFrame, features: Sequence[str], keys: Sequence[str], k: int | None = None, n_init: int = N_INIT
-) -> tuple[DataFrame, KMeansModel]:
-    """Scale, choose k if not given, fit on all rows and assign."""
-    vectors = scaled_vectors(df.select(*keys, *[f for f in features if f not in keys]), features).persist()
-    if k is None:
-        scores = best_k_search(vectors, keys, n_init=n_init).collect()
-        k = max(scores, key=lambda r: (r["silhouette"], -r["k"]))["k"]
-    model = kmeans(vectors, k, n_init=n_init)
-    return model.transform(vectors), model

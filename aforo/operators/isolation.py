@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,10 +149,13 @@ def isolation_forest_score(
     shared = df.sparkSession.sparkContext.broadcast(forest)
     names = list(features)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the features leave Arrow; all other columns pass as they are."""
         feature, threshold, left, right, path = shared.value
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
+        for batch in batches:
+            x = np.empty((batch.num_rows, len(names)))
+            for i, name in enumerate(names):
+                x[:, i] = batch.column(name).to_numpy(zero_copy_only=False).astype(float)
             row = np.arange(len(x))
             total = np.zeros(len(x))
             for tree in range(n_trees):
@@ -161,11 +165,12 @@ def isolation_forest_score(
                     go_left = x[row, np.maximum(f, 0)] <= threshold[tree, at]
                     at = np.where(f < 0, at, np.where(go_left, left[tree, at], right[tree, at]))
                 total += path[tree, at]
-            yield pdf.assign(score=np.power(2.0, -total / n_trees / expected) if expected else 1.0)
+            found = np.power(2.0, -total / n_trees / expected) if expected else np.ones(len(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
     rows = drop_null_rows(df, names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(score, f"{schema}, score double")
+    return rows.mapInArrow(score, f"{schema}, score double")
 
 
 def contamination_cut(

@@ -82,9 +82,13 @@ def sample_controls(
     ratio: int = CONTROLS_PER_TREATED,
     seed: int = 42,
     keys: Sequence[str] = UNIT,
+    allow_short: bool = False,
 ) -> DataFrame:
     """``ratio`` controls per treated unit, each with a pseudo event month.
 
+    Too few candidates raise an error unless ``allow_short`` says that all of
+    them will do.
+
     The lowest key hashes are taken. The pseudo month follows the distribution
     of the treated months: a second hash picks a position among the treated
     events in month order. Only the month histogram, one row per calendar
@@ -95,6 +99,8 @@ def sample_controls(
     if n_treated == 0:
         return candidates.select(*keys, F.lit(None).cast("int").alias("mes_evento")).limit(0)
     hashed = candidates.select(*keys, key_hash(keys, seed).alias("_h"))
+    if not allow_short and (found := candidates.count()) < ratio * n_treated:
+        raise ValueError(f"{ratio * n_treated} controls wanted, {found} candidates; allow_short takes them all")
     chosen = smallest(hashed, "_h", ratio * n_treated, ties=keys)
     position = key_hash(keys, seed + 1) % F.lit(n_treated)
     upto = list(itertools.accumulate(r["count"] for r in histogram))
@@ -156,7 +162,8 @@ def combine_panels(treated: DataFrame, controls: DataFrame) -> DataFrame:
 
 
 def did_panel(
-    df: DataFrame, window: int = WINDOW, ratio: int = CONTROLS_PER_TREATED, seed: int = 42
+    df: DataFrame, window: int = WINDOW, ratio: int = CONTROLS_PER_TREATED, seed: int = 42,
+    allow_short: bool = False,
 ) -> DataFrame:
     """The difference-in-differences panel around losing the subsidy.
 
@@ -167,7 +174,7 @@ def did_panel(
     checkpoint_dir(df.sparkSession)
     history = unit_history(df).checkpoint()
     treated = events_of(history, "1to2")
-    controls = sample_controls(treated, history.filter("nunca"), ratio, seed)
+    controls = sample_controls(treated, history.filter("nunca"), ratio, seed, allow_short=allow_short)
     events = treated.withColumn("treated", F.lit(1)).unionByName(controls.withColumn("treated", F.lit(0)))
     return with_post(event_panel(df, events, window))
 
@@ -222,7 +229,3 @@ def did_basic(panel: DataFrame, value: str = "volfac") -> DataFrame:
     )
     effect = (F.col("treated_post") - F.col("treated_pre")) - (F.col("control_post") - F.col("control_pre"))
     return means.withColumn("effect", effect)
-
-
-def panel_levels(panel: DataFrame, columns: Sequence[str] = S.PANEL_CATEGORICAL) -> DataFrame:
-    return distinct_values(panel, columns)

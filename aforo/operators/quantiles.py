@@ -32,7 +32,7 @@ def percentile_column(value: str, probs: Sequence[float], method: str = "linear"
     if method == "nearest":
         ordered = F.array_sort(F.collect_list(value))
         picks = [
-            F.try_element_at(ordered, (F.round(F.lit(float(p)) * (F.size(ordered) - 1)) + 1).cast("int"))
+            F.get(ordered, F.round(F.lit(float(p)) * (F.size(ordered) - 1)).cast("int"))
             for p in probs
         ]
         return F.array(*picks)
@@ -116,8 +116,10 @@ def group_quantiles(
         hot = df.join(hot_df, same, "left_semi")
 
     quantiles = select_quantiles(hot, keys, value, probs, method, hot_rows)
-    if aggregates:
-        hot_out = join_on_keys(hot.groupBy(*keys).agg(*aggregates), quantiles, keys, "left")
+    # a group without any value has no quantile but is a group
+    if keys:
+        groups = hot.groupBy(*keys).agg(*(aggregates or [F.count(F.lit(1)).alias("_n")]))
+        hot_out = join_on_keys(groups if aggregates else groups.drop("_n"), quantiles, keys, "left")
     else:
         hot_out = quantiles
     if cold is None:
@@ -145,7 +147,9 @@ def select_quantiles(
     checkpoint_dir(df.sparkSession)
     keys = list(keys)
     named = [(name, float(p)) for name, p in probs.items()]
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # an element of the group keeps its type, a value between two is a double
+    kind = "double" if method == "linear" else df.schema[value].dataType
+    rows = df.select(*keys, F.col(value).cast(kind).alias("_v")).filter(F.col("_v").isNotNull())
     groups = keys
     targets = None
 
@@ -211,9 +215,10 @@ def select_quantiles(
     hit = join_on_keys(ranked, targets, groups).filter(
         (F.col("_start") <= F.col("_hi")) & (F.col("_end") > F.col("_lo"))
     )
-    picked = hit.groupBy(*groups).agg(
-        (F.min("_v") + F.first("_frac") * (F.max("_v") - F.min("_v"))).alias("_q")
-    )
+    between = F.min("_v") + F.first("_frac") * (F.max("_v") - F.min("_v"))
+    whole = (F.first("_frac") == 0) | (F.min("_v") == F.max("_v"))
+    linear = F.when(whole, F.min("_v")).otherwise(between)
+    picked = hit.groupBy(*groups).agg((linear if method == "linear" else F.min("_v")).alias("_q"))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, (name, _) in enumerate(named)]
     )

@@ -74,6 +74,14 @@ def design_matrix(df: DataFrame, terms: Sequence[Term], keep: Sequence[str] = ()
     return df.select(*keep, *[t.centred().alias(t.name) for t in terms])
 
 
+def usable(df: DataFrame, outcome: Column, terms: Sequence[Term]) -> DataFrame:
+    """Rows with an outcome and every number of the design; the fit and its scores read the same ones."""
+    complete = outcome.isNotNull()
+    for t in terms:
+        complete = complete & t.column.isNotNull()
+    return df.filter(complete)
+
+
 def design_statistics(
     df: DataFrame,
     categorical: Sequence[str],
@@ -87,6 +95,11 @@ def design_statistics(
     """
     if not categorical and not numerics and not cells:
         return {}, [], False
+    if categorical:
+        # sketches first: an id column must not be collected before it is refused
+        sketch = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
+        if sum(sketch) > 2 * MAX_TERMS:
+            raise ValueError("too many levels for a dense design; pass fewer categorical columns")
     cols = [F.array_sort(F.collect_set(c)).alias(f"l{i}") for i, c in enumerate(categorical)]
     cols += [F.avg(c).alias(f"m{i}") for i, c in enumerate(numerics)]
     distinct = F.approx_count_distinct(F.struct(*cells)) if cells else F.lit(0)
@@ -201,6 +214,7 @@ def ols_normal_equations(
     solution and reports its rank.
     """
     y = F.col(outcome).cast("double")
+    df = usable(df, y, terms)
     k = len(terms)
     pooled = df.withColumns({"_n": F.lit(1.0), "_s": y, "_q": y * y})
     if cells:
@@ -228,7 +242,7 @@ def cluster_scores(df: DataFrame, fit: Fit, cluster: Sequence[str] = CLUSTER) ->
     Partial sums combine map-side, so a cluster may hold any share of the rows.
     """
     # every score reads its own row's key: the filter comes before, never after
-    with_e = df.withColumn("_e", fit.residual())
+    with_e = usable(df, fit.outcome, fit.terms).withColumn("_e", fit.residual())
     return with_e.groupBy(*cluster).agg(
         *[F.sum(t.centred() * F.col("_e")).alias(f"s{i}") for i, t in enumerate(fit.terms)],
         F.sum(F.col("_e") * F.col("_e")).alias("sse"),
@@ -355,3 +369,11 @@ def did_ols_cluster(
         *covariates,
     ]
     return ols(rows, outcome, terms, cluster, cells)
+
+
+def did_basic_t(panel: DataFrame, value: str = "volfac", cluster: Sequence[str] = CLUSTER) -> DataFrame:
+    """The basic effect with its clustered error and t: the interaction of the saturated regression."""
+    both = F.col("treated").cast("double") * F.col("post")
+    terms = [intercept(), numeric("treated", "treated"), numeric("post", "post"), numeric(both, "effect")]
+    found = ols(panel, value, terms, cluster).filter(F.col("term") == "effect")
+    return found.select(F.col("coef").alias("effect"), "std_error", "t_stat", "n_obs", "n_clusters")

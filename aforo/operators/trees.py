@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from aforo import schema as S
 from aforo.functions.rows import drop_null_rows, present
 from aforo.operators.encode import feature_vector, train_test_split
-from aforo.session import checkpoint_dir, compact, scratch_path
+from aforo.session import checkpoint_dir, scratch_path
 
 # The two published parameter sets.
 BOOSTED = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42, "maxBins": 256}
@@ -48,7 +48,7 @@ def _fit(df: DataFrame, table: str, keys: Sequence[str], as_categories: bool, pa
     # that boosting would otherwise grow by one step per tree.
     checkpoint_dir(df.sparkSession)
     rows = rows.persist()
-    ready = feature_vector(compact(rows, rows.count()), categorical, numerics, as_categories)
+    ready = feature_vector(rows, categorical, numerics, as_categories)
     train, test = train_test_split(ready.select(*keys, S.TARGET, "features"), keys)
     train = train.persist()
     n_train = train.count()

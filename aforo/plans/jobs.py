@@ -95,14 +95,16 @@ def seasonal_report(spark: SparkSession, folder: str) -> DataFrame:
     return results.seasonal_extremes(results.result_json_read(spark, newest["file_path"]))
 
 
-def build_panels(spark: SparkSession, source: str, event_target: str, did_target: str) -> None:
+def build_panels(
+    spark: SparkSession, source: str, event_target: str, did_target: str, allow_short: bool = False
+) -> None:
     """Event panel, partitioned by event type, and the difference-in-differences panel."""
     configure(spark)
     fact = spark.read.parquet(source)
     panel.event_study_panel(fact).write.partitionBy("event_type").option("compression", "zstd").parquet(
         event_target
     )
-    parquet_sink(panel.did_panel(fact), did_target)
+    parquet_sink(panel.did_panel(fact, allow_short=allow_short), did_target)
 
 
 def estimate_effects(

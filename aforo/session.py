@@ -40,11 +40,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one scratch table in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/aforo/{name}-{uuid.uuid4().hex}"
-
-
-ROWS_PER_PARTITION = 20_000
-
-
-def compact(df, rows: int):
-    """Fewer partitions for a small iterative input, where task start-up dominates."""
-    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), -(-rows // ROWS_PER_PARTITION))))

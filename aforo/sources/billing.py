@@ -4,25 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from aforo.functions.hashing import key_hash
 from aforo.functions.rows import present
 from aforo.operators.selection import smallest
 
 
-def parquet_scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+#: Types that have no order.
+UNORDERED = (MapType, VariantType, VectorUDT)
 
 
-def spread_small_scan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the cluster has cores.
-
-    A large table has many more splits than cores and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+def parquet_scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def projected_scan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,6 +37,11 @@ def limit_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows drawn by the hash of the key, on executors only."""
+    """min(n, rows) rows drawn by the hash of the key, on executors only.
+
+    Rows of one key follow the order of their other columns, so that a repeated
+    key cannot enlarge the sample; rows equal in every column come together.
+    """
+    others = [f.name for f in df.schema.fields if f.name not in keys and not isinstance(f.dataType, UNORDERED)]
     hashed = df.withColumn("_h", key_hash(keys, seed))
-    return smallest(hashed, "_h", n, ties=keys).drop("_h")
+    return smallest(hashed, "_h", n, ties=[*keys, *others]).drop("_h")

@@ -111,9 +111,9 @@ def event_study_document(coefficients: DataFrame) -> DataFrame:
 
 def latest_result(spark: SparkSession, folder: str) -> DataFrame:
     """Path and time of the newest result file of a folder."""
-    files = spark.read.text(folder).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
+    # only the listing is read, no content
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.col("path").alias("file_path"), F.col("modificationTime").alias("modified")
     )
     newest = F.max(F.struct("modified", "file_path"))
     return files.agg(newest.alias("f")).select("f.file_path", "f.modified").filter(
@@ -123,11 +123,15 @@ def latest_result(spark: SparkSession, folder: str) -> DataFrame:
 
 def result_json_read(spark: SparkSession, path: str) -> DataFrame:
     """The total series of a series result, with defaults for missing fields and months 1..12."""
-    documents = spark.read.schema(SERIES_RESULT_SCHEMA).option("multiLine", True).json(path)
-    entries = documents.select(F.posexplode("analisis").alias("pos", "e")).filter(
+    documents = spark.read.schema(SERIES_RESULT_SCHEMA).option("multiLine", True).json(path).select(
+        "analisis", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")
+    )
+    entries = documents.select("at", "file", F.posexplode("analisis").alias("pos", "e")).filter(
         F.upper("e.nombre").startswith("TOTAL")
     )
-    first = entries.agg(F.min_by("e", "pos").alias("e")).filter(F.col("e").isNotNull())
+    # of several documents the newest, in it the first entry
+    place = F.struct(-F.unix_micros("at"), "file", "pos")
+    first = entries.agg(F.min_by("e", place).alias("e")).filter(F.col("e").isNotNull())
     months = F.transform(
         F.sequence(F.lit(1), F.lit(12)),
         lambda m: F.coalesce(F.try_element_at("e.patron_mensual", m.cast("string")), F.lit(0.0)),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aforo.session import configure
-from aforo.sources.billing import spread_small_scan
 
 CONSUMO_SQL = """
 SELECT o.o_custkey AS codcon,
@@ -43,5 +42,4 @@ def consumo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One billing record per row, straight from the tables, no hints."""
     configure(spark)
     tables = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation")}
-    tables["lineitem"] = spread_small_scan(tables["lineitem"], ["l_orderkey", "l_partkey"])
     return spark.sql(CONSUMO_SQL, **tables)

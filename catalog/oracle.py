@@ -549,8 +549,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT cluster, COUNT(*) AS n, {r('COUNT(*) * 100.0 / (SELECT COUNT(*) FROM labelled)', 'pct')},
         {', '.join(r(f'AVG({f})', f) for f in CLUSTER_B)} FROM labelled GROUP BY cluster""", "labelled"),
     "silhouette": sql(
-        f"""SELECT {r('AVG(CASE WHEN a_eu IS NULL THEN 0 ELSE (b_eu - a_eu) / GREATEST(a_eu, b_eu) END)', 'silhouette')},
-        {r('AVG(CASE WHEN a_sq IS NULL THEN 0 ELSE (b_sq - a_sq) / GREATEST(a_sq, b_sq) END)', 'silhouette_sq')},
+        f"""SELECT {r('AVG(CASE WHEN a_sq IS NULL THEN 0 ELSE (b_sq - a_sq) / GREATEST(a_sq, b_sq) END)', 'silhouette_sq')},
         COUNT(*) AS n FROM widths""", "widths"),
     "pretrend_means": sql(
         f"SELECT t_rel, treated, {r('AVG(volfac)', 'volfac_mean')} FROM did WHERE t_rel < 0 GROUP BY 1, 2", "did"),
@@ -630,3 +629,32 @@ ORACLE: dict[str, str] = {
         JOIN (SELECT coddis, nummes, AVG(demanda_total_m3) AS esperado FROM dm GROUP BY 1, 2) e
         ON d.coddis = e.coddis AND d.nummes = e.nummes) WHERE desviacion > 0.1""", "dm"),
 }
+
+FEW = "SELECT * FROM treated WHERE codcon % 5 = 0"
+ORACLE |= {
+    "sample_rows_text_keys": f"""SELECT key FROM (SELECT 'k' || o_orderkey AS key FROM orders)
+        ORDER BY {key_hash_sql(['key'])}, key LIMIT 200""",
+    "quantiles_null_groups": f"""SELECT l_suppkey, {r('QUANTILE_CONT(v, 0.25)', 'q25')}, {r('QUANTILE_CONT(v, 0.5)', 'q50')},
+        {r('QUANTILE_CONT(v, 0.75)', 'q75')} FROM (SELECT l_suppkey,
+        CASE WHEN l_suppkey % 10 <> 0 THEN CAST(l_quantity AS DOUBLE) END AS v FROM lineitem) GROUP BY l_suppkey""",
+    "sample_controls_ratio2": sql(
+        f"""SELECT o.codcon, o.codudu, g.mes_evento FROM (
+            SELECT codcon, codudu, ROW_NUMBER() OVER (ORDER BY {key_hash_sql(['codcon', 'codudu'])}, codcon, codudu) AS rk,
+                   {key_hash_sql(['codcon', 'codudu'], 43)} % (SELECT COUNT(*) FROM ({FEW})) AS pos FROM never) o
+        JOIN (SELECT mes_evento, SUM(k) OVER (ORDER BY mes_evento) - k AS lo, SUM(k) OVER (ORDER BY mes_evento) AS hi
+              FROM (SELECT mes_evento, COUNT(*) AS k FROM ({FEW}) GROUP BY 1)) g ON o.pos >= g.lo AND o.pos < g.hi
+        WHERE o.rk <= 2 * (SELECT COUNT(*) FROM ({FEW}))""", "treated", "never"),
+    "did_basic_t": sql(
+        f"SELECT {r('effect', 'effect')}, {r('s3', 'std_error')}, {r('effect / s3', 't_stat')}, n AS n_obs, g AS n_clusters FROM basic, dd_se, dd_fit",
+        "basic", "dd_se", "dd_fit"),
+    # Frisch and Waugh: outcome and number less their category means
+    "ols_covariate_fwl": sql(
+        f""", centred AS (SELECT codcon, codudu, volfac - AVG(volfac) OVER (PARTITION BY codcat) AS y,
+            imagua - AVG(imagua) OVER (PARTITION BY codcat) AS x FROM consumo),
+        slope AS (SELECT SUM(x * y) / SUM(x * x) AS b, SUM(x * x) AS sxx FROM centred)
+        SELECT 'imagua' AS term, {r('b', 'coef')},
+               {r('SQRT(1.0 * g / (g - 1) * (n - 1) / (n - 1 - cats) * meat) / sxx', 'std_error')}, n AS n_obs, g AS n_clusters
+        FROM (SELECT SUM(s * s) AS meat, COUNT(*) AS g FROM (
+                SELECT codcon, codudu, SUM(x * (y - b * x)) AS s FROM centred, slope GROUP BY 1, 2)) AS scores,
+             slope, (SELECT COUNT(*) AS n, COUNT(DISTINCT codcat) AS cats FROM consumo) AS counts""", "consumo"),
+}

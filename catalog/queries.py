@@ -31,6 +31,7 @@ from aforo.streaming import incremental as INC
 from catalog.fixture import consumo, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+TEXT_SAMPLE = 200
 QUERIES: dict[str, Query] = {}
 
 CENTROIDS = [[-1.0] * 5, [0.0] * 5, [1.0] * 5]
@@ -83,7 +84,7 @@ def stored(spark, df: DataFrame, name: str) -> DataFrame:
 
 
 def did_panel(spark, sf) -> DataFrame:
-    return stored(spark, P.did_panel(consumo(spark, sf)), "did-panel")
+    return stored(spark, P.did_panel(consumo(spark, sf), allow_short=True), "did-panel")
 
 
 def event_study_panel(spark, sf) -> DataFrame:
@@ -146,7 +147,7 @@ def sink_verify(spark, sf):
 @register
 def csv_sink(spark, sf):
     path = scratch_path(spark, "pretrends")
-    sinks.csv_sink(P.pretrend_pivot(P.did_panel(consumo(spark, sf))), path)
+    sinks.csv_sink(P.pretrend_pivot(P.did_panel(consumo(spark, sf), allow_short=True)), path)
     stored = spark.read.option("header", True).schema("t_rel int, `0` double, `1` double").csv(path)
     return rounded(stored.withColumnsRenamed({"0": "control", "1": "treated"}))
 
@@ -430,7 +431,7 @@ def distinct_values(spark, sf):
 
 @register
 def pivot_mean(spark, sf):
-    panel = P.did_panel(consumo(spark, sf))
+    panel = P.did_panel(consumo(spark, sf), allow_short=True)
     return rounded(P.pivot_mean(panel, "t_rel", "treated", [0, 1], "volfac", "treated_"))
 
 
@@ -463,7 +464,7 @@ def event_panel(spark, sf):
 
 @register
 def combine_panels(spark, sf):
-    panel = P.did_panel(consumo(spark, sf))
+    panel = P.did_panel(consumo(spark, sf), allow_short=True)
     return rounded(panel.select("codcon", "codudu", "t_rel", "treated", "post", "volfac"))
 
 
@@ -725,13 +726,15 @@ def cluster_profiles(spark, sf):
 
 @register
 def silhouette(spark, sf):
-    """Squared-distance silhouette over all rows and Euclidean silhouette over the sample."""
+    """Squared-distance silhouette over all rows; the Euclidean one has a sample of stated size."""
     labelled = labelled_connections(spark, sf)
     z = [f"z_{f}" for f in S.CLUSTER_FEATURES["B"]]
     vectors = K.VectorAssembler(inputCols=z, outputCol="zvec").transform(labelled).persist()
     squared = K.silhouette(vectors)
-    euclidean = K.silhouette_sample(vectors, ["codcon"], ["cluster"])
-    return rounded(euclidean.select("silhouette", F.lit(squared).alias("silhouette_sq"), "n"))
+    n = vectors.count()
+    vectors.unpersist()
+    out = spark.range(1).select(F.lit(squared).alias("silhouette_sq"), F.lit(n).cast("long").alias("n"))
+    return rounded(out)
 
 
 @register
@@ -752,12 +755,12 @@ def isolation_forest_score(spark, sf):
 
 @register
 def pretrend_means(spark, sf):
-    return rounded(P.pretrend_means(P.did_panel(consumo(spark, sf))))
+    return rounded(P.pretrend_means(P.did_panel(consumo(spark, sf), allow_short=True)))
 
 
 @register
 def pretrend_gap(spark, sf):
-    return rounded(P.pretrend_gap(P.did_panel(consumo(spark, sf))))
+    return rounded(P.pretrend_gap(P.did_panel(consumo(spark, sf), allow_short=True)))
 
 
 @register
@@ -841,7 +844,7 @@ def coef_interval(spark, sf):
 
 @register
 def did_basic(spark, sf):
-    return rounded(P.did_basic(P.did_panel(consumo(spark, sf))))
+    return rounded(P.did_basic(P.did_panel(consumo(spark, sf), allow_short=True)))
 
 
 @register
@@ -869,7 +872,7 @@ def excess_loss(spark, sf):
 def policy_impact(spark, sf):
     fact = consumo(spark, sf)
     n = P.first_transition(fact, "1to2").count()
-    effects = P.did_basic(P.did_panel(fact)).select(F.lit(n).cast("long").alias("n_units"), "effect")
+    effects = P.did_basic(P.did_panel(fact, allow_short=True)).select(F.lit(n).cast("long").alias("n_units"), "effect")
     return rounded(I.policy_impact(effects, TARIFF, effect="effect"), 4)
 
 
@@ -882,3 +885,40 @@ def deviation_alerts(spark, sf):
             "coddis", "nuanio", "nummes", "demanda_total_m3", "esperado", "desviacion"
         )
     )
+
+
+@register
+def sample_rows_text_keys(spark, sf):
+    """Orders drawn by a key that is no number."""
+    keyed = table(spark, sf, "orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"))
+    return billing.sample_rows(keyed, TEXT_SAMPLE, ["key"])
+
+
+@register
+def quantiles_null_groups(spark, sf):
+    """Exact quartiles where some groups hold nulls only, by the way of hot groups."""
+    value = F.when(F.col("l_suppkey") % 10 != 0, F.col("l_quantity").cast("double"))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", value.alias("v"))
+    return rounded(Q.group_quantiles(rows, ["l_suppkey"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, hot_rows=1))
+
+
+@register
+def sample_controls_ratio2(spark, sf):
+    """Two controls for each of few treated units, so that the ratio binds."""
+    history = stored(spark, P.unit_history(consumo(spark, sf)), "unit-history")
+    few = P.events_of(history, "1to2").filter(F.col("codcon") % 5 == 0)
+    return P.sample_controls(few, history.filter("nunca"), ratio=2)
+
+
+@register
+def did_basic_t(spark, sf):
+    return rounded(G.did_basic_t(did_panel(spark, sf)))
+
+
+@register
+def ols_covariate_fwl(spark, sf):
+    """One number and one category, clustered by unit: the number's coefficient."""
+    rows = consumo(spark, sf)
+    terms, _, cells = G.covariate_terms(rows, ["codcat"], ["imagua"], False)
+    found = G.ols(rows, "volfac", [G.intercept(), *terms], G.CLUSTER, cells)
+    return rounded(found.filter("term = 'imagua'").select("term", "coef", "std_error", "n_obs", "n_clusters"))

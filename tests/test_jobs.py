@@ -115,7 +115,7 @@ def test_no_results(spark, tmp_path):
 
 def test_causal_jobs(spark, fact):
     events, did = scratch_path(spark, "events"), scratch_path(spark, "did")
-    jobs.build_panels(spark, fact, events, did)
+    jobs.build_panels(spark, fact, events, did, allow_short=True)
     target, csv = scratch_path(spark, "effects"), scratch_path(spark, "pre")
     effects = {r["term"]: r for r in jobs.estimate_effects(spark, events, did, target, csv).collect()}
     assert {"intercept", "treated", "post", "treated_post", "hoxdia", "diasem"} <= set(effects)
