@@ -20,13 +20,14 @@ path is exact too and linear in the members.
 :func:`near_copies` serves a wider similarity, a Jaccard coefficient of five-word
 shingles of 0.8 or more, which 2 of 64 bits cannot reach: such texts differ in
 some 15 % of their bits. Its fingerprint has 512 bits of the distinct shingles.
-Four segments of 23 bits give codeword numbers as above, and a key is a pair of
+Five segments of 23 bits give codeword numbers as above, and a key is a pair of
 numbers of two segments: two texts of similarity 0.8 share one with probability
-0.83, of 0.9 with 0.97, unrelated ones with 0.0003. Rows of a key come sorted; up to
+0.92, of 0.9 with 0.99, unrelated ones with 0.0004. Rows of a key come sorted; up to
 ``WINDOW`` + 1 of them are compared all with all, of more each takes the nearest
-of its neighbours, in every key anew. Candidates are verified by their 512 bits:
-at most ``NEAR_BITS`` may differ, which is a similarity of 0.77 with a standard
-error of 0.03, so that few of 0.8 are lost. This is an index, not exact;
+of its neighbours, in every key anew. A pair that differs in at most
+``SURE_BITS`` of the 512 bits is a link. One of at most ``NEAR_BITS`` is verified
+by its shingles, unless links join its ends already, which spares groups of
+copies that work. The search for candidates is an index, not exact;
 ``tests/llm`` hold its recall against brute force.
 
 Null text counts as empty and has fingerprint zero, like a text without words.
@@ -55,8 +56,9 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Near copies: shingle, words of the fingerprint, those of them that give keys.
 COPY_SHINGLE = 5
 WIDE = 8
-KEY_WORDS = (1, 2, 3, 4)
-NEAR_BITS = 84
+KEY_WORDS = (1, 2, 3, 4, 5)
+SIMILAR = 0.8
+SURE_BITS, NEAR_BITS = 60, 104
 #: Of the 64 bits at hand with a key, so many may differ in a candidate (unrelated texts: 32).
 FIRST_BITS = 20
 WINDOW = 16
@@ -184,18 +186,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.select("doc_id", "h", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-def wide_fingerprint(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """``WIDE`` words of 64 bits over the distinct word shingles of a text; zeros without words."""
+def shingle_hashes(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct word shingles of a text; of fewer words, of their whole sequence."""
     import xxhash
 
     words = text.encode().lower().split()
-    if not words:
-        return np.zeros(WIDE, np.uint64)
     if len(words) <= shingle:
-        shingles = {b" ".join(words)}
+        shingles = {b" ".join(words)} if words else set()
     else:
         shingles = set(map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in shingles), np.uint64, len(shingles))
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in shingles), np.uint64, len(shingles))
+
+
+def wide_fingerprint(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """``WIDE`` words of 64 bits over the distinct word shingles of a text; zeros without words."""
+    hashes = shingle_hashes(text, shingle)
     steps = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     votes = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 16_384):
@@ -299,25 +304,48 @@ def copy_candidates(nodes: DataFrame) -> DataFrame:
 
     keys = nodes.select("wide").mapInArrow(spread, "key int, fp long")
     # each kind of key sorts by other bits first, so that neighbours differ from key to key
-    turn = F.shiftright("key", 24) * 10
+    turn = F.shiftright("key", 24) * 6
     order = F.call_function("shiftleft", F.col("fp"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), 64 - turn))
-    ordered = keys.withColumn("_o", order).repartition("key").sortWithinPartitions("key", "_o").drop("_o")
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key", order).mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets are similar; ``texts(fp, t)`` has a row for each end."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, shingle).view(np.int64) for t in text_values(batch["t"])]
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+
+    sets = stored(texts.mapInArrow(read, "fp long, s array<long>"), "copies-sets")
+    side = lambda end: sets.select(F.col("fp").alias(end), F.col("s").alias(f"s{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, bits: int = NEAR_BITS) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """A row per document: doc_id, h, component_id, the least id of its near copies and theirs.
 
     Texts whose first 64 bits agree are one node, however many.
     """
     marked = stored(wide_fingerprints(docs, doc_id, text, shingle), "copies-fingerprints")
-    node = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.min_by("wide", "h").alias("wide"))
-    nodes = stored(node, "copies-nodes")
+    node = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.min(F.struct("h", "wide")).alias("_m"))
+    nodes = stored(node.select("fp", "_least", "_m.h", "_m.wide"), "copies-nodes")
     pairs = stored(copy_candidates(nodes), "copies-candidates")
     side = lambda end: nodes.select(F.col("fp").alias(end), F.col("wide").alias(f"w{end}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    links = stored(both.filter(apart <= bits).select("a", "b"), "copies-links")
+    near = stored(both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= NEAR_BITS), "copies-near")
+    sure = near.filter(F.col("apart") <= SURE_BITS).select("a", "b")
+    joined = components(sure)
+    root = lambda end: joined.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    open_ = near.filter(F.col("apart") > SURE_BITS).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = stored(open_.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "copies-open")
+    ends = open_.select(F.col("a").alias("fp")).union(open_.select(F.col("b").alias("fp"))).distinct()
+    asked = stored(nodes.select("fp", "h").join(ends, "fp"), "copies-asked")
+    texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("fp", "t").dropDuplicates(["fp"])
+    links = stored(sure.union(similar_pairs(open_, texts, shingle, similar)), "copies-links")
     roots = components(links).withColumnRenamed("node", "fp")
     classes = nodes.select("fp", "_least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
