@@ -24,11 +24,13 @@ Five segments of 23 bits give codeword numbers as above, and a key is a pair of
 numbers of two segments: two texts of similarity 0.8 share one with probability
 0.92, of 0.9 with 0.99, unrelated ones with 0.0004. Rows of a key come sorted; up to
 ``WINDOW`` + 1 of them are compared all with all, of more each takes the nearest
-of its neighbours, in every key anew. A pair that differs in at most
+of its neighbours first, which joins most of what belongs together. Then all
+members of such a key that no links join yet are compared, a key of more than
+``BLOCK`` in blocks. A pair that differs in at most
 ``SURE_BITS`` of the 512 bits is a link. One of at most ``NEAR_BITS`` is verified
 by its shingles, unless links join its ends already, which spares groups of
-copies that work. The search for candidates is an index, not exact;
-``tests/llm`` hold its recall against brute force.
+copies that work. Which texts share a key is left to chance, not exact; what
+shares one is compared. ``tests/llm`` hold the recall against brute force.
 
 Null text counts as empty and has fingerprint zero, like a text without words.
 Null ids are kept; a group of null ids only has a null component. Rows that
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforo.llm.common import pick, stored, text_values
@@ -62,6 +64,8 @@ SURE_BITS, NEAR_BITS = 60, 104
 #: Of the 64 bits at hand with a key, so many may differ in a candidate (unrelated texts: 32).
 FIRST_BITS = 20
 WINDOW = 16
+#: Members of a large key that are compared in one task with as many others.
+BLOCK = 8192
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -200,7 +204,11 @@ def shingle_hashes(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
 
 def wide_fingerprint(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
     """``WIDE`` words of 64 bits over the distinct word shingles of a text; zeros without words."""
-    hashes = shingle_hashes(text, shingle)
+    return wide_votes(shingle_hashes(text, shingle))
+
+
+def wide_votes(hashes: np.ndarray) -> np.ndarray:
+    """The wide fingerprint of distinct hashes."""
     steps = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     votes = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 16_384):
@@ -217,19 +225,23 @@ def wide_fingerprint(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """``(doc_id, h, fp, wide)``: text hash, first word of the fingerprint, and all of it."""
+    """``(doc_id, h, node, size, wide)``: text hash, first word of the fingerprint, distinct shingles, fingerprint."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t, shingle) for t in text_values(batch["t"])], np.uint64)
-            found = found.reshape(-1, WIDE).view(np.int64)
+            found, sizes = np.zeros((len(batch), WIDE), np.uint64), []
+            for i, t in enumerate(text_values(batch["t"])):
+                hashes = shingle_hashes(t, shingle)
+                found[i] = wide_votes(hashes)
+                sizes.append(len(hashes))
+            found, size = found.view(np.int64), pa.array(sizes, pa.int64())
             wide = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), WIDE).cast(pa.list_(pa.int64()))
-            columns = [batch["doc_id"], batch["h"], pa.array(found[:, 0]), wide]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp", "wide"])
+            columns = [batch["doc_id"], batch["h"], pa.array(found[:, 0]), size, wide]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "size", "wide"])
 
     rows = pick(docs, doc_id=doc_id, t=text)
     rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("t").alias("h"), "t")
-    return rows.mapInArrow(read, "doc_id long, h long, fp long, wide array<long>")
+    return rows.mapInArrow(read, "doc_id long, h long, node long, size long, wide array<long>")
 
 
 def pair_keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,45 +293,128 @@ def _neighbours(key: np.ndarray, fp: np.ndarray, fresh_from: int) -> tuple[np.nd
     return np.concatenate([*left, i]), np.concatenate([*right, at[i]])
 
 
-def copy_candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of ``fp`` that share a key and look alike in 64 bits."""
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """``(key, node, fp, n)`` of the keys that ``n`` > 1 nodes share; ``fp`` is the first word of the fingerprint."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            node = batch["node"].to_numpy()
             wide = batch["wide"].flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
             for at in range(0, len(wide), 1024):
                 part = wide[at : at + 1024]
                 rows, keys = pair_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows, 0].view(np.int64))], ["key", "fp"])
+                columns = [pa.array(keys), pa.array(node[at : at + 1024][rows]), pa.array(part[rows, 0].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "fp"])
+
+    keys = nodes.select("node", "wide").mapInArrow(spread, "key int, node long, fp long")
+    return keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def copy_candidates(shared: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of nodes that share a key and look alike in 64 bits: of large keys nearest ones only."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        key, node, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             old = len(key)
-            key, fp = np.concatenate([key, batch["key"].to_numpy()]), np.concatenate([fp, batch["fp"].to_numpy()])
+            key, node = np.concatenate([key, batch["key"].to_numpy()]), np.concatenate([node, batch["node"].to_numpy()])
+            fp = np.concatenate([fp, batch["fp"].to_numpy()])
             a, b = _neighbours(key, fp.view(np.uint64), old)
-            low, high = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-            key, fp = key[-WINDOW:], fp[-WINDOW:]
+            yield _ordered(node[a], node[b])
+            key, node, fp = key[-WINDOW:], node[-WINDOW:], fp[-WINDOW:]
 
-    keys = nodes.select("wide").mapInArrow(spread, "key int, fp long")
     # each kind of key sorts by other bits first, so that neighbours differ from key to key
     turn = F.shiftright("key", 24) * 6
     order = F.call_function("shiftleft", F.col("fp"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), 64 - turn))
-    return keys.repartition("key").sortWithinPartitions("key", order).mapInArrow(compare, "a long, b long").distinct()
+    keys = shared.select("key", "node", "fp").repartition("key").sortWithinPartitions("key", order)
+    return keys.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _unjoined(fp: np.ndarray, root: np.ndarray, own: np.ndarray, across: bool, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots that look alike in 64 bits among rows sorted by root, ``across``: of two blocks."""
+    ends = np.searchsorted(root, root, side="right")
+    kept = [np.zeros((0, 3), np.int64)]
+    at = 0
+    while at < len(fp) and ends[at] < len(fp):
+        to, first = at + 128, ends[at]
+        bits = np.bitwise_count(fp[at:to, None] ^ fp[first:])
+        fits = (bits <= FIRST_BITS) & (root[at:to, None] < root[first:])
+        if across:
+            fits &= own[at:to, None] != own[first:]
+        i, j = np.nonzero(fits)
+        bits, i, j = bits[i, j], i + at, j + first
+        if nearest:
+            # of each pair of roots the nearest so far
+            rows = np.concatenate([*kept, np.stack([bits.astype(np.int64), i, j], axis=1)])
+            rows = rows[np.lexsort((rows[:, 0], root[rows[:, 2]], root[rows[:, 1]]))]
+            a, b = root[rows[:, 1]], root[rows[:, 2]]
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            # roots are sorted, so those before the next row's are done
+            rows = rows[fresh]
+            going = root[rows[:, 1]] == root[min(to, len(fp) - 1)]
+            kept = [rows[going]]
+            i, j = rows[~going, 1], rows[~going, 2]
+        yield i, j
+        at = to
+    yield kept[0][:, 1], kept[0][:, 2]
+
+
+def unjoined_pairs(large: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
+    """Distinct pairs ``(a, b)`` that share a key of ``large``, look alike in 64 bits and have different roots.
+
+    All of them, or of each key and two roots a ``nearest`` one. A key with
+    more members than ``BLOCK`` is cut into blocks, and every two blocks meet.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "p", "q", "own", "node", "fp", "root")
 
+        def pairs(cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, p, q, own, node, fp, root = cell
+            for i, j in _unjoined(fp.view(np.uint64), root, own, p[0] != q[0], nearest):
+                yield _ordered(node[i], node[j])
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar; ``texts(fp, t)`` has a row for each end."""
+        rest = np.zeros((len(names), 0), np.int64)
+        for batch in batches:
+            rest = np.concatenate([rest, np.stack([batch[c].to_numpy().astype(np.int64) for c in names])], axis=1)
+            cuts = np.flatnonzero((rest[:3, 1:] != rest[:3, :-1]).any(axis=0)) + 1
+            for at, to in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield from pairs(np.ascontiguousarray(rest[:, at:to]))
+            rest = rest[:, cuts[-1] :] if len(cuts) else rest
+        if rest.shape[1]:
+            yield from pairs(np.ascontiguousarray(rest))
+
+    rows = large.select("key", "node", "fp").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(rows, "copies-rooted")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    sizes = sizes.filter("_low < _high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(stored(sizes, "copies-sizes"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"p": F.least("own", "_other"), "q": F.greatest("own", "_other")})
+    rows = rows.select("key", "p", "q", "own", "node", "fp", "root").repartition("key", "p", "q")
+    return rows.sortWithinPartitions("key", "p", "q", "root").mapInArrow(compare, "a long, b long").distinct()
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(node, s)``, the hashes of the shingles of ``texts(node, t)``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, shingle).view(np.int64) for t in text_values(batch["t"])]
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    sets = stored(texts.mapInArrow(read, "fp long, s array<long>"), "copies-sets")
-    side = lambda end: sets.select(F.col("fp").alias(end), F.col("s").alias(f"s{end}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return texts.mapInArrow(read, "node long, s array<long>")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets are similar; ``sets(node, s)`` has a row for each end."""
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -330,27 +425,48 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Texts whose first 64 bits agree are one node, however many.
     """
     marked = stored(wide_fingerprints(docs, doc_id, text, shingle), "copies-fingerprints")
-    node = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.min(F.struct("h", "wide")).alias("_m"))
-    nodes = stored(node.select("fp", "_least", "_m.h", "_m.wide"), "copies-nodes")
-    pairs = stored(copy_candidates(nodes), "copies-candidates")
-    side = lambda end: nodes.select(F.col("fp").alias(end), F.col("wide").alias(f"w{end}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    near = stored(both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= NEAR_BITS), "copies-near")
-    sure = near.filter(F.col("apart") <= SURE_BITS).select("a", "b")
-    joined = components(sure)
-    root = lambda end: joined.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-    open_ = near.filter(F.col("apart") > SURE_BITS).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_ = stored(open_.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "copies-open")
-    ends = open_.select(F.col("a").alias("fp")).union(open_.select(F.col("b").alias("fp"))).distinct()
-    asked = stored(nodes.select("fp", "h").join(ends, "fp"), "copies-asked")
-    texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("fp", "t").dropDuplicates(["fp"])
-    links = stored(sure.union(similar_pairs(open_, texts, shingle, similar)), "copies-links")
-    roots = components(links).withColumnRenamed("node", "fp")
-    classes = nodes.select("fp", "_least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    node = marked.groupBy("node").agg(F.min("doc_id").alias("_least"), F.min(F.struct("h", "size", "wide")).alias("_m"))
+    nodes = stored(node.select("node", "_least", "_m.h", "_m.size", "_m.wide"), "copies-nodes")
+    shared = stored(shared_keys(nodes), "copies-keys")
+    large = shared.filter(F.col("n") > WINDOW + 1)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """``(a, b, apart)`` of the pairs that sizes and bits leave open."""
+        side = lambda end: nodes.select(F.col("node").alias(end), F.col("wide").alias(f"w{end}"), F.col("size").alias(f"n{end}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = both.filter(F.least("na", "nb") >= similar * F.greatest("na", "nb"))
+        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+        return both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= NEAR_BITS)
+
+    def unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """``pairs`` of different roots, with these as ``ra`` and ``rb``."""
+        root = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return both.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).filter("ra <> rb")
+
+    first = stored(near(copy_candidates(shared)), "copies-near")
+    ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(large.select("node"))
+    asked = stored(nodes.select("node", "h").join(ends.distinct(), "node"), "copies-asked")
+    texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("node", "t").dropDuplicates(["node"])
+    sets = stored(shingle_sets(texts, shingle), "copies-sets")
+
+    links = stored(first.filter(F.col("apart") <= SURE_BITS).select("a", "b"), "copies-sure")
+    # one pair of each two groups first, then whatever is still apart
+    labels = components(links)
+    more = near(unjoined_pairs(large, labels, nearest=True))
+    open_ = unjoined(first.union(more), labels).groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
+    tried = stored(open_.agg(F.min(F.struct("apart", "a", "b")).alias("_p")).select("_p.a", "_p.b"), "copies-tried")
+    links = stored(links.union(similar_pairs(tried, sets, similar)), "copies-links")
+    labels = components(links)
+    more = near(unjoined_pairs(large, labels, nearest=False))
+    open_ = unjoined(first.union(more), labels).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = stored(links.union(similar_pairs(stored(open_, "copies-open"), sets, similar)), "copies-links")
+
+    roots = components(links)
+    classes = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = stored(classes.join(stored(least, "copies-least"), "root").select("fp", "component_id"), "copies-classes")
-    return marked.select("doc_id", "h", "fp").join(classes, "fp").select("doc_id", "h", "component_id")
+    classes = stored(classes.join(stored(least, "copies-least"), "root").select("node", "component_id"), "copies-classes")
+    return marked.select("doc_id", "h", "node").join(classes, "node").select("doc_id", "h", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE) -> DataFrame:
