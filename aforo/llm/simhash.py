@@ -26,10 +26,11 @@ numbers of two segments: two texts of similarity 0.8 share one with probability
 ``WINDOW`` + 1 of them are compared all with all, of more each takes the nearest
 of its neighbours first, which joins most of what belongs together. Then all
 members of such a key that no links join yet are compared, a key of more than
-``BLOCK`` in blocks. A pair that differs in at most
-``SURE_BITS`` of the 512 bits is a link. One of at most ``NEAR_BITS`` is verified
-by its shingles, unless links join its ends already, which spares groups of
-copies that work. Which texts share a key is left to chance, not exact; what
+``BLOCK`` in blocks. A pair that differs in at most ``NEAR_BITS`` of the 512 bits
+is a link if its shingles say so, never by its bits alone. Groups of copies spare
+most of that work: what pairs of at most ``SURE_BITS`` connect is verified against
+one text of it first, and pairs that verified links join already are left out.
+Which texts share a key is left to chance, not exact; what
 shares one is compared. ``tests/llm`` hold the recall against brute force.
 
 Null text counts as empty and has fingerprint zero, like a text without words.
@@ -225,18 +226,20 @@ def wide_votes(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """``(doc_id, h, node, size, wide)``: text hash, first word of the fingerprint, distinct shingles, fingerprint."""
+    """``(doc_id, h, node, size, wide)``: hashes of the text and of its words, count of its shingles, fingerprint."""
+    import xxhash
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = np.zeros((len(batch), WIDE), np.uint64), []
+            found, sizes, nodes = np.zeros((len(batch), WIDE), np.uint64), [], np.zeros(len(batch), np.uint64)
             for i, t in enumerate(text_values(batch["t"])):
                 hashes = shingle_hashes(t, shingle)
                 found[i] = wide_votes(hashes)
                 sizes.append(len(hashes))
+                nodes[i] = xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), SEED)
             found, size = found.view(np.int64), pa.array(sizes, pa.int64())
             wide = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), WIDE).cast(pa.list_(pa.int64()))
-            columns = [batch["doc_id"], batch["h"], pa.array(found[:, 0]), size, wide]
+            columns = [batch["doc_id"], batch["h"], pa.array(nodes.view(np.int64)), size, wide]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "size", "wide"])
 
     rows = pick(docs, doc_id=doc_id, t=text)
@@ -422,7 +425,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFram
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """A row per document: doc_id, h, component_id, the least id of its near copies and theirs.
 
-    Texts whose first 64 bits agree are one node, however many.
+    Texts of the same words are one node, however many.
     """
     marked = stored(wide_fingerprints(docs, doc_id, text, shingle), "copies-fingerprints")
     node = marked.groupBy("node").agg(F.min("doc_id").alias("_least"), F.min(F.struct("h", "size", "wide")).alias("_m"))
@@ -450,16 +453,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("node", "t").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, shingle), "copies-sets")
 
-    links = stored(first.filter(F.col("apart") <= SURE_BITS).select("a", "b"), "copies-sure")
-    # one pair of each two groups first, then whatever is still apart
+    # members of what sure pairs connect against one of them, one pair of each two groups, then whatever is still apart
+    stars = components(first.filter(F.col("apart") <= SURE_BITS)).filter("node <> root")
+    stars = stored(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), "copies-stars")
+    links = stored(similar_pairs(stars, sets, similar), "copies-links")
     labels = components(links)
     more = near(unjoined_pairs(large, labels, nearest=True))
-    open_ = unjoined(first.union(more), labels).groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
+    open_ = unjoined(first.union(more), labels).join(stars, ["a", "b"], "left_anti").groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
     tried = stored(open_.agg(F.min(F.struct("apart", "a", "b")).alias("_p")).select("_p.a", "_p.b"), "copies-tried")
     links = stored(links.union(similar_pairs(tried, sets, similar)), "copies-links")
     labels = components(links)
     more = near(unjoined_pairs(large, labels, nearest=False))
-    open_ = unjoined(first.union(more), labels).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = unjoined(first.union(more), labels).select("a", "b").distinct().join(tried.union(stars), ["a", "b"], "left_anti")
     links = stored(links.union(similar_pairs(stored(open_, "copies-open"), sets, similar)), "copies-links")
 
     roots = components(links)

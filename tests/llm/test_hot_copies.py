@@ -90,3 +90,16 @@ def test_all_pairs_of_different_roots_in_blocks(spark, monkeypatch):
         of = (key[i], *sorted((root[i], root[j])))
         found[of] = min(found.get(of, 65), want[i, j])
     assert found == best
+
+
+def test_no_link_without_its_shingles(spark, documents):
+    """A family at some 0.78, of whose many pairs some are near in bits by chance."""
+    rng = random.Random(12)
+    base = prose(rng, 300)
+    texts = [ending(rng, base, 36) for _ in range(180)]
+    wide = np.array([simhash.wide_fingerprint(t) for t in texts])
+    apart = np.bitwise_count(wide[:, None] ^ wide).sum(axis=2)
+    assert (apart[np.triu_indices(180, 1)] <= simhash.SURE_BITS).any()
+    want = classes_of(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(180)] == want == list(range(180))
