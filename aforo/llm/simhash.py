@@ -423,7 +423,12 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFram
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """A row per document: doc_id, h, component_id, the least id of its near copies and theirs.
+    """A row per document: doc_id, h, component_id, the least id of its near copies and theirs."""
+    return copy_groups(docs, doc_id, text, shingle, similar).drop("root")
+
+
+def copy_groups(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """:func:`near_copies` with ``root``, which tells groups apart that have no id or share their least one.
 
     Texts of the same words are one node, however many.
     """
@@ -470,18 +475,20 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     roots = components(links)
     classes = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = stored(classes.join(stored(least, "copies-least"), "root").select("node", "component_id"), "copies-classes")
-    return marked.select("doc_id", "h", "node").join(classes, "node").select("doc_id", "h", "component_id")
+    classes = stored(classes.join(stored(least, "copies-least"), "root").select("node", "root", "component_id"), "copies-classes")
+    return marked.select("doc_id", "h", "node").join(classes, "node").select("doc_id", "h", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE) -> DataFrame:
     """The document with the least id of each group of :func:`near_copies`, all columns.
 
-    Of rows with that id, the one with the least text hash stays, once.
+    A null id comes after all others. Of rows with that id, the one with the
+    least text hash stays, once.
     """
-    found = near_copies(docs, doc_id, text, shingle)
-    own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = own.groupBy(F.col("doc_id").alias("_id")).agg(F.min("h").alias("_h"))
+    found = copy_groups(docs, doc_id, text, shingle)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    chosen = found.groupBy("root").agg(least.alias("_m")).select("root", F.col("_m.doc_id").alias("_id"), F.col("_m.h").alias("_h"))
+    chosen = stored(chosen.withColumnRenamed("root", "_root"), "simhash-chosen")
     same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_h"))
-    kept = docs.join(stored(chosen, "simhash-chosen"), same).dropDuplicates(["_id"])
+    kept = docs.join(chosen, same).dropDuplicates(["_root"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

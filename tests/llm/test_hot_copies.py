@@ -103,3 +103,13 @@ def test_no_link_without_its_shingles(spark, documents):
     want = classes_of(texts)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(180)] == want == list(range(180))
+
+
+def test_one_stays_of_each_group_whatever_its_ids(spark, documents):
+    """Unrelated texts without ids or with the same id are groups of their own."""
+    copy = "x y z u v w"
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "G h i j k l"), (5, "m n o p q r"), (5, "s t u v w x")]
+    rows += [(None, copy), (7, copy), (9, copy.upper()), (7, copy)]
+    got = [(r.doc_id, (r.text or "").lower()) for r in simhash.keep_one(documents(rows)).collect()]
+    want = [(None, "a b c d e f"), (None, "g h i j k l"), (5, "m n o p q r"), (5, "s t u v w x"), (7, copy)]
+    assert sorted(got, key=str) == sorted(want, key=str)
