@@ -177,10 +177,15 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def filter_decided(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose language can be told, all columns unchanged."""
+    """The rows whose language can be told, all columns unchanged.
+
+    Of a model without languages: the rows whose text has letters.
+    """
 
     @F.pandas_udf("boolean")
     def decided(texts):
+        if not model.names:
+            return texts.map(lambda t: bool(LETTER.search(t or "")))
         return texts.map(lambda t: model.predict(t or "")[0] != UNDECIDED)
 
     return docs.filter(decided(F.col(f"`{text}`")))

@@ -29,3 +29,10 @@ def test_empty_documents_give_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF) if set(docs.columns) >= {"text"} else docs
     assert docs.count() == 0
+
+
+def test_documents_without_labels_pass_the_language_stage(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 34 !", None), (None, "other words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, docs, SF).collect()
+    assert sorted(r.text for r in got) == ["other words", "some words"]
