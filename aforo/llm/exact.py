@@ -5,7 +5,7 @@ own characters say so: at least ``LEAST`` characters, then on to the first place
 whose last three code points are all 3 modulo 4 (in running text one place in
 some 600), at most ``MOST`` characters. Where a text repeats a passage of
 another, the cuts fall in step again soon after its start. Code points above
-U+024F never cut by themselves, so other scripts get chunks of ``MOST``.
+U+00FF never cut by themselves, so other scripts get chunks of ``MOST``.
 
 Each chunk gets an identifier. Every distinct pair of identifier and chunk is
 shuffled once, and an identifier that stands for two chunks rejects the whole
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from aforo.llm.common import ascii_lower, pick, stored
 
 LEAST, MOST = 256, 4096
-#: Code points that are 3 modulo 4, in the Latin blocks.
-CUTTING = "".join(re.escape(chr(c)) for c in range(0x23, 0x250, 4))
-CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?:(?<=[{CUTTING}]{{3}})|\z)|.{{1,{MOST}}}"
+#: Code points that are 3 modulo 4, up to U+00FF: a class of these is one bit set.
+CUTTING = "".join(re.escape(chr(c)) for c in range(0x23, 0x100, 4))
+CHUNK = rf"(?s).{{{LEAST - 3},{MOST - 3}}}?(?:[{CUTTING}]{{3}}|\z)|.{{1,{MOST}}}"
 
 Identifier = Callable[[Column], Column]
 
