@@ -102,6 +102,8 @@ def exact_duplicates(
     ids = rows.groupBy("recipe", "doc_id").agg(F.max("row").alias("last"), F.count(F.lit(1)).alias("n"))
     largest = F.struct(F.col("doc_id"), F.col("last"))
     groups = ids.groupBy(F.col("recipe").alias("_recipe")).agg(F.max(largest).alias("_keep"), F.sum("n").alias("group_size"))
+    # stored, so that the join reads two plain exchanges and large partitions can be split
+    groups = stored(groups, "exact-groups")
     return rows.join(groups, F.col("recipe") == F.col("_recipe")).select(
         "doc_id",
         F.col("_keep.doc_id").alias("keep_id"),
