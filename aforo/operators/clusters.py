@@ -182,6 +182,59 @@ def assign_clusters(
     return df.withColumn(name, F.array_min(F.array(*candidates))["k"])
 
 
+def _share(keys: Sequence[str], columns: Sequence[str], seed: int) -> Column:
+    """A number in [0, 1) that key and values alone decide, so equal rows are drawn together."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys, *columns), 11) / F.lit(float(1 << 53))
+
+
+def start_centres(
+    df: DataFrame, columns: Sequence[str], k: int, keys: Sequence[str], seed: int = SEED, rounds: int = 5
+) -> list[list[float]]:
+    """At most ``k`` distinct starting centres by k-means||, the same for every layout of the rows.
+
+    Each round draws about 2 k rows, every one by chance in proportion to its
+    squared distance from the points drawn so far; a hash of key and values is
+    the die, so the rows of a repeated key and value are drawn together. The points, weighted by the rows nearest to them, are then reduced
+    to ``k`` on the driver, which sees some 2 k x ``rounds`` points and a sum a
+    round. Store or persist ``df``: it is read twice a round.
+    """
+    columns = list(columns)
+    order = [F.col("_u"), *columns]
+    first = df.withColumn("_u", _share(keys, columns, seed)).select("_u", *columns).orderBy(*order).limit(1).collect()
+    points = [tuple(float(r[c]) for c in columns) for r in first]
+    for turn in range(rounds if points else 0):
+        near = F.array_min(F.array(*[squared_distance(columns, p) for p in points]))
+        die = _share(keys, columns, seed + 1 + turn)
+        # the likeliest row is taken in any case, so each round adds a point while any is left
+        likeliest = F.min_by(F.struct(*columns), F.when(near > 0, die / near))
+        cost, sure = df.agg(F.sum(near), likeliest).first()
+        if not cost:
+            break
+        drawn = df.filter(die < F.lit(2.0 * k / cost) * near).select(*columns).distinct().collect()
+        points += sorted({tuple(float(r[c]) for c in columns) for r in [*drawn, sure]})
+    counts = {r["_c"]: r["count"] for r in assign_clusters(df, columns, points, "_c").groupBy("_c").count().collect()} if points else {}
+    return _reduce(np.array(points), np.array([float(counts.get(i, 0)) for i in range(len(points))]), k, seed)
+
+
+def _reduce(points: np.ndarray, weights: np.ndarray, k: int, seed: int, steps: int = 20) -> list[list[float]]:
+    """Weighted k-means of a few points: starts by weighted distance, then Lloyd steps."""
+    if not len(points):
+        return []
+    rng = np.random.default_rng(seed)
+    centres = points[[int(np.argmax(weights))]]
+    while len(centres) < k:
+        near = ((points[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) * weights
+        if near.sum() == 0:
+            break
+        centres = np.vstack([centres, points[rng.choice(len(points), p=near / near.sum())]])
+    for _ in range(steps):
+        label = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for i in range(len(centres)):
+            if (mass := weights[label == i].sum()) > 0:
+                centres[i] = weights[label == i] @ points[label == i] / mass
+    return centres.tolist()
+
+
 def cluster_profiles(df: DataFrame, features: Sequence[str], label: str = "cluster") -> DataFrame:
     """Size, share in percent and raw feature means per cluster."""
     profiles = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features])

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 
 from aforo import schema as S
-from aforo.functions.rows import select_features
+from aforo.functions.rows import drop_null_rows, select_features
 from aforo.operators import clusters, isolation, panel, regression, series, trees
+from aforo.operators.encode import apply_scaling
 from aforo.operators.features import features_connection, features_district_month, features_unit
-from aforo.session import configure
+from aforo.session import configure, scratch_path
 from aforo.sources import results
+from aforo.sources.billing import sample_rows
 from aforo.sources.sinks import csv_sink, parquet_sink, result_json_sink, sink_verify
+from aforo.streaming import incremental
 
+SAMPLE_FOR_K = 50_000
 BUILDERS = {"A": features_unit, "B": features_connection, "C": features_district_month}
 
 
@@ -62,6 +67,53 @@ def train_clusters(
     return document
 
 
+def train_minibatch_clusters(
+    spark: SparkSession, features: str, table: str, target: str, assignments: str, work: str | None = None,
+    files_per_batch: int = 1, sample_for_k: int = SAMPLE_FOR_K, n_init: int = 1,
+    k_min: int = clusters.K_MIN, k_max: int = clusters.K_MAX,
+) -> DataFrame:
+    """Segment a stored feature table batch by batch; stores assignments and the result document.
+
+    A first streaming query fits the scaler. k is chosen on a drawn sample of
+    ``sample_for_k`` scaled rows, which also gives the start centres. A second
+    streaming query moves the centres, and a plain pass assigns every row and
+    profiles the clusters. With the same ``work`` folder a job that was stopped
+    goes on after the last batch it finished.
+    """
+    configure(spark)
+    keys, wanted = S.FEATURE_TABLE_KEYS[table], S.CLUSTER_FEATURES[table]
+    work = (work or scratch_path(spark, "minibatch")).rstrip("/")
+    rows = spark.read.parquet(features)
+    columns = [f"z_{f}" for f in wanted]
+
+    def stream() -> DataFrame:
+        return incremental.stream_table(spark, features, rows.schema, files_per_batch)
+
+    scaler = incremental.standardise_incremental(stream(), wanted, f"{work}/scaler", f"{work}/scaler-stream")
+    scales = incremental.scales_of(scaler, wanted)
+    complete = drop_null_rows(rows.select(*keys, *[f for f in wanted if f not in keys]), wanted)
+    sample = apply_scaling(sample_rows(complete, sample_for_k, keys), scales).persist()
+    try:
+        vectors = VectorAssembler(inputCols=columns, outputCol="zvec").transform(sample)
+        scores = clusters.best_k_search(vectors, keys, k_min, k_max, n_init)
+        best = max(scores.collect(), key=lambda r: (r["silhouette"], -r["k"]), default=None)  # one row per k
+        if best is None:
+            raise ValueError(f"too few complete rows to choose from {k_min} clusters or more")
+        start = clusters.start_centres(sample, columns, best["k"], keys)
+    finally:
+        sample.unpersist()
+    state = incremental.minibatch_kmeans(stream(), wanted, scales, start, f"{work}/centres", f"{work}/centres-stream")
+    centres = [r["centre"] for r in state.orderBy("cluster").collect()]  # k x d numbers
+    labelled = clusters.assign_clusters(apply_scaling(complete, scales), columns, centres).drop(*columns)
+    parquet_sink(labelled, assignments)
+    profiles = clusters.cluster_profiles(spark.read.parquet(assignments), wanted)
+    document = results.profiles_document(
+        profiles, scores, table, "MiniBatchKMeans", features=wanted, mode="streaming", files_per_batch=files_per_batch
+    )
+    result_json_sink(document, target)
+    return document
+
+
 def find_anomalies(
     spark: SparkSession, features: str, table: str, target: str, anomalies: str,
     contamination: float = isolation.CONTAMINATION,

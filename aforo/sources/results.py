@@ -55,8 +55,8 @@ def _literal_map(values: dict):
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def profiles_document(profiles: DataFrame, scores: DataFrame, dataset: str, model: str) -> DataFrame:
-    """Result of a clustering run: k, silhouette map and one profile map per cluster."""
+def profiles_document(profiles: DataFrame, scores: DataFrame, dataset: str, model: str, **more) -> DataFrame:
+    """Result of a clustering run: k, silhouette map and one profile map per cluster; ``more`` adds constants."""
     columns = [c for c in profiles.columns if c != "cluster"]
     profile = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])
     by_cluster = profiles.agg(
@@ -72,6 +72,7 @@ def profiles_document(profiles: DataFrame, scores: DataFrame, dataset: str, mode
         F.lit(found[best_k]).alias("best_silhouette"),
         _literal_map({str(k): v for k, v in found.items()}).alias("silhouette_scores"),
         "*",
+        *[F.lit(v).alias(name) for name, v in more.items()],
     )
     return result_document(payload, model, dataset)
 

@@ -2,7 +2,12 @@
 
 State is a small table, one folder per micro-batch under ``state_path``. A batch
 reads the folder of the batch before it and overwrites its own, so a replayed
-batch is applied once. State size depends on features and clusters only.
+batch is applied once. Only the last batch can be replayed, so the folders of
+the last two batches stay and older ones are deleted. State size depends on
+features and clusters only.
+
+One query hands its state to the next as such a table: the scaler's last state
+scales the rows of the k-means pass (``scales_of``).
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql.types import StructType
 from aforo.functions.rows import drop_null_rows
 from aforo.operators.clusters import assign_clusters
 from aforo.operators.encode import apply_scaling
+from aforo.session import remove_folder
 
 SCALER_SCHEMA = "feature string, n long, mean double, m2 double"
 CENTROID_SCHEMA = "cluster int, weight double, centre array<double>"
@@ -33,6 +39,7 @@ def _state(spark: SparkSession, state_path: str, batch_id: int, schema: str) ->
 
 def _store(state: DataFrame, state_path: str, batch_id: int) -> None:
     state.coalesce(1).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+    remove_folder(state.sparkSession, f"{state_path}/batch={batch_id - 2}")
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> int:
@@ -104,6 +111,12 @@ def standardise_incremental(
     return state.select("feature", "n", "mean", F.sqrt(F.try_divide("m2", "n")).alias("std"))
 
 
+def scales_of(scaler: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """What ``apply_scaling`` needs, from the last state of ``standardise_incremental``; one row per feature."""
+    found = {r["feature"]: (r["mean"], r["std"] or 1.0) for r in scaler.collect()}
+    return {f: found.get(f, (0.0, 1.0)) for f in features}
+
+
 def minibatch_kmeans(
     stream: DataFrame,
     features: Sequence[str],

@@ -262,7 +262,53 @@ SELECT SQRT(f * SUM(u00 * u00)) AS s0, SQRT(f * SUM((u10 - u00) * (u10 - u00)))
        SQRT(f * SUM((u11 - u10 - u01 + u00) * (u11 - u10 - u01 + u00))) AS s3
 FROM dd_cs, (SELECT g / (g - 1.0) * (n - 1.0) / (n - 4) AS f FROM dd_fit) GROUP BY f""",
 }
+
+
+def nearest(columns: list[str], centres: list[list[str]]) -> str:
+    """SQL of the number of the nearest centre, the lowest on ties."""
+    d = ["(" + " + ".join(f"({c} - ({v})) * ({c} - ({v}))" for c, v in zip(columns, centre)) + ")" for centre in centres]
+    return f"list_position([{', '.join(d)}], LEAST({', '.join(d)})) - 1"
+
+
+Z_B = [f"z_{f}" for f in S.CLUSTER_FEATURES["B"]]
+CTES["steps0"] = (
+    "SELECT k AS cluster, 0.0 AS w, " + ", ".join(f"k - 1.0 AS {z}" for z in Z_B) + " FROM (SELECT UNNEST([0, 1, 2]) AS k)"
+)
+for _step in (1, 2):
+    # each step reads one file's rows and the centres of the step before
+    _centre = lambda k, z: f"(SELECT {z} FROM steps{_step - 1} WHERE cluster = {k})"
+    CTES[f"rows{_step}"] = (
+        f"SELECT *, {nearest(Z_B, [[f'c{k}_{z}' for z in Z_B] for k in range(3)])} AS cluster FROM (SELECT b2.*, "
+        + ", ".join(f"{_centre(k, z)} AS c{k}_{z}" for k in range(3) for z in Z_B)
+        + f" FROM (SELECT z.*, b.cod_distrito FROM bz z JOIN b ON b.codcon = z.codcon) b2 WHERE cod_distrito % 2 = {_step - 1})"
+    )
+    CTES[f"steps{_step}"] = (
+        "SELECT s.cluster, s.w + COALESCE(n, 0) AS w, "
+        + ", ".join(f"CASE WHEN n > 0 THEN (s.{z} * s.w + t.{z}) / (s.w + n) ELSE s.{z} END AS {z}" for z in Z_B)
+        + f" FROM steps{_step - 1} s LEFT JOIN (SELECT cluster, COUNT(*) AS n, "
+        + ", ".join(f"SUM({z}) AS {z}" for z in Z_B)
+        + f" FROM rows{_step} GROUP BY 1) t ON t.cluster = s.cluster"
+    )
+FIXED = {k: [[repr(2.0 * i / (k - 1) - 1.0)] * 5 for i in range(k)] for k in (2, 3, 5)}
+for _k, _fixed in FIXED.items():
+    # mean squared distance of a row to a cluster, from the cluster's sums
+    CTES[f"near{_k}"] = f"SELECT codcon, {', '.join(Z_B)}, {nearest(Z_B, _fixed)} AS c FROM bz"
+    CTES[f"sums{_k}"] = (
+        "SELECT c, COUNT(*) AS n, " + ", ".join(f"SUM({z}) AS s_{z}" for z in Z_B)
+        + f", SUM({' + '.join(f'{z} * {z}' for z in Z_B)}) AS q FROM near{_k} GROUP BY c"
+    )
+    CTES[f"far{_k}"] = (
+        "SELECT x.codcon, x.c AS own, y.c AS other, y.n, (" + " + ".join(f"x.{z} * x.{z}" for z in Z_B)
+        + ") * y.n - 2 * (" + " + ".join(f"x.{z} * y.s_{z}" for z in Z_B) + f") + y.q AS total FROM near{_k} x, sums{_k} y"
+    )
+    CTES[f"sil{_k}"] = f"""
+SELECT {_k} AS k, AVG(CASE WHEN n = 1 THEN 0 ELSE (b - a) / GREATEST(a, b) END) AS s FROM (
+SELECT codcon, MAX(CASE WHEN own = other THEN n END) AS n, MAX(CASE WHEN own = other THEN total / NULLIF(n - 1, 0) END) AS a,
+       MIN(CASE WHEN own <> other THEN total / n END) AS b FROM far{_k} GROUP BY codcon)"""
 NEEDS = {
+    "rows1": ["bz", "steps0"], "steps1": ["rows1"], "rows2": ["bz", "steps1"], "steps2": ["rows2"],
+    **{f"near{k}": ["bz"] for k in FIXED}, **{f"sums{k}": [f"near{k}"] for k in FIXED},
+    **{f"far{k}": [f"sums{k}"] for k in FIXED}, **{f"sil{k}": [f"far{k}"] for k in FIXED},
     "a": ["consumo"], "b": ["consumo"], "c": ["consumo"], "dm": ["consumo"], "series": ["dm"],
     "smooth": ["series"], "positions": ["smooth"], "dec": ["positions"], "trend": ["dec"], "amp": ["dec"],
     "pattern": ["dec"], "extremes": ["pattern"], "sstats": ["series"], "um": ["consumo"], "lagged": ["um"],
@@ -544,6 +590,14 @@ ORACLE: dict[str, str] = {
             FROM labelled GROUP BY cluster"""
             for i, f in enumerate(CLUSTER_B)
         ), "labelled"),
+    "minibatch_kmeans_two_batches": sql(
+        "\nUNION ALL\n".join(
+            f"SELECT CAST(cluster AS INT) AS cluster, CAST(w AS DOUBLE) AS weight, CAST({i} AS INT) AS dim, {r(z, 'centre')} FROM steps2"
+            for i, z in enumerate(Z_B)
+        ), "steps2"),
+    "silhouette_by_k": sql(
+        "\nUNION ALL\n".join(f"SELECT CAST(k AS INT) AS k, {r('s', 'silhouette')} FROM sil{k}" for k in FIXED),
+        *[f"sil{k}" for k in FIXED]),
     "assign_clusters": sql("SELECT codcon, cluster FROM labelled", "labelled"),
     "cluster_profiles": sql(
         f"""SELECT cluster, COUNT(*) AS n, {r('COUNT(*) * 100.0 / (SELECT COUNT(*) FROM labelled)', 'pct')},

@@ -35,6 +35,7 @@ TEXT_SAMPLE = 200
 QUERIES: dict[str, Query] = {}
 
 CENTROIDS = [[-1.0] * 5, [0.0] * 5, [1.0] * 5]
+FIXED_CENTRES = {k: [[2.0 * i / (k - 1) - 1.0] * 5 for i in range(k)] for k in (2, 3, 5)}
 TARIFF = 5.0
 SAMPLE = 1_000
 SHIFT = 0.0173
@@ -708,6 +709,31 @@ def minibatch_kmeans_one_batch(spark, sf):
     return rounded(centres.select("cluster", "weight", F.posexplode("centre").alias("dim", "centre")))
 
 
+@register
+def minibatch_kmeans_two_batches(spark, sf):
+    """Districts of even number come as one file, the others as a second one: two steps of the centres."""
+    wanted = S.CLUSTER_FEATURES["B"]
+    rows = stored(spark, connections(spark, sf).select("codcon", "cod_distrito", *wanted), "connections")
+    path = scratch_path(spark, "feature-stream")
+    for part in (0, 1):
+        batch = rows.filter(F.pmod("cod_distrito", F.lit(2)) == part).drop("cod_distrito")
+        batch.coalesce(1).write.mode("append").parquet(path)
+    stream = INC.stream_table(spark, path, rows.drop("cod_distrito").schema)
+    scaler = INC.standardise_incremental(stream, wanted, scratch_path(spark, "scaler-state"), scratch_path(spark, "scaler-stream"))
+    state, check = scratch_path(spark, "kmeans-state"), scratch_path(spark, "kmeans-stream")
+    centres = INC.minibatch_kmeans(stream, wanted, INC.scales_of(scaler, wanted), CENTROIDS, state, check)
+    return rounded(centres.select("cluster", "weight", F.posexplode("centre").alias("dim", "centre")))
+
+
+@register
+def silhouette_by_k(spark, sf):
+    """Silhouettes of fixed centres, for three numbers of clusters."""
+    wanted = S.CLUSTER_FEATURES["B"]
+    rows = R.drop_null_rows(connections(spark, sf).select("codcon", *wanted), wanted)
+    scaled = E.standardise(rows, wanted)
+    return rounded(K.silhouette_by_k(scaled, [f"z_{f}" for f in wanted], FIXED_CENTRES))
+
+
 def labelled_connections(spark, sf) -> DataFrame:
     wanted = S.CLUSTER_FEATURES["B"]
     rows = R.drop_null_rows(connections(spark, sf).select("codcon", *wanted), wanted)

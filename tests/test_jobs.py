@@ -64,6 +64,25 @@ def test_cluster_job(spark, tables):
     assert spark.read.json(target).first()["dataset"] == "B"
 
 
+def test_minibatch_job(spark, tables):
+    target, assigned, work = (scratch_path(spark, n) for n in ("m-result", "m-rows", "m-work"))
+    features = scratch_path(spark, "m-features")
+    spark.read.parquet(tables["B"]).repartition(3).write.parquet(features)
+    doc = jobs.train_minibatch_clusters(spark, features, "B", target, assigned, work).first()
+    rows = spark.read.parquet(assigned)
+    assert 2 <= doc["best_k"] <= 8 and len(doc["silhouette_scores"]) == 7
+    assert doc["n_samples"] == rows.count() == spark.read.parquet(features).dropna(subset=doc["features"]).count()
+    sizes = {str(r["cluster"]): r["count"] for r in rows.groupBy("cluster").count().collect()}
+    assert {k: int(v["n"]) for k, v in doc["cluster_profiles"].items()} == sizes
+    stored = spark.read.json(target).first()
+    assert (stored["modelo"], stored["mode"], stored["dataset"]) == ("MiniBatchKMeans", "streaming", "B")
+    state = spark.read.parquet(f"{work}/centres")
+    assert state.select("batch").distinct().count() <= 2
+    # three batches: every complete row moved a centre once
+    weights = state.filter("batch = 2").agg({"weight": "sum"}).first()[0]
+    assert weights == doc["n_samples"]
+
+
 def test_anomaly_job(spark, tables):
     target, flagged = scratch_path(spark, "i-result"), scratch_path(spark, "i-rows")
     doc = jobs.find_anomalies(spark, tables["A"], "A", target, flagged).first()

@@ -189,3 +189,31 @@ def test_alerts_and_impact(spark):
         [("consumo_promedio", 14.46, 212.66, 4405)], "feature string, normal double, anomalia double, n_anomalias long"
     )
     assert I.excess_loss(comparison, 5.0).first()["exceso_mensual_m3"] == pytest.approx(4405 * 198.2)
+
+
+def clouds(spark, centres, per=200):
+    rng = np.random.default_rng(8)
+    rows = [(i * per + j, *(float(v) for v in rng.normal(c, 0.05))) for i, c in enumerate(centres) for j in range(per)]
+    return spark.createDataFrame(rows, "id long, x double, y double")
+
+
+def test_start_centres_find_every_blob(spark):
+    centres = [(0, 0), (5, 0), (0, 5), (9, 9), (-7, 3)]
+    df = clouds(spark, centres)
+    got = K.start_centres(df, ["x", "y"], 5, ["id"])
+    d = ((np.array(got)[:, None] - np.array(centres)[None]) ** 2).sum(axis=2)
+    assert sorted(d.argmin(axis=1)) == [0, 1, 2, 3, 4] and d.min(axis=1).max() < 0.1
+
+
+def test_start_centres_do_not_depend_on_the_layout(spark):
+    df = clouds(spark, [(0, 0), (3, 3), (9, 0)], per=90)
+    one = K.start_centres(df.coalesce(1), ["x", "y"], 3, ["id"])
+    many = K.start_centres(df.repartition(7), ["x", "y"], 3, ["id"])
+    np.testing.assert_allclose(one, many, rtol=1e-12)
+
+
+def test_start_centres_are_distinct_points(spark):
+    """Repeated rows are drawn together and count by weight only; there are no more centres than points."""
+    df = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, 4.0)] * 50, "id long, x double")
+    assert sorted(K.start_centres(df, ["x"], 5, ["id"])) == [[0.0], [4.0]]
+    assert K.start_centres(df.limit(0), ["x"], 5, ["id"]) == []

@@ -72,3 +72,37 @@ def test_weights_add_up_over_batches(spark, source):
         stream, ["a", "b"], scales, [[-1.0, 0.0], [1.0, 0.0]], scratch_path(spark, "s"), scratch_path(spark, "c")
     )
     assert sum(r["weight"] for r in got.collect()) == 400
+
+
+def test_only_the_last_two_states_stay(spark, source):
+    path, df = source
+    state = scratch_path(spark, "s")
+    stream = INC.stream_table(spark, path, df.schema)
+    INC.standardise_incremental(stream, ["a", "b"], state, scratch_path(spark, "c")).collect()
+    batches = sorted(r[0] for r in spark.read.parquet(state).select("batch").distinct().collect())
+    n = len(df.inputFiles())
+    assert n > 3 and batches == [n - 2, n - 1]
+
+
+def test_scaler_state_scales_as_the_batch_scaler(spark, source):
+    path, df = source
+    stream = INC.stream_table(spark, path, df.schema)
+    scaler = INC.standardise_incremental(stream, ["a", "b"], scratch_path(spark, "s"), scratch_path(spark, "c"))
+    want = scaling(df.dropna(), ["a", "b"])
+    got = INC.scales_of(scaler, ["a", "b", "none"])
+    assert got["none"] == (0.0, 1.0)
+    for f in ("a", "b"):
+        assert got[f] == pytest.approx(want[f], rel=1e-10)
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, source):
+    """A second run over more files adds only these."""
+    path, df = source
+    folder = scratch_path(spark, "growing")
+    state, check = scratch_path(spark, "s"), scratch_path(spark, "c")
+    for part in (df.filter("id < 150"), df.filter("id >= 150")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = INC.stream_table(spark, folder, df.schema)
+        got = INC.standardise_incremental(stream, ["a"], state, check).first()
+    assert got["n"] == 400
+    assert INC.standardise_incremental(INC.stream_table(spark, folder, df.schema), ["a"], state, check).first() == got
