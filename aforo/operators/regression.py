@@ -1,15 +1,17 @@
 """Least squares with cluster-robust errors on designs of dummies and covariates.
 
-Rows stay on executors. Each task reduces its rows to one k x k product matrix,
-these are summed by entry, and only that matrix reaches the driver. Cluster
-scores are one aggregation by cluster in generated code, reduced the same way.
-Nothing on the driver grows with the number of rows or clusters.
+Rows stay on executors. Each task reduces its rows to one k x k product matrix
+(:mod:`aforo.operators.sparse`), these are summed by entry, and only that matrix
+reaches the driver. Cluster scores are summed by the tasks that hold the clusters
+and reduced the same way. Nothing on the driver grows with the number of rows or
+clusters. A fit reads its rows three times: statistics, products, scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,14 @@ from pyspark.sql import functions as F
 
 from aforo import schema as S
 from aforo.functions.measures import month_index
+from aforo.operators import sparse
 
 CLUSTER = ["codcon", "codudu"]
 MAX_TERMS = 2_000
 CELL_GAIN = 10
+#: Values that the levels' sketch tells apart exactly, and clusters that may be hot.
+TRACKED = 5 * MAX_TERMS
+HOT_CLUSTERS = 64
 Z_95 = 1.96
 TREND = "mes_abs"
 
@@ -33,24 +39,30 @@ COEFFICIENT_SCHEMA = (
 
 @dataclass(frozen=True)
 class Term:
-    """One regressor: a name, its column, and the value it is centred at."""
+    """One regressor: a name, its column, and the value it is centred at.
+
+    A dummy also names its source column and level, a constant says so.
+    """
 
     name: str
     column: Column = field(compare=False)
     centre: float = 0.0
+    source: str | None = None
+    level: object = None
+    constant: bool = False
 
     def centred(self) -> Column:
         return self.column - F.lit(self.centre) if self.centre else self.column
 
 
 def intercept() -> Term:
-    return Term("intercept", F.lit(1.0))
+    return Term("intercept", F.lit(1.0), constant=True)
 
 
 def indicator(column: str, level, name: str | None = None) -> Term:
     """1 where the column equals the level, 0 elsewhere and for a missing value."""
     value = F.coalesce((F.col(column) == F.lit(level)).cast("double"), F.lit(0.0))
-    return Term(name or f"{column}__{level}", value)
+    return Term(name or f"{column}__{level}", value, source=column, level=level)
 
 
 def numeric(column: str | Column, name: str, centre: float = 0.0) -> Term:
@@ -78,37 +90,53 @@ def usable(df: DataFrame, outcome: Column, terms: Sequence[Term]) -> DataFrame:
     """Rows with an outcome and every number of the design; the fit and its scores read the same ones."""
     complete = outcome.isNotNull()
     for t in terms:
-        complete = complete & t.column.isNotNull()
+        if t.source is None and not t.constant:  # a dummy is never null
+            complete = complete & t.column.isNotNull()
     return df.filter(complete)
 
 
+class Statistics(NamedTuple):
+    levels: dict[str, list]
+    means: list[float]
+    pool: bool
+    #: hashes of clusters with at least 1 / HOT_CLUSTERS of the rows
+    hot: list[int]
+
+
 def design_statistics(
     df: DataFrame,
     categorical: Sequence[str],
     numerics: Sequence[str | Column],
     cells: Sequence[str] = (),
-) -> tuple[dict[str, list], list[float], bool]:
+    cluster: Sequence[str] = (),
+) -> Statistics:
     """What a design needs to know about its rows, in one pass.
 
-    Sorted levels of the categorical columns, means of the numeric ones, and
-    whether the distinct combinations of ``cells`` are far fewer than the rows.
+    Sorted levels of the categorical columns, means of the numeric ones, whether
+    the distinct combinations of ``cells`` are far fewer than the rows, and the
+    clusters that hold a large share of them. Levels and clusters come from
+    frequent-items sketches of bounded size. A sketch that never had to forget a
+    value counted every row, so its values are all there are; an id column does
+    not get that far and is refused.
     """
-    if not categorical and not numerics and not cells:
-        return {}, [], False
-    if categorical:
-        # sketches first: an id column must not be collected before it is refused
-        sketch = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
-        if sum(sketch) > 2 * MAX_TERMS:
-            raise ValueError("too many levels for a dense design; pass fewer categorical columns")
-    cols = [F.array_sort(F.collect_set(c)).alias(f"l{i}") for i, c in enumerate(categorical)]
+    if not categorical and not numerics and not cells and not cluster:
+        return Statistics({}, [], False, [])
+    top = lambda c, k, tracked: F.call_function("approx_top_k", c, F.lit(k), F.lit(tracked))
+    cols = [top(F.col(c), MAX_TERMS + 2, TRACKED).alias(f"l{i}") for i, c in enumerate(categorical)]
     cols += [F.avg(c).alias(f"m{i}") for i, c in enumerate(numerics)]
     distinct = F.approx_count_distinct(F.struct(*cells)) if cells else F.lit(0)
-    row = df.agg(*cols, F.count(F.lit(1)).alias("n"), distinct.alias("d")).first()
-    levels = {c: list(row[f"l{i}"]) for i, c in enumerate(categorical)}
+    frequent = top(sparse.cluster_hash(cluster), HOT_CLUSTERS, 64 * HOT_CLUSTERS) if cluster else F.lit(None)
+    row = df.agg(*cols, F.count(F.lit(1)).alias("n"), distinct.alias("d"), frequent.alias("h")).first()
+    levels = {}
+    for i, c in enumerate(categorical):
+        if sum(x["count"] for x in row[f"l{i}"]) < row["n"]:
+            raise ValueError("too many levels for a dense design; pass fewer categorical columns")
+        levels[c] = sorted(x["item"] for x in row[f"l{i}"] if x["item"] is not None)
     if sum(len(v) for v in levels.values()) > MAX_TERMS:
         raise ValueError("too many levels for a dense design; pass fewer categorical columns")
     means = [float(row[f"m{i}"] or 0.0) for i in range(len(numerics))]
-    return levels, means, bool(cells) and row["d"] * CELL_GAIN < row["n"]
+    hot = [x["item"] for x in row["h"] or [] if x["count"] * HOT_CLUSTERS >= row["n"]]
+    return Statistics(levels, means, bool(cells) and row["d"] * CELL_GAIN < row["n"], hot)
 
 
 def product_matrix(df: DataFrame, vector: Sequence[Column]) -> DataFrame:
@@ -141,14 +169,6 @@ def product_matrix(df: DataFrame, vector: Sequence[Column]) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("v").alias("value"))
 
 
-def _as_matrix(entries: DataFrame, k: int) -> np.ndarray:
-    """The k x k matrix on the driver; its size depends on the design only."""
-    out = np.zeros((k, k))
-    for r in entries.collect():
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["value"]
-    return out
-
-
 @dataclass
 class Fit:
     """A least-squares fit in centred terms."""
@@ -209,6 +229,7 @@ def ols_normal_equations(
     ``cells`` names the columns the terms read. Rows equal in them are then
     pooled first, map-side, and only pooled rows reach Python: the products
     need no more than count, sum and sum of squares of the outcome per cell.
+    A dummy reaches Python as the value of its source column.
     Columns are scaled to unit length before the pseudo-inverse, so its cut-off
     sees collinearity and not units. A collinear design keeps the minimum-norm
     solution and reports its rank.
@@ -219,9 +240,9 @@ def ols_normal_equations(
     pooled = df.withColumns({"_n": F.lit(1.0), "_s": y, "_q": y * y})
     if cells:
         pooled = pooled.groupBy(*cells).agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_q")])
-    root = F.sqrt("_n")
-    vector = [*[t.centred() * root for t in terms], root, F.col("_s") / root, F.sqrt("_q")]
-    products = _as_matrix(product_matrix(pooled, vector), k + 3)
+    if k > MAX_TERMS:
+        raise ValueError(f"{k} terms exceed {MAX_TERMS}")
+    products, _ = sparse.gather(sparse.product_entries(pooled, terms, F.col("_n"), F.col("_s"), F.col("_q")), k + 3)
     xx, xy = products[:k, :k], products[:k, k + 1]
     n = int(round(products[k, k]))
     if n == 0:
@@ -249,18 +270,25 @@ def cluster_scores(df: DataFrame, fit: Fit, cluster: Sequence[str] = CLUSTER) ->
     )
 
 
-def cluster_robust(df: DataFrame, fit: Fit, cluster: Sequence[str] = CLUSTER) -> Fit:
-    """Sandwich covariance with the usual small-sample factor; also SSE and R2."""
+def cluster_robust(df: DataFrame, fit: Fit, cluster: Sequence[str] = CLUSTER, hot: Sequence[int] | None = None) -> Fit:
+    """Sandwich covariance with the usual small-sample factor; also SSE and R2.
+
+    ``hot`` lists the hashes of clusters with a large share of the rows; without
+    it they are found by one more pass. At most ``HOT_CLUSTERS`` sums of k
+    numbers come to the driver for them.
+    """
     k = len(fit.terms)
-    scores = cluster_scores(df, fit, cluster)
-    vector = [*[F.col(f"s{i}") for i in range(k)], F.lit(1.0), F.col("sse")]
-    products = _as_matrix(product_matrix(scores, vector), k + 2)
-    groups = int(round(products[k, k]))
+    if hot is None:
+        hot = design_statistics(df, [], [], cluster=cluster).hot
+    rows = usable(df, fit.outcome, fit.terms)
+    products, sums = sparse.gather(sparse.score_entries(rows, fit.terms, fit.beta, fit.outcome, cluster, hot), k + 2)
+    meat = products[:k, :k] + sum(np.outer(s[:k], s[:k]) for s in sums.values())
+    groups = int(round(products[k, k])) + len(sums)
     fit.n_clusters, fit.sse = groups, float(products[k, k + 1])
     factor = 1.0
     if groups > 1 and fit.n > fit.rank:
         factor = groups / (groups - 1) * (fit.n - 1) / (fit.n - fit.rank)
-    fit.covariance = factor * fit.bread @ products[:k, :k] @ fit.bread
+    fit.covariance = factor * fit.bread @ meat @ fit.bread
     return fit
 
 
@@ -270,11 +298,12 @@ def ols(
     terms: Sequence[Term],
     cluster: Sequence[str] | None = CLUSTER,
     cells: Sequence[str] | None = None,
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """Coefficient table of one regression."""
     fit = ols_normal_equations(df, outcome, terms, cells)
     if cluster:
-        cluster_robust(df, fit, cluster)
+        cluster_robust(df, fit, cluster, hot)
     return df.sparkSession.createDataFrame(fit.coefficients(), COEFFICIENT_SCHEMA)
 
 
@@ -289,20 +318,21 @@ def covariate_terms(
     numerics: Sequence[str],
     trend: bool,
     also: Sequence[str] = (),
-) -> tuple[list[Term], dict[str, list], list[str] | None]:
+    cluster: Sequence[str] = (),
+) -> tuple[list[Term], Statistics, list[str] | None]:
     """Centred trend and covariates, then drop-first dummies.
 
-    Also returns the levels found, with those of the ``also`` columns, and the
-    columns to pool rows by, or None where pooling would not pay.
+    Also returns the statistics found, with the levels of the ``also`` columns, and
+    the columns to pool rows by, or None where pooling would not pay.
     """
     categorical = [c for c in categorical if c in rows.columns]
     numerics = [c for c in numerics if c in rows.columns]
     measured: list[tuple[str, str | Column]] = [(TREND, month_index("nuanio", "nummes"))] if trend else []
     measured += [(c, c) for c in numerics]
     cells = [*also, *(["nuanio", "nummes"] if trend else []), *numerics, *categorical]
-    levels, means, pool = design_statistics(rows, [*also, *categorical], [c for _, c in measured], cells)
-    terms = [numeric(c, name, centre) for (name, c), centre in zip(measured, means)]
-    return terms + dummy_terms(categorical, levels), levels, cells if pool else None
+    found = design_statistics(rows, [*also, *categorical], [c for _, c in measured], cells, cluster)
+    terms = [numeric(c, name, centre) for (name, c), centre in zip(measured, found.means)]
+    return terms + dummy_terms(categorical, found.levels), found, cells if found.pool else None
 
 
 def event_study(
@@ -326,13 +356,13 @@ def event_study(
     for kind in event_types:
         needed = ["t_rel", *cluster, "nuanio", "nummes", *[c for c in numerics if c in panel.columns]]
         rows = complete_rows(panel.filter(F.col("event_type") == kind), outcome, needed)
-        covariates, levels, cells = covariate_terms(rows, categorical, numerics, trend, ["t_rel"])
-        base = baseline_of(levels["t_rel"])
+        covariates, found, cells = covariate_terms(rows, categorical, numerics, trend, ["t_rel"], cluster)
+        base = baseline_of(found.levels["t_rel"])
         if base is None:
             continue
-        times = [indicator("t_rel", t, f"t_rel__{t}") for t in levels["t_rel"] if t != base]
+        times = [indicator("t_rel", t, f"t_rel__{t}") for t in found.levels["t_rel"] if t != base]
         terms = [intercept(), *times, *covariates]
-        fit = cluster_robust(rows, ols_normal_equations(rows, outcome, terms, cells), cluster)
+        fit = cluster_robust(rows, ols_normal_equations(rows, outcome, terms, cells), cluster, found.hot)
         results += [(kind, base, *r) for r in fit.coefficients()]
     table = panel.sparkSession.createDataFrame(
         results, f"event_type string, baseline int, {COEFFICIENT_SCHEMA}"
@@ -360,7 +390,7 @@ def did_ols_cluster(
     numerics = [c for c in numerics if c in panel.columns]
     rows = complete_rows(panel, outcome, ["treated", "post", *cluster, *numerics])
     both = F.col("treated") * F.col("post")
-    covariates, _, cells = covariate_terms(rows, categorical, numerics, False, ["treated", "post"])
+    covariates, found, cells = covariate_terms(rows, categorical, numerics, False, ["treated", "post"], cluster)
     terms = [
         intercept(),
         numeric("treated", "treated"),
@@ -368,7 +398,7 @@ def did_ols_cluster(
         numeric(both, "treated_post"),
         *covariates,
     ]
-    return ols(rows, outcome, terms, cluster, cells)
+    return ols(rows, outcome, terms, cluster, cells, found.hot)
 
 
 def did_basic_t(panel: DataFrame, value: str = "volfac", cluster: Sequence[str] = CLUSTER) -> DataFrame:

@@ -820,8 +820,7 @@ def product_matrix(spark, sf):
 
 
 def category_terms(fact: DataFrame) -> list[G.Term]:
-    levels, _, _ = G.design_statistics(fact, ["codcat"], [])
-    return [G.intercept(), *G.dummy_terms(["codcat"], levels)]
+    return [G.intercept(), *G.dummy_terms(["codcat"], G.design_statistics(fact, ["codcat"], []).levels)]
 
 
 @register

@@ -150,3 +150,56 @@ def test_pooled_cells_give_the_same_fit(data):
     pooled = G.ols(data, "volfac", terms, cells=["diasem", "codcat"]).toPandas()
     for c in ("coef", "std_error", "r2", "n_obs"):
         np.testing.assert_allclose(plain[c].astype(float), pooled[c].astype(float), rtol=1e-9)
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_clusters_over_many_batches(spark, batch):
+    """Long clusters, null and text keys: dealt out or not, and whatever the batch size, the same errors."""
+    rng = np.random.default_rng(9)
+    rows = [
+        (None if c == 3 else f"u{c}", c % 2, str(rng.choice(["a", "b", "c"])), float(rng.normal()), float(rng.normal()))
+        for c, n in enumerate([1, 2, 150, 40, 1, 80, 3, 30]) for _ in range(n)
+    ]
+    df = spark.createDataFrame(rows, "u string, v int, level string, x double, y double").repartition(3)
+    terms = [G.intercept(), G.numeric("x", "x", 0.5), *G.dummy_terms(["level"], {"level": ["a", "b", "c"]})]
+    pdf = df.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf["x"], pdf["level"] == "b", pdf["level"] == "c"]).astype(float)
+    beta, se, g, r2 = reference_fit(x, pdf["y"].to_numpy(), (pdf["u"].fillna("?") + pdf["v"].astype(str)).to_numpy())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for hot in (None, []):
+            got = {r["term"]: r for r in G.ols(df, "y", terms, ["u", "v"], hot=hot).collect()}
+            for name, b, s in zip(["intercept", "x", "level__b", "level__c"], beta, se, strict=True):
+                assert got[name]["coef"] == pytest.approx(b, rel=1e-9)
+                assert got[name]["std_error"] == pytest.approx(s, rel=1e-9)
+            assert (got["x"]["n_clusters"], got["x"]["r2"]) == (g, pytest.approx(r2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_statistics_come_from_one_pass(spark):
+    rows = [(i % 5, None if i % 4 == 0 else f"k{i % 4}", float(i), 0 if i < 300 else i) for i in range(900)]
+    df = spark.createDataFrame(rows, "a int, b string, x double, unit int")
+    got = G.design_statistics(df, ["a", "b"], ["x"], ["a", "b"], ["unit"])
+    assert got.levels == {"a": [0, 1, 2, 3, 4], "b": ["k1", "k2", "k3"]}
+    assert got.means == [449.5] and got.pool
+    hot = df.filter("unit = 0").select(G.sparse.cluster_hash(["unit"])).first()[0]
+    assert got.hot == [hot]
+
+
+def test_a_fit_reads_its_rows_three_times(spark, data):
+    from aforo.session import scratch_path
+
+    path = scratch_path(spark, "fit-rows")
+    data.coalesce(1).write.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.read.parquet(path)
+    counted = rows.mapInArrow(count, rows.schema)
+    G.event_study(counted, ["1to2"]).collect()
+    assert seen.value == 3 * N
