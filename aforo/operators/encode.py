@@ -54,7 +54,7 @@ def feature_vector(
 def train_test_split(
     df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    marked = df.withColumn("_h", key_hash(keys, seed))
+    marked = df.withColumn("_h", key_hash(keys, seed, df))
     test = hash_share("_h", share)
     return marked.filter(~test).drop("_h"), marked.filter(test).drop("_h")
 

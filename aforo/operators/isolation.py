@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from aforo.functions.hashing import MODULUS, key_hash
 from aforo.functions.rows import drop_null_rows
 from aforo.operators.quantiles import group_quantiles
+from aforo.session import checkpoint_dir
 from aforo.sources.billing import sample_rows
 
 N_TREES = 100
@@ -75,11 +76,12 @@ def tree_samples(
     paired with trees is a constant, whatever the size of the input.
     """
     pool = sample_rows(df, n_trees * sample_size, keys, seed)
-    pool = pool.repartition(max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism))).persist()
+    checkpoint_dir(df.sparkSession)
+    pool = pool.repartition(max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism))).checkpoint()
     n = max(pool.count(), 1)
     share = min(1.0, 2.0 * sample_size / n) if n > 2 * sample_size else 1.0
     paired = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    hashed = paired.withColumn("_h", key_hash([*keys, "tree_id"], seed)).filter(
+    hashed = paired.withColumn("_h", key_hash([*keys, "tree_id"], seed, paired)).filter(
         F.col("_h") <= int(share * MODULUS)
     )
     rank = Window.partitionBy("tree_id").orderBy("_h", *keys)
@@ -187,8 +189,6 @@ def detect_anomalies(
     n_trees: int = N_TREES, sample_size: int = SAMPLE_SIZE, seed: int = SEED,
 ) -> DataFrame:
     """Fit, score and flag. Scores are stored once, since the cut and the output both read them."""
-    from aforo.session import checkpoint_dir
-
     checkpoint_dir(df.sparkSession)
     rows = drop_null_rows(df.select(*keys, *[f for f in features if f not in keys]), features).checkpoint()
     nodes = isolation_forest_fit(rows, features, keys, n_trees, sample_size, seed)

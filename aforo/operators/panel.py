@@ -98,11 +98,11 @@ def sample_controls(
     n_treated = sum(r["count"] for r in histogram)
     if n_treated == 0:
         return candidates.select(*keys, F.lit(None).cast("int").alias("mes_evento")).limit(0)
-    hashed = candidates.select(*keys, key_hash(keys, seed).alias("_h"))
+    hashed = candidates.select(*keys, key_hash(keys, seed, candidates).alias("_h"))
     if not allow_short and (found := candidates.count()) < ratio * n_treated:
         raise ValueError(f"{ratio * n_treated} controls wanted, {found} candidates; allow_short takes them all")
     chosen = smallest(hashed, "_h", ratio * n_treated, ties=keys)
-    position = key_hash(keys, seed + 1) % F.lit(n_treated)
+    position = key_hash(keys, seed + 1, chosen) % F.lit(n_treated)
     upto = list(itertools.accumulate(r["count"] for r in histogram))
     bounds = F.array(*[F.lit(u).cast("long") for u in upto])
     months = F.array(*[F.lit(r["mes_evento"]) for r in histogram])

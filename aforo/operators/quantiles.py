@@ -3,8 +3,13 @@
 Small groups use the built-in ``percentile``. It keeps every distinct value of
 a group in one buffer, so groups above ``hot_rows`` take another way: a
 bounded sketch brackets each wanted rank, rows outside the bracket are only
-counted, and the few rows inside are ranked. No step moves a whole group to
-one task, and the answer is exact because the counts are.
+counted, and the few distinct values inside are ranked, by ranges where they are
+many. No step moves a whole group to one task, and the answer is exact because
+the counts are.
+
+The source is read once without hot groups apart from the sketch that looks for
+them, else three times: that sketch, one aggregation of everything, and one pass
+that writes the hot groups' values as a narrow table for the brackets.
 """
 
 from __future__ import annotations
@@ -14,14 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.session import checkpoint_dir
+from aforo.session import stored
 
 HOT_ROWS = 1_000_000
 MAX_BROADCAST_GROUPS = 20_000
-HASH_BUCKETS = 65_536
+#: Frequent-items sketches side by side, one for each share of the keys, and the keys each one tracks.
+HASH_BUCKETS, TRACKED = 256, 4_096
 CUTS = 500
 SKETCH_ACCURACY = 10_000
-MAX_ROUNDS = 4
 BRACKET = ("_i", "_frac", "_lo", "_hi", "_min", "_max", "_a", "_z")
 
 
@@ -48,21 +53,21 @@ def approximate_quantiles(
     return out.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Groups with at least ``hot_rows`` rows, or None when there are none.
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
+    """Hashes of the groups with at least ``hot_rows`` rows; one more than ``MAX_BROADCAST_GROUPS`` means too many.
 
-    Counts by 65,536 key-hash buckets come first: on most inputs no bucket is
-    full enough and the count by key is never run. All counts combine map-side.
+    One pass over the keys. Frequent-items sketches of bounded size, one for each
+    of 256 shares of the keys, count in parallel and merge. A sketch counts too
+    much rather than too little; a group just above ``hot_rows`` is overlooked only
+    where that is less than some millionth of the rows.
     """
-    bucket = F.pmod(F.hash(*keys), F.lit(HASH_BUCKETS)) if keys else F.lit(0)
-    full = (
-        df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-    )
-    buckets = [r["_b"] for r in full.select("_b").collect()]  # at most HASH_BUCKETS integers
-    if not buckets:
-        return None
-    suspects = df.filter(bucket.isin(buckets)) if len(buckets) <= 1_000 else df
-    return suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
+    if not keys:
+        return [0] if df.agg(F.count(F.lit(1))).first()[0] >= hot_rows else []
+    share = F.pmod(F.hash(*keys), F.lit(HASH_BUCKETS))
+    top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(TRACKED // 2), F.lit(TRACKED))
+    sketches = df.select(*keys).groupBy(share).agg(top.alias("_t"))
+    found = sketches.select(F.explode("_t").alias("t")).filter(F.col("t.count") >= hot_rows)
+    return [r["item"] for r in found.select("t.item").limit(MAX_BROADCAST_GROUPS + 1).collect()]
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -88,43 +93,45 @@ def group_quantiles(
 
     One aggregation when no group is hot. ``small_groups`` says that a map task
     rarely sees two rows of a group: then raw rows are shuffled, which are
-    narrower than partial buffers, provided no group was found hot. Otherwise hot groups are split off:
-    their other aggregates stay one mergeable aggregation, their quantiles come
-    from ``select_quantiles``.
+    narrower than partial buffers, provided no group was found hot. Otherwise the
+    aggregation keeps exact buffers for cold groups and sketches for hot ones,
+    whose quantiles come from ``select_quantiles``.
     """
     keys = list(keys)
     if aggregates and not keys:
         raise ValueError("aggregates next to quantiles need a group key")
     if hot_rows is None:
         return _plain(df, keys, value, probs, aggregates, method, False)
-    found = hot_groups(df, keys, hot_rows)
-    hot_keys = [] if found is None else found.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    if not hot_keys:
+    hot = hot_groups(df, keys, hot_rows)
+    if not hot:
         return _plain(df, keys, value, probs, aggregates, method, small_groups)
 
-    if len(hot_keys) > MAX_BROADCAST_GROUPS or not keys:
-        cold, hot = None, df
-    else:
-        spark = df.sparkSession
-        key_schema = df.select(*keys).schema
-        listed = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot_keys], key_schema)
-        hot_df = F.broadcast(listed.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cold = df.join(hot_df, same, "left_anti")
-        hot = df.join(hot_df, same, "left_semi")
-
-    quantiles = select_quantiles(hot, keys, value, probs, method, hot_rows)
+    every = not keys or len(hot) > MAX_BROADCAST_GROUPS
+    is_hot = F.lit(True) if every else F.xxhash64(*keys).isin(hot)
+    marked = df.withColumn("_cold", F.when(~is_hot, F.col(value))).withColumn("_v", F.when(is_hot, _element(df, value, method)))
+    exact = [] if every else [percentile_column("_cold", list(probs.values()), method).alias("_q")]
+    whole = stored(marked.groupBy(*keys).agg(*aggregates, *exact, *_sketch()), "group-aggregates")
+    sketch = whole.filter("_n > 0").select(*keys, "_n", "_min", "_max", "_cuts")
+    narrow = stored(marked.filter(is_hot & F.col("_v").isNotNull()).select(*keys, "_v"), "hot-values")
+    found = _select(narrow, sketch, keys, probs, method, hot_rows)
+    if not keys:
+        return found
+    renamed = found.withColumnsRenamed({name: f"_h{i}" for i, name in enumerate(probs)})
+    out = join_on_keys(whole, renamed, keys, "left")
     # a group without any value has no quantile but is a group
-    if keys:
-        groups = hot.groupBy(*keys).agg(*(aggregates or [F.count(F.lit(1)).alias("_n")]))
-        hot_out = join_on_keys(groups if aggregates else groups.drop("_n"), quantiles, keys, "left")
-    else:
-        hot_out = quantiles
-    if cold is None:
-        return hot_out
-    return _plain(cold, keys, value, probs, aggregates, method, small_groups).unionByName(hot_out)
+    picked = {n: F.col(f"_h{i}") if every else F.coalesce(f"_h{i}", F.col("_q")[i]) for i, n in enumerate(probs)}
+    drop = ["_q", "_n", "_min", "_max", "_cuts", *[f"_h{i}" for i in range(len(probs))]]
+    return out.withColumns(picked).drop(*drop)
+
+
+def _element(df: DataFrame, value: str, method: str) -> Column:
+    """An element of the group keeps its type, a value between two is a double."""
+    return F.col(value).cast("double" if method == "linear" else df.schema[value].dataType)
+
+
+def _sketch() -> list[Column]:
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), SKETCH_ACCURACY)
+    return [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), cuts.alias("_cuts")]
 
 
 def _plain(df, keys, value, probs, aggregates, method, shuffle_rows) -> DataFrame:
@@ -143,75 +150,51 @@ def select_quantiles(
     method: str = "linear",
     stop_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Exact quantiles of arbitrarily large groups by repeated bracketing."""
-    checkpoint_dir(df.sparkSession)
+    """Exact quantiles of arbitrarily large groups by bracketing; groups without values are left out."""
     keys = list(keys)
+    narrow = stored(df.select(*keys, _element(df, value, method).alias("_v")).filter(F.col("_v").isNotNull()), "hot-values")
+    sketch = narrow.groupBy(*keys).agg(*_sketch()).filter("_n > 0")
+    return _select(narrow, sketch, keys, probs, method, stop_rows)
+
+
+def _select(narrow: DataFrame, sketch: DataFrame, keys: list[str], probs: dict[str, float], method: str, stop_rows: int) -> DataFrame:
     named = [(name, float(p)) for name, p in probs.items()]
-    # an element of the group keeps its type, a value between two is a double
-    kind = "double" if method == "linear" else df.schema[value].dataType
-    rows = df.select(*keys, F.col(value).cast(kind).alias("_v")).filter(F.col("_v").isNotNull())
-    groups = keys
-    targets = None
-
-    for _ in range(MAX_ROUNDS):
-        sketch = rows.groupBy(*groups).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.percentile_approx(
-                "_v", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), SKETCH_ACCURACY
-            ).alias("_cuts"),
-        )
-        if targets is None:
-            wanted = F.array(
-                *[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, (_, p) in enumerate(named)]
-            )
-            sketch = sketch.withColumn("_w", F.explode(wanted))
-            at = F.col("_w.p") * (F.col("_n") - 1)
-            if method == "nearest":
-                low = high = F.round(at).cast("long")
-            else:
-                low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
-            located = sketch.select(
-                *keys,
-                F.col("_w.i").alias("_i"),
-                (at - low if method == "linear" else F.lit(0.0)).alias("_frac"),
-                low.alias("_lo"),
-                high.alias("_hi"),
-                "_n", "_min", "_max", "_cuts",
-            )
-        else:
-            located = join_on_keys(targets, sketch, groups)
-        brackets = _brackets(located, keys).checkpoint()
-
-        tagged = "_i" in rows.columns
-        counts = _counts(rows, brackets, keys, tagged).checkpoint()
-        miss = (F.col("_below") > F.col("_lo")) | (F.col("_below") + F.col("_in") <= F.col("_hi"))
-        if counts.filter(miss).limit(1).count():
-            # a bracket that missed its rank becomes the whole range of its group
-            brackets = counts.select(
-                *keys, *BRACKET[:-2],
-                F.when(miss, F.col("_min")).otherwise(F.col("_a")).alias("_a"),
-                F.when(miss, F.col("_max")).otherwise(F.col("_z")).alias("_z"),
-            ).checkpoint()
-            counts = _counts(rows, brackets, keys, tagged).checkpoint()
-        inside = _within(rows, brackets, keys, tagged)
-        targets = counts.select(
-            *keys, "_i", "_frac",
-            (F.col("_lo") - F.col("_below")).alias("_lo"),
-            (F.col("_hi") - F.col("_below")).alias("_hi"),
-        )
-        rows, groups = inside, [*keys, "_i"]
-        # repeated values collapse before the ranking, so only distinct ones count
-        largest = counts.agg(F.max("_distinct")).first()[0]
-        if largest is None or largest <= stop_rows:
-            break
-
-    distinct = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.withColumn("_end", F.sum("_c").over(upto)).withColumn(
-        "_start", F.col("_end") - F.col("_c")
+    groups = [*keys, "_i"]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, (_, p) in enumerate(named)])
+    sketch = sketch.withColumn("_w", F.explode(wanted))
+    at = F.col("_w.p") * (F.col("_n") - 1)
+    if method == "nearest":
+        low = high = F.round(at).cast("long")
+    else:
+        low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
+    located = sketch.select(
+        *keys,
+        F.col("_w.i").alias("_i"),
+        (at - low if method == "linear" else F.lit(0.0)).alias("_frac"),
+        low.alias("_lo"),
+        high.alias("_hi"),
+        "_n", "_min", "_max", "_cuts",
     )
+    brackets = stored(_brackets(located, keys), "brackets")
+    inside = stored(_inside(narrow, brackets, keys), "inside")
+    counts = stored(_counts(inside, brackets, groups), "bracket-counts")
+    miss = (F.col("_below") > F.col("_lo")) | (F.col("_below") + F.col("_in") <= F.col("_hi"))
+    if not counts.filter(miss).isEmpty():
+        # a bracket that missed its rank becomes the whole range of its group
+        brackets = stored(counts.select(
+            *keys, *BRACKET[:-2],
+            F.when(miss, F.col("_min")).otherwise(F.col("_a")).alias("_a"),
+            F.when(miss, F.col("_max")).otherwise(F.col("_z")).alias("_z"),
+        ), "brackets")
+        inside = stored(_inside(narrow, brackets, keys), "inside")
+        counts = stored(_counts(inside, brackets, groups), "bracket-counts")
+    targets = counts.select(
+        *groups, "_frac",
+        (F.col("_lo") - F.col("_below")).alias("_lo"),
+        (F.col("_hi") - F.col("_below")).alias("_hi"),
+    )
+    largest = counts.agg(F.max("_distinct")).first()[0] or 0
+    ranked = _ranked(inside.filter(F.col("_v").isNotNull()), groups, largest > stop_rows)
     hit = join_on_keys(ranked, targets, groups).filter(
         (F.col("_start") <= F.col("_hi")) & (F.col("_end") > F.col("_lo"))
     )
@@ -224,6 +207,25 @@ def select_quantiles(
     )
 
 
+def _ranked(distinct: DataFrame, groups: list[str], many: bool) -> DataFrame:
+    """Distinct values ``_v`` with counts ``_c`` and the ranks ``_start`` to ``_end`` that each one covers.
+
+    Where a group has many, values are dealt by ranges; a range adds the counts of
+    the ranges before it, one row per range and group.
+    """
+    if not many:
+        upto = Window.partitionBy(*groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = distinct.withColumn("_end", F.sum("_c").over(upto))
+        return ranked.withColumn("_start", F.col("_end") - F.col("_c"))
+    laid = stored(distinct.repartitionByRange(*groups, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy(*groups, "_p").agg(F.sum("_c").alias("_s"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    upto = Window.partitionBy(*groups, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = join_on_keys(laid, parts, [*groups, "_p"]).withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    return ranked.withColumn("_start", F.col("_end") - F.col("_c")).drop("_p", "_before")
+
+
 def _brackets(located: DataFrame, keys: list[str]) -> DataFrame:
     """Two neighbouring sketch cuts on each side of a wanted rank."""
     step = F.floor(F.col("_lo") / F.greatest(F.col("_n"), F.lit(1)) * CUTS).cast("int")
@@ -234,39 +236,35 @@ def _brackets(located: DataFrame, keys: list[str]) -> DataFrame:
     return located.select(*keys, *BRACKET[:-2], a.alias("_a"), z.alias("_z"))
 
 
-def _attach(rows: DataFrame, brackets: DataFrame, keys: list[str], tagged: bool) -> DataFrame:
-    on = [*keys, "_i"] if tagged else keys
-    if not on:
+def _attach(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    if not keys:
         # one group: its few brackets are literals, no join
         structs = [
             F.struct(*[F.lit(r[c]).cast(brackets.schema[c].dataType).alias(c) for c in BRACKET])
             for r in brackets.collect()
         ]
+        if not structs:
+            return rows.limit(0).select(*[F.lit(None).cast(brackets.schema[c].dataType).alias(c) for c in BRACKET], "_v")
         return rows.withColumn("_t", F.explode(F.array(*structs))).select(
             *[F.col(f"_t.{c}").alias(c) for c in BRACKET], "_v"
         )
     n = brackets.count()
     right = F.broadcast(brackets) if n <= MAX_BROADCAST_GROUPS else brackets
-    return join_on_keys(rows, right, on)
+    return join_on_keys(rows, right, keys)
 
 
-def _within(rows, brackets, keys, tagged) -> DataFrame:
-    return (
-        _attach(rows, brackets, keys, tagged)
-        .filter(F.col("_v").between(F.col("_a"), F.col("_z")))
-        .select(*keys, "_i", "_v")
-    )
+def _inside(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of the distinct values in each bracket, and of all rows below it (value null)."""
+    near = _attach(rows, brackets, keys).filter(F.col("_v") <= F.col("_z"))
+    kept = F.when(F.col("_v") >= F.col("_a"), F.col("_v"))
+    return near.select(*keys, "_i", kept.alias("_v")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _counts(rows, brackets, keys, tagged) -> DataFrame:
-    return (
-        _attach(rows, brackets, keys, tagged)
-        .groupBy(*keys, *BRACKET)
-        .agg(
-            F.count_if(F.col("_v") < F.col("_a")).alias("_below"),
-            F.count_if(F.col("_v").between(F.col("_a"), F.col("_z"))).alias("_in"),
-            F.approx_count_distinct(
-                F.when(F.col("_v").between(F.col("_a"), F.col("_z")), F.col("_v"))
-            ).alias("_distinct"),
-        )
+def _counts(inside: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
+    known = F.col("_v").isNotNull()
+    sums = inside.groupBy(*groups).agg(
+        F.sum(F.when(known, 0).otherwise(F.col("_c"))).alias("_below"),
+        F.sum(F.when(known, F.col("_c")).otherwise(0)).alias("_in"),
+        F.count("_v").alias("_distinct"),
     )
+    return join_on_keys(brackets, sums, groups)

@@ -39,9 +39,9 @@ def limit_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """min(n, rows) rows drawn by the hash of the key, on executors only.
 
-    Rows of one key follow the order of their other columns, so that a repeated
+    Rows of one key are told apart by a hash of their columns, so that a repeated
     key cannot enlarge the sample; rows equal in every column come together.
     """
     others = [f.name for f in df.schema.fields if f.name not in keys and not isinstance(f.dataType, UNORDERED)]
-    hashed = df.withColumn("_h", key_hash(keys, seed))
+    hashed = df.withColumn("_h", key_hash(keys, seed, df))
     return smallest(hashed, "_h", n, ties=[*keys, *others]).drop("_h")

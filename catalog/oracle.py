@@ -684,7 +684,7 @@ ORACLE: dict[str, str] = {
         ON d.coddis = e.coddis AND d.nummes = e.nummes) WHERE desviacion > 0.1""", "dm"),
 }
 
-FEW = "SELECT * FROM treated WHERE codcon % 5 = 0"
+FEW = "SELECT * FROM treated WHERE mes_evento BETWEEN 1998 * 12 + 1 AND 1998 * 12 + 12"
 ORACLE |= {
     "sample_rows_text_keys": f"""SELECT key FROM (SELECT 'k' || o_orderkey AS key FROM orders)
         ORDER BY {key_hash_sql(['key'])}, key LIMIT 200""",

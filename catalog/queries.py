@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {}
 
 CENTROIDS = [[-1.0] * 5, [0.0] * 5, [1.0] * 5]
 FIXED_CENTRES = {k: [[2.0 * i / (k - 1) - 1.0] * 5 for i in range(k)] for k in (2, 3, 5)}
+EVENT_YEAR = 1998
 TARIFF = 5.0
 SAMPLE = 1_000
 SHIFT = 0.0173
@@ -929,10 +930,10 @@ def quantiles_null_groups(spark, sf):
 
 @register
 def sample_controls_ratio2(spark, sf):
-    """Two controls for each of few treated units, so that the ratio binds."""
+    """Two controls for each unit that lost the subsidy in one year, so that the ratio binds."""
     history = stored(spark, P.unit_history(consumo(spark, sf)), "unit-history")
-    few = P.events_of(history, "1to2").filter(F.col("codcon") % 5 == 0)
-    return P.sample_controls(few, history.filter("nunca"), ratio=2)
+    of_year = P.events_of(history, "1to2").filter(F.col("mes_evento").between(EVENT_YEAR * 12 + 1, EVENT_YEAR * 12 + 12))
+    return P.sample_controls(of_year, history.filter("nunca"), ratio=2)
 
 
 @register
