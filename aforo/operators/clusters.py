@@ -23,6 +23,7 @@ SEED = 42
 K_MIN, K_MAX = 2, 8
 N_INIT = 10
 MAX_ITER = 300
+TOLERANCE = 1e-4
 PARALLEL_FITS = 8
 
 
@@ -36,12 +37,15 @@ def scaled_vectors(df: DataFrame, features: Sequence[str], scales=None) -> DataF
 
 
 def kmeans(
-    vectors: DataFrame, k: int, seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER
+    vectors: DataFrame, k: int, seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER, tol: float = TOLERANCE
 ) -> KMeansModel:
-    """The best of ``n_init`` restarts by training cost; persist the vectors first."""
+    """The best of ``n_init`` restarts by training cost; persist the vectors first.
+
+    A fit ends when no centre moves by more than ``tol``.
+    """
 
     def fit(s: int) -> KMeansModel:
-        return KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="zvec", predictionCol="cluster").fit(vectors)
+        return KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="zvec", predictionCol="cluster").fit(vectors)
 
     models = _in_parallel(fit, [seed + i for i in range(n_init)], vectors)
     return min(models, key=lambda m: m.summary.trainingCost)
@@ -123,6 +127,7 @@ def best_k_search(
     k_max: int = K_MAX,
     n_init: int = N_INIT,
     seed: int = SEED,
+    tol: float = TOLERANCE,
 ) -> DataFrame:
     """Silhouette per k, fitted and scored on all rows; k stays below the number of rows.
 
@@ -134,7 +139,7 @@ def best_k_search(
         ks = [k for k in range(k_min, k_max + 1) if k < n]
         fits = _in_parallel(
             lambda a: KMeans(
-                k=a[0], seed=a[1], maxIter=MAX_ITER, featuresCol="zvec", predictionCol="cluster"
+                k=a[0], seed=a[1], maxIter=MAX_ITER, tol=tol, featuresCol="zvec", predictionCol="cluster"
             ).fit(rows),
             [(k, seed + i) for k in ks for i in range(n_init)],
             rows,

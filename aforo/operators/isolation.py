@@ -122,6 +122,24 @@ def isolation_forest_fit(
     return samples.groupBy("tree_id").applyInPandas(build, NODE_SCHEMA)
 
 
+def forest_shape(nodes: DataFrame) -> DataFrame:
+    """What must hold of any forest: trees, rows at the roots, depth, and parents whose children lack or add rows."""
+    child = nodes.select("tree_id", F.col("node_id").alias("_child"), F.col("size").alias("_size"), F.col("depth").alias("_depth"))
+    parents = nodes.filter("feature >= 0").select("tree_id", "node_id", "size", "depth", F.explode(F.array("left", "right")).alias("_child"))
+    sums = parents.join(child, ["tree_id", "_child"], "left").groupBy("tree_id", "node_id", "size", "depth").agg(
+        F.sum("_size").alias("_sum"), F.min("_depth").alias("_d")
+    )
+    wrong = sums.filter(~(F.col("_sum").eqNullSafe(F.col("size")) & F.col("_d").eqNullSafe(F.col("depth") + 1)))
+    shape = nodes.agg(
+        F.count_distinct("tree_id").alias("n_trees"),
+        F.min(F.when(F.col("depth") == 0, F.col("size"))).cast("long").alias("root_min"),
+        F.max(F.when(F.col("depth") == 0, F.col("size"))).cast("long").alias("root_max"),
+        F.max("depth").alias("depth"),
+        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows"),
+    )
+    return shape.crossJoin(wrong.agg(F.count(F.lit(1)).alias("wrong_parents")))  # one row each
+
+
 def isolation_forest_score(
     df: DataFrame, features: Sequence[str], nodes: DataFrame, n_trees: int = N_TREES,
     sample_size: int = SAMPLE_SIZE,

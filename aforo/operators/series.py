@@ -249,6 +249,30 @@ def dickey_fuller(series: DataFrame) -> DataFrame:
     return sums.select("serie", "n", F.try_divide(F.col("b"), se).alias("df_statistic"))
 
 
+def adf_fixed_lag(series: DataFrame) -> DataFrame:
+    """Augmented Dickey-Fuller statistic with a constant and one lagged difference, without Python.
+
+    Least squares on two regressors in closed form: the coefficient of the lagged
+    level from centred sums, after the lagged difference is partialled out. Null
+    where a series is too short or the two regressors are collinear.
+    """
+    in_time = Window.partitionBy("serie").orderBy("nuanio", "nummes")
+    rows = series.select("serie", "nuanio", "nummes", "valor", F.lag("valor").over(in_time).alias("_x"), F.lag("valor", 2).over(in_time).alias("_w"))
+    y, x, z = F.col("valor") - F.col("_x"), F.col("_x"), F.col("_x") - F.col("_w")
+    rows = rows.filter(F.col("_w").isNotNull()).select("serie", y.alias("y"), x.alias("x"), z.alias("z"))
+    n = F.count(F.lit(1))
+    sums = rows.groupBy("serie").agg(
+        n.alias("n"),
+        *[(F.covar_pop(a, b) * n).alias(a + b) for a, b in ("xx", "zz", "yy", "xz", "xy", "zy")],
+    )
+    det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
+    b = F.try_divide(F.col("xy") * F.col("zz") - F.col("zy") * F.col("xz"), det)
+    g = F.try_divide(F.col("zy") * F.col("xx") - F.col("xy") * F.col("xz"), det)
+    sse = F.col("yy") - b * F.col("xy") - g * F.col("zy")
+    se = F.sqrt(F.try_divide(sse, F.col("n") - 3) * F.try_divide(F.col("zz"), det))
+    return sums.select("serie", "n", F.when(F.col("n") > 3, F.try_divide(b, se)).alias("adf_statistic"))
+
+
 def seasonal_summary(series: DataFrame, with_test: bool = True, period: int = PERIOD) -> DataFrame:
     """One row per series: level, spread, trend, seasonality, peak and trough.
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aforo import schema as S
+from aforo.functions.hashing import key_hash
 from aforo.functions.rows import drop_null_rows, present
 from aforo.operators.encode import feature_vector, train_test_split
 from aforo.session import checkpoint_dir, scratch_path
@@ -79,6 +81,34 @@ def boosted_trees_sampled(
     return _fit(df, table, keys or S.FEATURE_TABLE_KEYS[table], True, {**BOOSTED_SAMPLED, **overrides})
 
 
+def out_of_fold(
+    df: DataFrame, table: str, folds: int = 5, keys: Sequence[str] | None = None, seed: int = 42, **overrides
+) -> DataFrame:
+    """A prediction for every complete row, by a model that was not fitted on it.
+
+    The fold of a row is its key hash, so rows of one key are held out together.
+    """
+    keys = list(keys or S.FEATURE_TABLE_KEYS[table])
+    categorical, numerics = _inputs(df, table)
+    wanted = [S.TARGET, *categorical, *numerics]
+    rows = drop_null_rows(df.select(*keys, *[c for c in wanted if c not in keys]), wanted)
+    checkpoint_dir(df.sparkSession)
+    ready = feature_vector(rows, categorical, numerics, False).withColumn("fold", (key_hash(keys, seed, rows) % folds).cast("int"))
+    ready = ready.select(*keys, S.TARGET, "features", "fold").persist()
+    gbt = GBTRegressor(
+        labelCol=S.TARGET, featuresCol="features", cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
+        **{**BOOSTED, **overrides},
+    )
+    try:
+        parts = [
+            gbt.fit(ready.filter(F.col("fold") != fold)).transform(ready.filter(F.col("fold") == fold)).select(*keys, S.TARGET, "fold", "prediction")
+            for fold in range(folds)
+        ]
+        return reduce(DataFrame.unionByName, parts).checkpoint()
+    finally:
+        ready.unpersist()
+
+
 def regression_metrics(predictions: DataFrame, actual: str = S.TARGET, predicted: str = "prediction") -> DataFrame:
     """RMSE, MAE and R2 in one aggregation."""
     error = F.col(actual) - F.col(predicted)

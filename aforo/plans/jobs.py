@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aforo import schema as S
 from aforo.functions.rows import drop_null_rows, select_features
-from aforo.operators import clusters, isolation, panel, regression, series, trees
+from aforo.operators import clusters, impact, isolation, panel, regression, series, trees
 from aforo.operators.encode import apply_scaling
 from aforo.operators.features import features_connection, features_district_month, features_unit
 from aforo.session import configure, scratch_path
@@ -129,6 +130,19 @@ def find_anomalies(
     return document
 
 
+def alert_deviations(
+    spark: SparkSession, districts: str, target: str, tolerance: float = 0.10, folds: int = 5, **overrides
+) -> DataFrame:
+    """District-months whose consumption is off a prediction made without them; stored with the prediction.
+
+    Returns a report row: rows predicted, alerts and the error of the predictions.
+    """
+    predictions = trees.out_of_fold(spark.read.parquet(districts), "C", folds, **overrides)
+    parquet_sink(impact.deviation_alerts(predictions, S.TARGET, "prediction", tolerance), target)
+    alerts = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("n_alertas"))
+    return trees.regression_metrics(predictions).crossJoin(alerts)  # one row each
+
+
 def analyse_series(spark: SparkSession, districts: str, target: str, name: str | None = None) -> DataFrame:
     """Total series and one named or the five largest districts."""
     table = spark.read.parquet(districts)
@@ -160,11 +174,19 @@ def build_panels(
 
 
 def estimate_effects(
-    spark: SparkSession, event_panel: str, did_panel: str, target: str, pretrends_csv: str
+    spark: SparkSession, event_panel: str, did_panel: str, target: str, pretrends_csv: str, did_target: str | None = None
 ) -> DataFrame:
-    """Event studies, difference-in-differences and the pre-trend table."""
+    """Event studies, difference-in-differences and the pre-trend table, with their result documents.
+
+    The difference-in-differences document goes to ``did_target``, without it to
+    ``target`` with ``-did`` behind.
+    """
     did = spark.read.parquet(did_panel)
     csv_sink(panel.pretrend_pivot(did), pretrends_csv)
     study = regression.event_study(spark.read.parquet(event_panel))
     result_json_sink(results.event_study_document(study), target)
-    return regression.did_ols_cluster(did)
+    effects = regression.did_ols_cluster(did)
+    numerics = [c for c in S.PANEL_NUMERIC if c in did.columns]
+    categorical = [c for c in S.PANEL_CATEGORICAL if c in did.columns]
+    result_json_sink(results.did_document(effects, categorical, numerics), did_target or f"{target.rstrip('/')}-did")
+    return effects

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aforo import schema as S
+
 DEFAULTS = {
     "media": 0.0,
     "std": 0.0,
@@ -94,20 +98,54 @@ def series_result(documents: DataFrame) -> DataFrame:
     return result_document(body, "Series Temporales", "C").drop("dataset")
 
 
-def event_study_document(coefficients: DataFrame) -> DataFrame:
-    """One document per event type: coefficient, error and t maps by relative month."""
+def _covariates(categorical: Sequence[str], numerics: Sequence[str], **more: str):
+    """The ``covariables`` block: what the regression controls for."""
+    names = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.struct(
+        names(categorical).alias("categoricas"), names(numerics).alias("numericas"), *[F.lit(v).alias(k) for k, v in more.items()]
+    ).alias("covariables")
+
+
+def did_document(
+    coefficients: DataFrame,
+    categorical: Sequence[str] = tuple(S.PANEL_CATEGORICAL),
+    numerics: Sequence[str] = tuple(S.PANEL_NUMERIC),
+    model: str = "DiD OLS covariables + cluster SE",
+    notes: str = "treated_post es el efecto DiD. SE cluster por codcon+codudu.",
+) -> DataFrame:
+    """The difference-in-differences regression as one row: names and figures as arrays in the order of the design."""
+    rows = coefficients.collect()  # one row per term
+    arrays = {c: [r[c] for r in rows] for c in ("term", "coef", "std_error", "t_stat")}
+    first = rows[0]
+    one = coefficients.sparkSession.createDataFrame(
+        [(first["n_obs"], first["n_clusters"], *arrays.values(), first["r2"], notes)],
+        "n_obs long, n_clusters long, coef_names array<string>, coef array<double>, std_error array<double>, t_stat array<double>, "
+        "r2 double, notes string",
+    )
+    return result_document(one.select("*", _covariates(categorical, numerics)), model, "").drop("dataset")
+
+
+def event_study_document(
+    coefficients: DataFrame,
+    categorical: Sequence[str] = tuple(S.PANEL_CATEGORICAL),
+    numerics: Sequence[str] = tuple(S.PANEL_NUMERIC),
+    trend: str = "mes_abs",
+) -> DataFrame:
+    """One document per event type: coefficient, error and t maps by relative month, and the covariates."""
     effects = coefficients.filter((F.col("term") == "intercept") | F.col("t_rel").isNotNull())
     key = F.coalesce(F.col("t_rel").cast("string"), F.col("term"))
 
     def by_time(column: str):
         return F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col(column).alias("v"))))
 
-    return effects.groupBy("event_type", "baseline", "n_obs", "n_clusters", "r2").agg(
+    maps = effects.groupBy("event_type", "baseline", "n_obs", "n_clusters", "r2").agg(
         F.array_sort(F.collect_set("t_rel")).alias("t_vals"),
         by_time("coef").alias("coef"),
         by_time("std_error").alias("std_error"),
         by_time("t_stat").alias("t_stat"),
     )
+    with_base = F.map_concat("coef", F.create_map(F.lit("baseline"), F.col("baseline").cast("double")))
+    return maps.withColumn("coef", with_base).select("*", _covariates(categorical, numerics, tendencia=trend))
 
 
 def latest_result(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from aforo import schema as S
 from aforo.functions.hashing import MODULUS, key_hash_sql
 from catalog.fixture import ORACLE_CONSUMO
@@ -684,6 +686,87 @@ ORACLE: dict[str, str] = {
         ON d.coddis = e.coddis AND d.nummes = e.nummes) WHERE desviacion > 0.1""", "dm"),
 }
 
+HASH_C = key_hash_sql(["coddis", "nuanio", "nummes"])
+STUMP_ROWS = f"""rows AS (SELECT coddis, nuanio, nummes, consumo_promedio, nomdis, CAST(DENSE_RANK() OVER (ORDER BY nomdis) - 1 AS DOUBLE) AS code,
+  CAST(mes_absoluto AS DOUBLE) AS mes, {HASH_C} AS h FROM c WHERE consumo_promedio IS NOT NULL AND nomdis IS NOT NULL)"""
+
+
+def stump(name: str, train: str, first: str = "code") -> str:
+    """CTEs of the best split of the rows ``train`` by either feature, in ``{name}best``; ``first`` is the first feature's value."""
+    return f"""
+{name}t AS (SELECT {first} AS f0, mes AS f1, consumo_promedio AS y FROM rows {train}),
+{name}v AS (SELECT 0 AS f, f0 AS x, COUNT(*) AS n, SUM(y) AS s FROM {name}t GROUP BY f0
+            UNION ALL SELECT 1, f1, COUNT(*), SUM(y) FROM {name}t GROUP BY f1),
+{name}u AS (SELECT f, x, LEAD(x) OVER w AS nx, SUM(n) OVER w AS ln, SUM(s) OVER w AS ls, SUM(n) OVER (PARTITION BY f) AS tn,
+            SUM(s) OVER (PARTITION BY f) AS ts FROM {name}v WINDOW w AS (PARTITION BY f ORDER BY x)),
+{name}best AS (SELECT f, (x + nx) / 2 AS cut, ls / ln AS lo, (ts - ls) / (tn - ln) AS hi FROM {name}u WHERE nx IS NOT NULL
+               ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC, f LIMIT 1)"""
+
+
+def split_of(name: str, first: str = "code") -> str:
+    return f"CASE WHEN CASE {name}best.f WHEN 0 THEN {first} ELSE mes END <= {name}best.cut THEN {name}best.lo ELSE {name}best.hi END"
+
+
+def path_of(size: int, depth: int) -> float:
+    return depth + (0.0 if size <= 1 else 1.0 if size == 2 else 2.0 * (math.log(size - 1.0) + 0.5772156649015329) - 2.0 * (size - 1.0) / size)
+
+
+IN_TRAIN, IN_TEST = f"WHERE h >= {int(0.2 * MODULUS)}", f"WHERE h < {int(0.2 * MODULUS)}"
+STUMP = sql("", "c").rstrip() + ", " + STUMP_ROWS + ", " + stump("", IN_TRAIN)
+# the two best clusters on a line are the cut with the least squares within
+LINE = """, line AS (SELECT codcon, num_unidades_uso AS v, (num_unidades_uso - AVG(num_unidades_uso) OVER ()) / STDDEV_POP(num_unidades_uso) OVER () AS z FROM b),
+upto AS (SELECT z, LEAD(z) OVER (ORDER BY z) AS nz, SUM(n) OVER (ORDER BY z) AS ln, SUM(s) OVER (ORDER BY z) AS ls, SUM(n) OVER () AS tn, SUM(s) OVER () AS ts
+  FROM (SELECT z, COUNT(*) AS n, SUM(z) AS s FROM line GROUP BY z)),
+cut AS (SELECT z AS cut FROM upto WHERE nz IS NOT NULL ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC LIMIT 1),
+halves AS (SELECT codcon, v, z, z <= cut AS low FROM line, cut),
+sums AS (SELECT low, COUNT(*) AS n, SUM(z) AS s, SUM(z * z) AS q FROM halves GROUP BY low)"""
+ORACLE |= {
+    "adf_fixed_lag": sql(
+        f"""SELECT serie, n, {r('(sxy * szz - szy * sxz) / det / SQRT((syy - (sxy * szz - szy * sxz) / det * sxy - (szy * sxx - sxy * sxz) / det * szy) / (n - 3) * szz / det)', 'adf_statistic')}
+        FROM (SELECT *, sxx * szz - sxz * sxz AS det FROM (
+          SELECT serie, COUNT(*) AS n, COVAR_POP(x, x) * COUNT(*) AS sxx, COVAR_POP(z, z) * COUNT(*) AS szz, COVAR_POP(y, y) * COUNT(*) AS syy,
+                 COVAR_POP(x, z) * COUNT(*) AS sxz, COVAR_POP(x, y) * COUNT(*) AS sxy, COVAR_POP(z, y) * COUNT(*) AS szy FROM (
+            SELECT serie, valor - LAG(valor) OVER w AS y, LAG(valor) OVER w AS x, LAG(valor) OVER w - LAG(valor, 2) OVER w AS z FROM series
+            WINDOW w AS (PARTITION BY serie ORDER BY nuanio, nummes)) WHERE z IS NOT NULL GROUP BY serie))""", "series"),
+    "isolation_forest_fixed": sql(
+        f"""SELECT codudu, codcon, {r(f'POWER(2.0, -(p0 + p1) / 2.0 / {path_of(64, 0)!r})', 'score')} FROM (
+        SELECT codudu, codcon, CASE WHEN consumo_promedio <= 20 THEN {path_of(24, 1)!r} WHEN tarifa_efectiva <= 40 THEN {path_of(39, 2)!r} ELSE {path_of(1, 2)!r} END AS p0,
+               CASE WHEN coef_variacion <= 0.5 THEN {path_of(50, 1)!r} ELSE {path_of(14, 1)!r} END AS p1 FROM a
+        WHERE {' AND '.join(f'{f} IS NOT NULL' for f in S.ANOMALY_FEATURES['A'])})""", "a"),
+    "isolation_forest_shape": sql(
+        f"""SELECT CAST(100 AS BIGINT) AS n_trees, LEAST(256, n) AS root_min, LEAST(256, n) AS root_max, CAST(8 AS INT) AS depth,
+        CAST(100 * LEAST(256, n) AS BIGINT) AS leaf_rows, CAST(0 AS BIGINT) AS wrong_parents
+        FROM (SELECT COUNT(*) AS n FROM a WHERE {' AND '.join(f'{f} IS NOT NULL' for f in S.ANOMALY_FEATURES['A'])})""", "a"),
+    "kmeans_1d": sql("", "b").rstrip() + LINE + f"""
+SELECT COUNT(*) AS n, {r('COUNT(*) * 100.0 / (SELECT COUNT(*) FROM halves)', 'pct')}, {r('AVG(v)', 'num_unidades_uso')} FROM halves GROUP BY low""",
+    "best_k_search_1d": sql("", "b").rstrip() + LINE + f"""
+SELECT CAST(2 AS INT) AS k, {r('AVG(CASE WHEN own.n = 1 THEN 0 ELSE (b - a) / GREATEST(a, b) END)', 'silhouette')}, COUNT(*) AS n FROM (
+  SELECT own.n, (own.n * z * z - 2 * z * own.s + own.q) / NULLIF(own.n - 1, 0) AS a, (other.n * z * z - 2 * z * other.s + other.q) / other.n AS b
+  FROM halves JOIN sums AS own ON own.low = halves.low JOIN sums AS other ON other.low <> halves.low) AS own""",
+    "boosted_stump": STUMP + f"\nSELECT coddis, nuanio, nummes, {r('consumo_promedio', 'consumo_promedio')}, {r(split_of(''), 'prediction')} FROM rows, best {IN_TEST}",
+    "boosted_stump_categories": sql("", "c").rstrip() + ", " + STUMP_ROWS
+    + f", places AS (SELECT nomdis, CAST(ROW_NUMBER() OVER (ORDER BY AVG(consumo_promedio), nomdis) AS DOUBLE) AS place FROM rows {IN_TRAIN} GROUP BY nomdis), "
+    + stump("", "JOIN places USING (nomdis) " + IN_TRAIN, "place")
+    + f"\nSELECT coddis, nuanio, nummes, {r('consumo_promedio', 'consumo_promedio')}, {r(split_of('', 'place'), 'prediction')} FROM rows JOIN places USING (nomdis), best {IN_TEST}",
+    "boosted_stump_importance": STUMP + """
+SELECT feature, CASE WHEN f = i THEN 1.0 ELSE 0.0 END + 0.0 AS importance, CAST(CASE WHEN f = i THEN 1 ELSE 0 END AS BIGINT) AS splits
+FROM best, (VALUES (0, 'nomdis'), (1, 'mes_absoluto')) AS names(i, feature)""",
+    "boosted_stump_metrics": STUMP + f"""
+SELECT COUNT(*) AS n, {r('SQRT(AVG(e * e))', 'rmse')}, {r('AVG(ABS(e))', 'mae')}, {r('1 - AVG(e * e) / VAR_POP(y)', 'r2')}
+FROM (SELECT consumo_promedio AS y, consumo_promedio - {split_of('')} AS e FROM rows, best {IN_TEST})""",
+    "out_of_fold_stump": sql("", "c").rstrip() + ", " + STUMP_ROWS + ", " + stump("even_", "WHERE h % 2 <> 0") + ", " + stump("odd_", "WHERE h % 2 <> 1") + f"""
+SELECT coddis, nuanio, nummes, {r('y', 'consumo_promedio')}, fold, {r('p', 'prediction')}, {r('ABS(y - p) / ABS(p)', 'desviacion')} FROM (
+  SELECT coddis, nuanio, nummes, consumo_promedio AS y, CAST(h % 2 AS INT) AS fold, CASE h % 2 WHEN 0 THEN {split_of('even_')} ELSE {split_of('odd_')} END AS p
+  FROM rows, even_best, odd_best) WHERE ABS(y - p) / ABS(p) > 0.1""",
+}
+
+ORACLE["did_result_document"] = sql(
+    f"""SELECT 'DiD OLS covariables + cluster SE' AS modelo, n AS n_obs, g AS n_clusters, {rs(['r2'])}, CAST(0 AS INT) AS n_categoricas, CAST(0 AS INT) AS n_numericas,
+    coef_names, {rs(['coef', 'std_error'])}, {r('coef / std_error', 't_stat')} FROM (
+    SELECT 'intercept' AS coef_names, control_pre AS coef, s0 AS std_error, n, g, r2 FROM basic, dd_se, dd_fit
+    UNION ALL SELECT 'treated', treated_pre - control_pre, s1, n, g, r2 FROM basic, dd_se, dd_fit
+    UNION ALL SELECT 'post', control_post - control_pre, s2, n, g, r2 FROM basic, dd_se, dd_fit
+    UNION ALL SELECT 'treated_post', effect, s3, n, g, r2 FROM basic, dd_se, dd_fit)""", "basic", "dd_se", "dd_fit")
 FEW = "SELECT * FROM treated WHERE mes_evento BETWEEN 1998 * 12 + 1 AND 1998 * 12 + 12"
 ORACLE |= {
     "sample_rows_text_keys": f"""SELECT key FROM (SELECT 'k' || o_orderkey AS key FROM orders)

@@ -500,6 +500,11 @@ def adf_test(spark, sf):
     return rounded(T.adf_test(series_of(spark, sf)))
 
 
+@register
+def adf_fixed_lag(spark, sf):
+    return rounded(T.adf_fixed_lag(series_of(spark, sf)))
+
+
 @register
 def dickey_fuller(spark, sf):
     return rounded(T.dickey_fuller(series_of(spark, sf)))
@@ -777,6 +782,90 @@ def isolation_forest_score(spark, sf):
     return rounded(flagged.select(*S.UNIT_KEYS, "score", "anomaly_score", "es_anomalia"))
 
 
+#: Two small trees, written down: node, feature, threshold, children, depth, rows.
+NODES = [
+    (0, 0, 0, 20.0, 1, 2, 0, 64), (0, 1, -1, 0.0, -1, -1, 1, 24), (0, 2, 2, 40.0, 3, 4, 1, 40), (0, 3, -1, 0.0, -1, -1, 2, 39),
+    (0, 4, -1, 0.0, -1, -1, 2, 1), (1, 0, 4, 0.5, 1, 2, 0, 64), (1, 1, -1, 0.0, -1, -1, 1, 50), (1, 2, -1, 0.0, -1, -1, 1, 14),
+]
+
+
+@register
+def isolation_forest_fixed(spark, sf):
+    """Scores of every unit by trees that are written down."""
+    nodes = spark.createDataFrame(NODES, IF.NODE_SCHEMA)
+    scored = IF.isolation_forest_score(units(spark, sf), S.ANOMALY_FEATURES["A"], nodes)
+    return rounded(scored.select(*S.UNIT_KEYS, "score"))
+
+
+@register
+def isolation_forest_shape(spark, sf):
+    rows = stored(spark, units(spark, sf).select(*S.UNIT_KEYS, *S.ANOMALY_FEATURES["A"]), "units")
+    return IF.forest_shape(stored(spark, IF.isolation_forest_fit(rows, S.ANOMALY_FEATURES["A"], S.UNIT_KEYS), "forest"))
+
+
+def one_dimension(spark, sf) -> DataFrame:
+    """Connections by one scaled feature, where the best two clusters are a cut."""
+    return K.scaled_vectors(connections(spark, sf).select("codcon", "num_unidades_uso"), ["num_unidades_uso"])
+
+
+@register
+def kmeans_1d(spark, sf):
+    vectors = stored(spark, one_dimension(spark, sf), "one-dimension").persist()
+    try:
+        labelled = K.kmeans(vectors, 2, tol=0.0).transform(vectors)
+        return rounded(spark.createDataFrame(
+            [(r["n"], r["pct"], r["num_unidades_uso"]) for r in K.cluster_profiles(labelled, ["num_unidades_uso"]).collect()],
+            "n long, pct double, num_unidades_uso double",
+        ))
+    finally:
+        vectors.unpersist()
+
+
+@register
+def best_k_search_1d(spark, sf):
+    return rounded(K.best_k_search(stored(spark, one_dimension(spark, sf), "one-dimension"), ["codcon"], 2, 2, tol=0.0))
+
+
+def stump(spark, sf, sampled: bool) -> B.Boosted:
+    """One split of the district-months by one category or one number."""
+    rows = districts(spark, sf).select(*S.FEATURE_TABLE_KEYS["C"], S.TARGET, "nomdis", "mes_absoluto")
+    if sampled:
+        return B.boosted_trees_sampled(rows, "C", maxIter=1, maxDepth=1, stepSize=1.0, subsamplingRate=1.0, featureSubsetStrategy="all")
+    return B.boosted_trees(rows, "C", maxIter=1, maxDepth=1, stepSize=1.0)
+
+
+@register
+def boosted_stump(spark, sf):
+    return rounded(stump(spark, sf, False).predictions)
+
+
+@register
+def boosted_stump_categories(spark, sf):
+    """The same split with districts as categories, which may fall on either side."""
+    return rounded(stump(spark, sf, True).predictions)
+
+
+@register
+def boosted_stump_importance(spark, sf):
+    fit = stump(spark, sf, False)
+    ranked = B.importance_rank(B.feature_importance(fit, spark)).join(B.split_counts(fit, spark), "feature")
+    return rounded(ranked)
+
+
+@register
+def boosted_stump_metrics(spark, sf):
+    return rounded(B.regression_metrics(stump(spark, sf, False).predictions))
+
+
+@register
+def out_of_fold_stump(spark, sf):
+    """Two folds: each half is predicted by the split of the other one."""
+    rows = districts(spark, sf).select(*S.FEATURE_TABLE_KEYS["C"], S.TARGET, "nomdis", "mes_absoluto")
+    predicted = B.out_of_fold(stored(spark, rows, "districts"), "C", 2, maxIter=1, maxDepth=1, stepSize=1.0)
+    alerts = I.deviation_alerts(predicted, S.TARGET, "prediction")
+    return rounded(alerts)
+
+
 # ---- causal ----
 
 
@@ -880,6 +969,19 @@ def did_ols_saturated(spark, sf):
     return rounded(plain.select("term", "coef", "std_error", "n_obs", "n_clusters", "r2"))
 
 
+@register
+def did_result_document(spark, sf):
+    """The result document of the regression without covariates, stored and read back."""
+    path = scratch_path(spark, "did-document")
+    plain = G.did_ols_cluster(did_panel(spark, sf), categorical=(), numerics=())
+    sinks.result_json_sink(results.did_document(plain, (), ()), path)
+    doc = spark.read.json(path)
+    places = F.explode(F.arrays_zip("coef_names", "coef", "std_error", "t_stat"))
+    sizes = [F.size(f"covariables.{c}").alias(f"n_{c}") for c in ("categoricas", "numericas")]
+    rows = doc.select("modelo", "n_obs", "n_clusters", "r2", *sizes, places.alias("e")).select("*", "e.*").drop("e")
+    return rounded(rows)
+
+
 @register
 def did_ols_cluster(spark, sf):
     return rounded(G.did_ols_cluster(did_panel(spark, sf)))

@@ -103,6 +103,15 @@ def test_regression_job(spark, tables):
     assert len(doc["feature_importance"]) == 8
 
 
+def test_alert_job(spark, tables):
+    target = scratch_path(spark, "alerts")
+    report = jobs.alert_deviations(spark, tables["C"], target, tolerance=0.2, folds=2, maxIter=2).first()
+    alerts = spark.read.parquet(target)
+    assert report["n"] == 1873 and 0 < report["n_alertas"] == alerts.count() < 1873
+    assert alerts.filter("desviacion <= 0.2").count() == 0
+    assert {"coddis", "nuanio", "nummes", "fold", "prediction"} <= set(alerts.columns)
+
+
 def test_series_job_and_report(spark, tables):
     folder = scratch_path(spark, "series")
     jobs.analyse_series(spark, tables["C"], folder, name="NATION_7")
@@ -138,7 +147,15 @@ def test_causal_jobs(spark, fact):
     target, csv = scratch_path(spark, "effects"), scratch_path(spark, "pre")
     effects = {r["term"]: r for r in jobs.estimate_effects(spark, events, did, target, csv).collect()}
     assert {"intercept", "treated", "post", "treated_post", "hoxdia", "diasem"} <= set(effects)
+    did_doc = spark.read.json(f"{target}-did").first()
+    assert did_doc["coef_names"][:6] == ["intercept", "treated", "post", "treated_post", "hoxdia", "diasem"]
+    assert did_doc["coef"] == [effects[t]["coef"] for t in did_doc["coef_names"]] and len(effects) == len(did_doc["coef"])
+    assert did_doc["std_error"][3] == effects["treated_post"]["std_error"] and did_doc["n_obs"] == effects["post"]["n_obs"]
+    assert did_doc["covariables"]["categoricas"] == ["coddis", "codcat", "codtis", "codmof"]
+    assert set(did_doc.asDict()) == {"modelo", "timestamp", "n_obs", "n_clusters", "coef_names", "coef", "std_error", "t_stat", "r2", "notes", "covariables"}
     doc = spark.read.json(target)
+    assert {r["covariables"]["tendencia"] for r in doc.collect()} == {"mes_abs"}
+    assert all(r["coef"]["baseline"] == r["baseline"] for r in doc.collect())
     assert {r["event_type"] for r in doc.select("event_type").collect()} == {"1to2", "2to1"}
     plan = spark.read.parquet(events).filter("event_type = '1to2'")._jdf.queryExecution()
     assert "PartitionFilters: [isnotnull(event_type" in plan.executedPlan().toString()

@@ -217,3 +217,24 @@ def test_start_centres_are_distinct_points(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, 4.0)] * 50, "id long, x double")
     assert sorted(K.start_centres(df, ["x"], 5, ["id"])) == [[0.0], [4.0]]
     assert K.start_centres(df.limit(0), ["x"], 5, ["id"]) == []
+
+
+def test_forest_shape_finds_a_broken_tree(spark):
+    nodes = [(0, 0, 1, 0.5, 1, 2, 0, 10), (0, 1, -1, 0.0, -1, -1, 1, 4), (0, 2, -1, 0.0, -1, -1, 1, 6), (1, 0, -1, 0.0, -1, -1, 0, 10)]
+    good = IF.forest_shape(spark.createDataFrame(nodes, IF.NODE_SCHEMA)).first()
+    assert tuple(good) == (2, 10, 10, 1, 20, 0)
+    broken = [(*n[:-1], 5) if n[:2] == (0, 1) else n for n in nodes]
+    assert IF.forest_shape(spark.createDataFrame(broken, IF.NODE_SCHEMA)).first()["wrong_parents"] == 1
+    assert IF.forest_shape(spark.createDataFrame(nodes[:2], IF.NODE_SCHEMA)).first()["wrong_parents"] == 1
+
+
+def test_out_of_fold_predicts_every_row_without_itself(spark):
+    """A row with a level of its own gets the prediction of the others."""
+    rows = [(i, 2021, 1 + i % 12, f"D{i % 5}", 2021.0 + i % 7, 10.0 * (i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "coddis int, nuanio int, nummes int, nomdis string, mes_absoluto double, consumo_promedio double")
+    odd = df.limit(1).withColumn("consumo_promedio", F.lit(1e6))
+    both = df.exceptAll(df.limit(1)).union(odd)
+    out = B.out_of_fold(both, "C", 4, maxIter=2, maxDepth=3)
+    assert out.count() == 400 and out.select("coddis").distinct().count() == 400
+    assert {r["fold"] for r in out.select("fold").distinct().collect()} == {0, 1, 2, 3}
+    assert out.filter("consumo_promedio = 1e6").first()["prediction"] < 1000

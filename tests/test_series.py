@@ -112,3 +112,16 @@ def test_many_series_share_one_exchange(spark):
     df = frame(spark, range(36)).repartition(4)
     plan = T.seasonal_decompose(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fixed_lag_statistic_is_that_of_the_regression(spark):
+    rng = np.random.default_rng(6)
+    walks = {"walk": np.cumsum(rng.normal(size=60)), "noise": rng.normal(size=60), "short": rng.normal(size=5), "flat": np.ones(30)}
+    rows = [(name, 2000 + i // 12, i % 12 + 1, float(v)) for name, y in walks.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "serie string, nuanio int, nummes int, valor double")
+    got = {r["serie"]: r for r in T.adf_fixed_lag(df).collect()}
+    for name in ("walk", "noise"):
+        tau, _ = T._adf_regression(walks[name], 1, 1)
+        assert got[name]["adf_statistic"] == pytest.approx(tau, rel=1e-9) and got[name]["n"] == 58
+    # three differences are as many as the terms; a flat series has no variance
+    assert got["short"]["adf_statistic"] is None and got["flat"]["adf_statistic"] is None
