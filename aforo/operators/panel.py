@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from aforo.functions.hashing import key_hash
 from aforo.functions.measures import month_index
 from aforo.operators.aggregates import distinct_values, pivot_mean
 from aforo.operators.selection import smallest
-from aforo.session import checkpoint_dir
+from aforo.session import checkpoint_dir, scratch_path, stored
 
 WINDOW = 6
 CONTROLS_PER_TREATED = 2
@@ -179,6 +180,29 @@ def did_panel(
     return with_post(event_panel(df, events, window))
 
 
+def both_panels(
+    df: DataFrame, window: int = WINDOW, ratio: int = CONTROLS_PER_TREATED, seed: int = 42, allow_short: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The event panel and the difference-in-differences panel from two scans of the records.
+
+    One stored history serves all events. Events of either type, and the controls,
+    join the records together; the joined records are stored once, apart for each
+    kind, and both panels read the kinds they need.
+    """
+    history = stored(unit_history(df), "unit-history")
+    kinds = {kind: events_of(history, kind) for kind in ("1to2", "2to1")}
+    kinds["control"] = sample_controls(kinds["1to2"], history.filter("nunca"), ratio, seed, allow_short=allow_short)
+    events = reduce(DataFrame.unionByName, [e.withColumn("kind", F.lit(kind)) for kind, e in kinds.items()])
+    path = scratch_path(df.sparkSession, "panels")
+    joined = event_panel(df, events, window)
+    joined.write.partitionBy("kind").parquet(path)
+    rows = df.sparkSession.read.schema(joined.schema).parquet(path)
+    types = rows.filter(F.col("kind").isin("1to2", "2to1")).withColumnRenamed("kind", "event_type")
+    treated = (F.col("kind") == "1to2").cast("int")
+    did = with_post(rows.filter(F.col("kind").isin("1to2", "control")).withColumn("treated", treated)).drop("kind")
+    return types, did
+
+
 def pretrend_means(panel: DataFrame, value: str = "volfac") -> DataFrame:
     return (
         panel.filter(F.col("t_rel") < 0)

@@ -54,7 +54,7 @@ def approximate_quantiles(
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
-    """Hashes of the groups with at least ``hot_rows`` rows; one more than ``MAX_BROADCAST_GROUPS`` means too many.
+    """Hashes of the groups with at least ``hot_rows`` rows, at most ``HASH_BUCKETS * TRACKED / 2`` numbers.
 
     One pass over the keys. Frequent-items sketches of bounded size, one for each
     of 256 shares of the keys, count in parallel and merge. A sketch counts too
@@ -67,7 +67,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
     top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(TRACKED // 2), F.lit(TRACKED))
     sketches = df.select(*keys).groupBy(share).agg(top.alias("_t"))
     found = sketches.select(F.explode("_t").alias("t")).filter(F.col("t.count") >= hot_rows)
-    return [r["item"] for r in found.select("t.item").limit(MAX_BROADCAST_GROUPS + 1).collect()]
+    return [r["item"] for r in found.select("t.item").collect()]
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

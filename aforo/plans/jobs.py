@@ -167,10 +167,9 @@ def build_panels(
     """Event panel, partitioned by event type, and the difference-in-differences panel."""
     configure(spark)
     fact = spark.read.parquet(source)
-    panel.event_study_panel(fact).write.partitionBy("event_type").option("compression", "zstd").parquet(
-        event_target
-    )
-    parquet_sink(panel.did_panel(fact, allow_short=allow_short), did_target)
+    events, did = panel.both_panels(fact, allow_short=allow_short)
+    events.write.partitionBy("event_type").option("compression", "zstd").parquet(event_target)
+    parquet_sink(did, did_target)
 
 
 def estimate_effects(

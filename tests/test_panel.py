@@ -83,3 +83,21 @@ def test_plan_has_no_unbounded_window(bills):
     """The only window runs over unit-months, after the aggregation."""
     plan = P.unit_history(bills(*unit(1, "12")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate [codcon", plan.index("Window"))
+
+
+def test_both_panels_are_the_single_ones(spark, bills):
+    rows = [r for i in range(1, 9) for r in unit(i, "112211"[i % 3 :] + "2")] + [r for i in range(50, 90) for r in unit(i, "2222")]
+    df = bills(*rows)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    events, did = P.both_panels(df.mapInArrow(count, df.schema))
+    assert seen.value == 2 * df.count()
+    for got, want in ((events, P.event_study_panel(df)), (did, P.did_panel(df))):
+        assert set(got.columns) == set(want.columns)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert got.count() > 0
