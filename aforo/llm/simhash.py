@@ -317,24 +317,34 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def copy_candidates(shared: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes that share a key and look alike in 64 bits: of large keys nearest ones only."""
+def key_matches(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What one pass over the keys finds, stored.
+
+    Distinct pairs ``(a, b)`` of nodes that share a key and look alike in 64 bits,
+    of large keys nearest ones only; and ``(key, node, fp)`` of the large keys. The
+    rows come from the exchange that counted them, sorted in place: they are
+    neither written nor shuffled again.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
+            large = batch.filter(pa.array(batch["n"].to_numpy() > WINDOW + 1))
+            yield pa.RecordBatch.from_arrays([large["key"], large["node"], large["fp"]], ["key", "a", "b"])
             old = len(key)
             key, node = np.concatenate([key, batch["key"].to_numpy()]), np.concatenate([node, batch["node"].to_numpy()])
             fp = np.concatenate([fp, batch["fp"].to_numpy()])
-            a, b = _neighbours(key, fp.view(np.uint64), old)
-            yield _ordered(node[a], node[b])
+            i, j = _neighbours(key, fp.view(np.uint64), old)
+            a, b = _ordered(node[i], node[j]).columns
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), a, b], ["key", "a", "b"])
             key, node, fp = key[-WINDOW:], node[-WINDOW:], fp[-WINDOW:]
 
     # each kind of key sorts by other bits first, so that neighbours differ from key to key
     turn = F.shiftright("key", 24) * 6
     order = F.call_function("shiftleft", F.col("fp"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), 64 - turn))
-    keys = shared.select("key", "node", "fp").repartition("key").sortWithinPartitions("key", order)
-    return keys.mapInArrow(compare, "a long, b long").distinct()
+    found = stored(shared.sortWithinPartitions("key", order).mapInArrow(compare, "key int, a long, b long"), "copies-found")
+    large = found.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
+    return found.filter(F.col("key").isNull()).select("a", "b").distinct(), large
 
 
 def _unjoined(fp: np.ndarray, root: np.ndarray, own: np.ndarray, across: bool, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -435,8 +445,7 @@ def copy_groups(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHI
     marked = stored(wide_fingerprints(docs, doc_id, text, shingle), "copies-fingerprints")
     node = marked.groupBy("node").agg(F.min("doc_id").alias("_least"), F.min(F.struct("h", "size", "wide")).alias("_m"))
     nodes = stored(node.select("node", "_least", "_m.h", "_m.size", "_m.wide"), "copies-nodes")
-    shared = stored(shared_keys(nodes), "copies-keys")
-    large = shared.filter(F.col("n") > WINDOW + 1)
+    candidates, large = key_matches(shared_keys(nodes))
 
     def near(pairs: DataFrame) -> DataFrame:
         """``(a, b, apart)`` of the pairs that sizes and bits leave open."""
@@ -452,7 +461,7 @@ def copy_groups(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHI
         both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         return both.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).filter("ra <> rb")
 
-    first = stored(near(copy_candidates(shared)), "copies-near")
+    first = stored(near(candidates), "copies-near")
     ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(large.select("node"))
     asked = stored(nodes.select("node", "h").join(ends.distinct(), "node"), "copies-asked")
     texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("node", "t").dropDuplicates(["node"])
