@@ -93,15 +93,31 @@ def _canonical(role: Column) -> Column:
     return named
 
 
-def turns_of_json(records: DataFrame, conv_id: str, json: str) -> DataFrame:
-    """``(conv_id, turn, role, text)`` of JSON records, each mapped by its own fingerprint."""
-    rows = pick(records, conv_id=conv_id, _json=json).withColumn("v", F.try_parse_json("_json"))
+def turns_of_variants(rows: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text, role_read)`` of ``(conv_id, first, v)``, each variant mapped by its own fingerprint.
+
+    ``first`` is the number of the record's first turn. ``role`` is canonical,
+    ``role_read`` as it stands in the record.
+    """
     rows = rows.withColumn("_print", F.sha2(shape_column(F.col("v")), 256))
     turns = F.expr("CAST(NULL AS array<struct<role string, text string>>)")
     for shape, mapping in LAYOUTS.items():
         turns = F.when(F.col("_print") == fingerprint(shape), F.expr(mapping)).otherwise(turns)
-    found = rows.select("conv_id", F.posexplode(turns).alias("turn", "_t"))
-    return found.select("conv_id", F.col("turn").cast("long"), _canonical(F.col("_t.role")).alias("role"), F.col("_t.text").alias("text"))
+    found = rows.select("conv_id", "first", F.posexplode(turns).alias("_n", "_t"))
+    role, turn = F.col("_t.role"), (F.col("first") + F.col("_n")).cast("long")
+    return found.select("conv_id", turn.alias("turn"), _canonical(role).alias("role"), F.col("_t.text").alias("text"), role.alias("role_read"))
+
+
+def turns_of_json(records: DataFrame, conv_id: str, json: str) -> DataFrame:
+    """:func:`turns_of_variants` of JSON records."""
+    return turns_of_variants(pick(records, conv_id=conv_id, _json=json).select("conv_id", F.lit(0).alias("first"), F.try_parse_json("_json").alias("v")))
+
+
+def variants_of_table(records: DataFrame, conv_id: str, turn: str | None, fields: list[str]) -> DataFrame:
+    """``(conv_id, first, v)`` of typed records; ``turn`` names their number, if a record is one turn."""
+    record = F.struct(*[F.col(f"`{c}`").alias(c) for c in fields])
+    first = F.lit(0) if turn is None else F.col(f"`{turn}`")
+    return records.select(F.col(f"`{conv_id}`").alias("conv_id"), first.cast("long").alias("first"), F.to_variant_object(record).alias("v"))
 
 
 def unknown_layouts(records: DataFrame, conv_id: str, json: str) -> DataFrame:
@@ -115,22 +131,16 @@ def unknown_layouts(records: DataFrame, conv_id: str, json: str) -> DataFrame:
 
 
 def turns_of_table(records: DataFrame, conv_id: str, turn: str | None = None, fields: list[str] | None = None) -> DataFrame:
-    """``(conv_id, turn, role, text)`` of typed records in any known layout.
+    """:func:`turns_of_variants` of typed records in any known layout.
 
     ``fields`` names the columns of the record (default: all but id and turn).
-    With ``turn`` the table has a row per turn; that layout needs no rewriting.
+    With ``turn`` the table has a row per turn.
     """
     fields = fields or [c for c in records.columns if c not in (conv_id, turn)]
     shape = shape_of(records.select(*[F.col(f"`{c}`") for c in fields]).schema)
     if fingerprint(shape) not in {fingerprint(s) for s in LAYOUTS}:
         raise ValueError(f"no mapping for records of shape {shape}")
-    if turn is not None:
-        rows = pick(records, conv_id=conv_id, turn=turn, role="role", text="text")
-        return rows.withColumn("role", _canonical(F.col("role")))
-    record = F.struct(*[F.col(f"`{c}`").alias(c) for c in fields])
-    rows = records.select(F.col(f"`{conv_id}`").alias("conv_id"), F.to_variant_object(record).alias("v"))
-    found = rows.select("conv_id", F.posexplode(F.expr(LAYOUTS[shape])).alias("turn", "_t"))
-    return found.select("conv_id", F.col("turn").cast("long"), _canonical(F.col("_t.role")).alias("role"), F.col("_t.text").alias("text"))
+    return turns_of_variants(variants_of_table(records, conv_id, turn, fields))
 
 
 def escape(text: Column) -> Column:

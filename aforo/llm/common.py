@@ -23,6 +23,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each whole row as one struct ``row`` beside columns of our own; ``select("row.*")`` brings it back."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(whole.alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -7,30 +7,34 @@ as well as one copied whole. An item counts as leaked into a document if tiles
 cover at least ``share`` of its words.
 
 The benchmark is the stated query set. It is cut into blocks of at most
-``BLOCK_WORDS`` words; only one block is broadcast at a time, whatever the size
-of the benchmark. In a task a document is reduced to its words that the block
+``BLOCK_WORDS`` words; only one block is on the driver and broadcast at a time,
+whatever the size of the benchmark: with several, each one's result is stored
+before the next is read. In a task a document is reduced to its words that the block
 knows; runs of ``least`` of them are seeds, looked up by a rolling hash and
 compared word by word. Items whose seeds could cover enough are tiled in full.
 Documents are read whole and never shuffled.
 
 Words are cut at white space, lower-cased, and stripped of what is not a
 letter or digit at their ends; bare punctuation is no word. Items of fewer than
-``least`` words match nothing: such runs stand in clean texts. Null or empty texts and items match nothing;
+``least`` words leak only into documents of which they are a whole line or the
+whole text, as such runs stand in clean texts. Null or empty texts and items match nothing;
 null ids are kept; repeated rows give repeated results; an empty benchmark or
 table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforo.llm.common import kept_in_process, pick
+from aforo.llm.common import kept_in_process, packed, pick, stored
 
 LEAST = 5
 SHARE = 0.5
@@ -66,44 +70,60 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def common_runs(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """``(place in doc, place in item, length)`` of all longest common runs of ``least`` words or more.
+
+    Karp-Rabin seeds of each place of the item are joined to those of the place
+    before, diagonal by diagonal; only the seeds of two places are held.
+    """
+    own, other = rolling(doc, least), rolling(item, least)
+    runs: list[tuple[int, int, int]] = []
+    if not len(own) or not len(other):
+        return runs
+    order = np.argsort(own, kind="stable")
+    lo, hi = np.searchsorted(own, other, "left", order), np.searchsorted(own, other, "right", order)
+    windows = np.lib.stride_tricks.sliding_window_view(doc, least)
+    before, seeds = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(len(other) + 1):
+        places = order[lo[i] : hi[i]] if i < len(other) else order[:0]
+        if len(places):
+            places = places[(windows[places] == item[i : i + least]).all(axis=1)]
+        ended = ~np.isin(before + 1, places, assume_unique=True)
+        for d, n in zip(before[ended].tolist(), seeds[ended].tolist(), strict=True):
+            runs.append((d - n + 1, i - n, n + least - 1))
+        now = np.ones(len(places), np.int64)
+        at = np.searchsorted(before, places - 1)
+        on = np.flatnonzero(at < len(before))
+        on = on[before[at[on]] == places[on] - 1]
+        now[on] += seeds[at[on]]
+        before, seeds = places, now
+    return runs
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(place in doc, place in item, length)`` of the tiles.
 
-    Each round takes the longest common runs of unmarked words. They are found
-    by Karp-Rabin: seeds of ``least`` words are joined and grown to both ends of
-    what is unmarked, so a round needs one pass however long the match.
+    Always the longest common run of unmarked words is marked next, ties by
+    place in the document, then in the item.
     """
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
     tiles = []
-    hashes_d, hashes_i = rolling(doc, least), rolling(item, least)
-    seeds: dict[int, list[int]] = {}
-    for at, h in enumerate(hashes_i.tolist()):
-        seeds.setdefault(h, []).append(at)
-    places = np.flatnonzero(np.isin(hashes_d, hashes_i)).tolist()
-    pairs = [(d, i) for d in places for i in seeds[int(hashes_d[d])] if (doc[d : d + least] == item[i : i + least]).all()]
-    while pairs:
-        best, found = least, []
-        reached: dict[int, int] = {}
-        kept = []
-        for d, i in pairs:
-            if not (free_d[d : d + least].all() and free_i[i : i + least].all()):
-                continue
-            kept.append((d, i))
-            if reached.get(d - i, -1) >= d + least:
-                continue  # lies in a run already grown on this diagonal
-            size = least
-            while d + size < len(doc) and i + size < len(item) and doc[d + size] == item[i + size] and free_d[d + size] and free_i[i + size]:
-                size += 1
-            reached[d - i] = d + size
-            if size > best:
-                best, found = size, []
-            if size == best:
-                found.append((d, i))
-        for d, i in found:
-            if free_d[d : d + best].all() and free_i[i : i + best].all():
-                free_d[d : d + best] = free_i[i : i + best] = False
-                tiles.append((d, i, best))
-        pairs = kept if found else []
+    heap = [(-size, d, i) for d, i, size in common_runs(doc, item, least)]
+    heapq.heapify(heap)
+    left = len(item)
+    while heap and left >= least:
+        size, d, i = heapq.heappop(heap)
+        free = free_d[d : d - size] & free_i[i : i - size]
+        if free.all():
+            free_d[d : d - size] = free_i[i : i - size] = False
+            tiles.append((d, i, -size))
+            left += size
+            continue
+        # an earlier tile took a part: what is still unmarked comes back by its own length
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, d + a, i + a))
     return tiles
 
 
@@ -128,23 +148,39 @@ class Block:
         self.vocabulary: dict[str, int] = {}
         self.memo = Memo(self.vocabulary)
         self.items = []
+        self.short: dict[tuple[int, ...], list[int]] = {}
         for key, text in items:
             words = normal_words(text or "")
-            if len(words) >= least:
-                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
-                self.items.append((key, ids))
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+            if len(ids) >= least:
+                self.items.append((key, np.array(ids, np.int64)))
+            elif ids:
+                self.short.setdefault(tuple(ids), []).append(key)
         hashes = [rolling(ids, least) for _, ids in self.items] or [np.zeros(0, np.uint64)]
         flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
         self.seeds = flat[order]
         self.owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
 
+    def short_matches(self, text: str, ids: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """Items too short for a tile that are a whole line of the text, or all of it."""
+        lines = {tuple(ids.tolist())} if len(ids) < self.least else set()
+        for line in text.splitlines():
+            own = [n for n in map(self.memo.__getitem__, line.split()) if n != NO_WORD]
+            if len(own) < self.least:
+                lines.add(tuple(own))
+        for line in sorted(lines & self.short.keys()):
+            for key in self.short[line]:
+                yield key, len(line), len(line), 1, 1.0
+
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int, float]]:
         if len(self.memo) > MEMO:
             self.memo.clear()
         words = text.split()
         ids = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         ids = ids[ids != NO_WORD]
+        if self.short:
+            yield from self.short_matches(text, ids)
         own = rolling(ids, self.least)
         if not len(own):
             return
@@ -190,6 +226,7 @@ def leaks(
     items = pick(benchmark, item_id=item_id, text=item_text).filter(F.col("text").isNotNull())
 
     def search(part: DataFrame) -> DataFrame:
+        # items of at most block_words words, see blocks()
         sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
         name = uuid.uuid4().hex
 
@@ -204,17 +241,19 @@ def leaks(
                 arrays = [pa.array(c, pa.float64() if k == "double" else pa.int64()) for c, (_, k) in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in kinds])
 
-        return rows.mapInArrow(read, RESULT_SCHEMA)
+        found = rows.mapInArrow(read, RESULT_SCHEMA)
+        if len(parts) > 1:
+            found = stored(found, "leaks")
+            sent.destroy()
+        return found
 
     parts = blocks(items, block_words)
-    found = search(parts[0])
-    for part in parts[1:]:
-        found = found.union(search(part))
-    return found
+    return reduce(DataFrame.union, [search(part) for part in parts])
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, all columns unchanged."""
     bad = leaks(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_h"))
-    return docs.join(bad, same, "left_anti")
+    rows = packed(docs, id=F.col(f"`{doc_id}`").cast("long"), h=F.xxhash64(F.col(f"`{text}`")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -130,12 +130,13 @@ def sample_labelled(rows: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     Rows are counted by language first; a language with more than four times
     its part keeps the rows of the lowest hashes, twice its part on average, so
     that the exact rank is taken over few rows whatever the language's share.
+    Of more than ``MOST_LANGUAGES`` labels those with the most rows are learned,
+    ties by label; every document is still predicted.
     """
     hashed = rows.withColumn("_h", F.xxhash64("id", "text"))
     keys = hashed.select("lang", "_h").distinct()
-    sizes = keys.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    keys = keys.filter(F.col("lang").isin([r["lang"] for r in sizes]))
     each = max(1, most // max(len(sizes), 1))
     span = 1 << 32
     low = F.lit(span)

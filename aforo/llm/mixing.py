@@ -2,7 +2,7 @@
 
 Each source has a token target. A source whose target is k and a fraction times
 its size gives k complete epochs, then documents in Efraimidis-Spirakis order
-(``-ln(u) / quality``, smallest first; ``u`` from a hash of the id) while the
+(``-ln(u) / quality``, smallest first; ``u`` from a hash of id and text) while the
 running sum stays within what is left; the document that crosses the budget is
 taken if that brings the sum nearer to it.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.llm.common import WORD, pick, stored
+from aforo.llm.common import WORD, packed, pick, stored
 
 BUCKETS = 4096
 LEAST_QUALITY = 1e-3
@@ -85,7 +85,7 @@ def mix(
     most: float = 2.0,
     seed: int = 42,
 ) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, times, taken.
+    """A row per document: doc_id, source, size, source_size, target, times, taken, text_hash.
 
     ``times`` says how often the mix takes the document, ``taken`` its tokens.
     Size and quality are columns over ``_t``, the text; by default its words and
@@ -95,8 +95,9 @@ def mix(
     quality = text_quality(F.col("_t")) if quality is None else quality
     rows = pick(docs, doc_id=doc_id, source=source, _t=text)
     rows = rows.withColumns({"size": size, "_q": F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))})
-    u = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = rows.withColumns({"_h": F.xxhash64("_t"), "_key": -F.log(u) / F.col("_q")}).drop("_t", "_q")
+    rows = rows.withColumn("_h", F.xxhash64("_t"))
+    u = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("_h"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    rows = rows.withColumn("_key", -F.log(u) / F.col("_q")).drop("_t", "_q")
     place = F.lit(1.0) - F.exp(-F.col("_key"))
     fine = F.least(F.floor(place * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1))
     rows = stored(rows.withColumns({"_a": F.floor(fine / BUCKETS), "_b": F.pmod(fine, F.lit(BUCKETS))}), "mixing-sizes")
@@ -126,12 +127,13 @@ def mix(
     second = cut(_running(inside, ["_s", "_a", "_base"], "_b"), ["_s", "_a"], "_b")
     inside = same.join(second, ["_s", "_a", "_b"])
     order = ["_key", "doc_id", "size", "_h"]
-    by_key = Window.partitionBy("_s").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # copies that tie are one row here, so a hot row does not fill the window
+    by_key = Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nearer = F.col("_left") - F.col("_before") >= F.col("_end") - F.col("_left")
     last = (
-        inside.withColumn("_end", F.col("_base") + F.sum("size").over(by_key))
-        .groupBy("_s", *order)
-        .agg(F.max("_end").alias("_end"), F.sum("size").alias("_sum"))
+        inside.groupBy("_s", "_base", *order)
+        .agg(F.sum("size").alias("_sum"))
+        .withColumn("_end", F.col("_base") + F.sum("_sum").over(by_key))
         .withColumn("_before", F.col("_end") - F.col("_sum"))
         .join(targets.select("_s", "_left"), "_s")
         .filter(F.col("_end") > F.col("_left"))
@@ -148,16 +150,20 @@ def mix(
     return (
         same.join(cuts, "_s")
         .withColumn("times", times)
-        .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), F.col("_h").alias("text_hash"))
     )
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def repeat_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes its document.
 
-    Ids that stand in several rows share the mean of their times, rounded up.
+    Rows are told apart by id, source and text; those that agree in all three
+    tie in the mix and are taken equally often.
     """
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg("times")).cast("int").alias("_times"))
-    joined = docs.join(times, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id"))).filter(F.col("_times") > 0)
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = mixed.filter("times > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_h"), F.col("times").cast("int").alias("_times")
+    )
+    rows = packed(docs, id=F.col(f"`{doc_id}`"), source=F.col(f"`{source}`"), h=F.xxhash64(F.col(f"`{text}`")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_h"))
+    taken = rows.join(times.distinct(), same)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +50,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = [F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
-             for i, role in enumerate(("user", "assistant"))]
-    odd = spark.range(1).select(F.inline(F.array(*extra)))
-    turns = chat.turns_of_table(rows.unionByName(odd), "conv_id", "turn")
+    extra = json.dumps({"messages": [{"role": role, "content": said} for role in ("user", "assistant")]})
+    rows = chat.variants_of_table(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "text"])
+    odd = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(0).cast("long").alias("first"), F.parse_json(F.lit(extra)).alias("v"))
+    # digests are over the roles as they were read
+    turns = chat.turns_of_variants(rows.unionByName(odd)).withColumn("role", F.col("role_read"))
     return chat.conversation_digests(chat.stored_conversations(turns))
 
 
@@ -138,7 +139,7 @@ FROM f""",
     "op5_chat": r"""
 WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g') AS body FROM c)
+e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|</?SYS>>|/?start_of_turn>|/?end_of_turn>|bos>|eos>)', '\1\\\2', 'g') AS body FROM c)
 SELECT conv_id, COUNT(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

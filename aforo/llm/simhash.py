@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforo.llm.common import pick, stored, text_values
+from aforo.llm.common import packed, pick, stored, text_values
 from aforo.llm.graph import components
 
 SHINGLE = 3
@@ -497,7 +497,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     found = copy_groups(docs, doc_id, text, shingle)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     chosen = found.groupBy("root").agg(least.alias("_m")).select("root", F.col("_m.doc_id").alias("_id"), F.col("_m.h").alias("_h"))
-    chosen = stored(chosen.withColumnRenamed("root", "_root"), "simhash-chosen")
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_h"))
-    kept = docs.join(chosen, same).dropDuplicates(["_root"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = stored(chosen, "simhash-chosen")
+    rows = packed(docs, id=F.col(f"`{doc_id}`").cast("long"), h=F.xxhash64(F.col(f"`{text}`")))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    return kept.dropDuplicates(["root"]).select("row.*")
