@@ -20,6 +20,8 @@ documents are taken as often as any. Empty table: no rows.
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from aforo.llm.common import WORD, packed, pick, stored
 BUCKETS = 4096
 LEAST_QUALITY = 1e-3
 WEIGHTS = (5.0, 2.0, 1.0)
+QUALITY_DECAY = 1e-4
 
 
 def word_count(text: Column) -> Column:
@@ -40,6 +43,37 @@ def text_quality(text: Column) -> Column:
     return F.lit(1.0) - odd / F.greatest(F.length(text), F.lit(1))
 
 
+def quality_features(text: Column) -> list[Column]:
+    """Shares of a text's characters: not letters, digits and symbols, capitals, ends of sentences, line ends."""
+    n = F.greatest(F.length(text), F.lit(1))
+    share = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) / n
+    return [share(p) for p in (r"[^\p{L}\s]", r"[0-9|{}<>_=#@\\/]", r"\p{Lu}", r"[.!?](?=\s|$)", r"\n")]
+
+
+def fitted_quality(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality"
+) -> Column:
+    """Chance of the label 1 by :func:`quality_features`, a column over ``_t`` for :func:`mix`.
+
+    A logistic regression over all labelled documents; an id that has several
+    labels counts with the greatest. Weights are rounded, so that the order in
+    which partial sums arrive does not show. Without both labels:
+    :func:`text_quality`. Null texts have no quality.
+    """
+    marks = pick(labels, key=label_id, label=label).groupBy(F.col("key").cast("long").alias("key")).agg(F.max("label").cast("double").alias("label"))
+    texts = pick(docs, id=doc_id, t=text).filter("t IS NOT NULL")
+    names = [f"f{i}" for i in range(len(quality_features(F.col("t"))))]
+    rows = texts.join(marks.filter("label IN (0, 1)"), F.col("id").cast("long") == F.col("key"))
+    rows = stored(rows.select("label", *[c.alias(n) for n, c in zip(names, quality_features(F.col("t")), strict=True)]), "mixing-labelled")
+    if rows.select("label").distinct().count() < 2:
+        return text_quality(F.col("_t"))
+    model = LogisticRegression(regParam=QUALITY_DECAY, maxIter=50).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+    score = F.lit(round(float(model.intercept), 4))
+    for weight, feature in zip(model.coefficients.toArray(), quality_features(F.col("_t")), strict=True):
+        score = score + F.lit(round(float(weight), 4)) * feature
+    return F.when(F.col("_t").isNotNull(), 1 / (1 + F.exp(-score)))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Targets by water filling over ``(source, source_size)``, one row per source.
 

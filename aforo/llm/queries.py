@@ -79,7 +79,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, quality=mixing.fitted_quality(docs, table(spark, sf_dir, "labels"))).drop("text_hash")
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
