@@ -41,7 +41,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.repeat_rows(docs, mixing.mix(docs))
+    quality = mixing.fitted_quality(docs, table(spark, sf_dir, "labels"))
+    return mixing.repeat_rows(docs, mixing.mix(docs, quality=quality))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
