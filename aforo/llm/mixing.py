@@ -63,8 +63,9 @@ def fitted_quality(
     marks = pick(labels, key=label_id, label=label).groupBy(F.col("key").cast("long").alias("key")).agg(F.max("label").cast("double").alias("label"))
     texts = pick(docs, id=doc_id, t=text).filter("t IS NOT NULL")
     names = [f"f{i}" for i in range(len(quality_features(F.col("t"))))]
-    rows = texts.join(marks.filter("label IN (0, 1)"), F.col("id").cast("long") == F.col("key"))
-    rows = stored(rows.select("label", *[c.alias(n) for n, c in zip(names, quality_features(F.col("t")), strict=True)]), "mixing-labelled")
+    # measured before the join, so that no text is shuffled
+    measured = texts.select(F.col("id").cast("long").alias("key"), *[c.alias(n) for n, c in zip(names, quality_features(F.col("t")), strict=True)])
+    rows = stored(measured.join(marks.filter("label IN (0, 1)"), "key").select("label", *names), "mixing-labelled")
     if rows.select("label").distinct().count() < 2:
         return text_quality(F.col("_t"))
     model = LogisticRegression(regParam=QUALITY_DECAY, maxIter=50).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
