@@ -7,9 +7,9 @@ running sum stays within what is left; the document that crosses the budget is
 taken if that brings the sum nearer to it.
 
 No source is sorted. The keys of a source are counted in ``BUCKETS`` buckets by
-``1 - exp(-key)``, which is near uniform; only the bucket where the budget ends
-is ordered. A second level of buckets splits that bucket by the same rule, so a
-task orders about a 16-millionth of a source. What remains is one cut per
+``key / (1 + key)``, which keeps the large keys of poor documents apart as well;
+only the bucket where the budget ends is ordered. A second level of buckets splits that bucket by the same rule, so a
+task orders less than a ten-thousandth of a source. What remains is one cut per
 source, and rows are compared with it.
 
 Null source: a source of its own, last. Null quality, or one that is not above
@@ -133,7 +133,7 @@ def mix(
     rows = rows.withColumn("_h", F.xxhash64("_t"))
     u = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("_h"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = rows.withColumn("_key", -F.log(u) / F.col("_q")).drop("_t", "_q")
-    place = F.lit(1.0) - F.exp(-F.col("_key"))
+    place = F.col("_key") / (1 + F.col("_key"))
     fine = F.least(F.floor(place * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1))
     rows = stored(rows.withColumns({"_a": F.floor(fine / BUCKETS), "_b": F.pmod(fine, F.lit(BUCKETS))}), "mixing-sizes")
 
