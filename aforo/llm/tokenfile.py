@@ -23,7 +23,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,25 +47,32 @@ CACHE_PIECES = 600_000
 INDEX_SCHEMA = "file string, part long, chunk long, offset long, length long, docs long, ids long, before long"
 
 
+def run_of(small: np.ndarray, count: int) -> np.ndarray:
+    """Where ``count`` true values in a row begin."""
+    have = 1
+    while have < count:
+        more = min(have, count - have)
+        small = small[:-more] & small[more:]
+        have += more
+    return small
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, number of the first word of each block, and exceptions of unsigned 64-bit ids."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     selector = np.full(n, 13, np.int8)
-    large = (ids >> np.uint64(60)) != 0
-    room = BLOCK - np.arange(n) % BLOCK
-    room = np.minimum(room, n - np.arange(n))
+    large = ids >= np.uint64(1 << 60)
+    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
+    room = np.minimum(room, int(COUNTS[0])).astype(np.int8)
     for s in range(12, -1, -1):
-        count, before = int(COUNTS[s]), np.zeros(n + 1, np.int64)
+        count = int(COUNTS[s])
         if count > n:
             break
-        np.cumsum((ids >> np.uint64(BITS[s])) != 0, out=before[1:])
-        fits = np.zeros(n, bool)
-        fits[: n - count + 1] = before[count:] == before[: n - count + 1]
-        fits &= room >= count
+        fits = run_of(ids < np.uint64(1 << int(BITS[s])), count) & (room[: n - count + 1] >= count)
         if not fits.any() and count * 2 < BLOCK:
             break
-        selector[fits] = s
+        np.copyto(selector[: n - count + 1], np.int8(s), where=fits)
     selector[large] = ESCAPE
     step = np.append(COUNTS, [1, 1])[selector].tolist()
     starts, at = [], 0
@@ -138,6 +145,17 @@ PIECE = re.compile(
 )
 
 
+def cuts_plainly(part) -> bool:
+    """Whether a pre-tokenizer cuts as :data:`PIECE` does and adds nothing."""
+    return type(part).__name__ == "ByteLevel" and part.use_regex and not part.add_prefix_space
+
+
+def merges_plainly(model) -> bool:
+    """Whether a model merges the same way at each call, all letters alike."""
+    odd = ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")
+    return type(model).__name__ == "BPE" and not any(getattr(model, name) for name in odd)
+
+
 def byte_letters() -> dict[int, str]:
     """The letter of each byte in a byte-level vocabulary: printable ones their own, others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -145,35 +163,61 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Growing:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.empty(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            held = np.empty(max(end, 2 * len(self.held)), self.held.dtype)
+            held[: self.size] = self.held[: self.size]
+            self.held = held
+        self.held[self.size : end] = values
+        self.size = end
+
+
 class PieceEncoder:
     """A byte-level BPE that encodes each distinct piece of text once.
 
     Merges never cross the pieces that the tokenizer cuts a text into, so the
-    ids of a text are those of its pieces in order. Other tokenizers encode
-    every text whole.
+    ids of a text are those of its pieces in order. Other tokenizers, or a
+    byte-level one that is set to cut or merge otherwise, encode every text whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        t = self.tokenizer
-        self.pieces = t.normalizer is None and all(
-            type(part).__name__ == kind for part, kind in ((t.pre_tokenizer, "ByteLevel"), (t.model, "BPE"))
-        )
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.pieces = t.normalizer is None and cuts_plainly(t.pre_tokenizer) and merges_plainly(t.model)
         self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
         self.number: defaultdict = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.start, self.count, self.flat = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
 
     def direct(self, text: str) -> bool:
         return not self.pieces or UNSAFE.search(text) is not None or any(a in text for a in self.added)
 
+    def shown(self, piece: str) -> str:
+        """A piece in the letters of the vocabulary."""
+        if piece.isascii() and piece.isprintable():  # only the blank has another letter
+            return piece.replace(" ", self.letters[0x20])
+        return piece.encode().decode("latin-1").translate(self.letters)
+
+    def learn(self, pieces: list[str]) -> None:
+        merge = self.tokenizer.model.tokenize
+        got = [[t.id for t in merge(self.shown(p))] for p in pieces]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        self.start.extend(self.flat.size + np.cumsum(count) - count)
+        self.count.extend(count)
+        self.flat.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum())))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_PIECES:
             self.clear()
@@ -182,15 +226,11 @@ class PieceEncoder:
         counts = [len(p) for p in pieces]
         known = len(self.number)
         index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
-        if fresh := list(self.number)[known:]:
-            merge, letters = self.tokenizer.model.tokenize, self.letters
-            got = [[t.id for t in merge(p.encode().decode("latin-1").translate(letters))] for p in fresh]
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-        size = self.lengths[index]
-        start = (np.cumsum(self.lengths) - self.lengths)[index]
+        if fresh := list(islice(reversed(self.number), len(self.number) - known)):
+            self.learn(fresh[::-1])
+        size = self.count.held[index]
         end = np.cumsum(size)
-        out = self.flat[np.repeat(start - (end - size), size) + np.arange(size.sum())]
+        out = self.flat.held[np.repeat(self.start.held[index] - (end - size), size) + np.arange(size.sum())]
         cut = np.concatenate([[0], end])[np.cumsum([0, *counts])]
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else out[a:b]

@@ -193,6 +193,27 @@ def test_pieces_encode_as_whole_texts():
     assert [x.tolist() for x in coder.encode(texts)] == want
 
 
+@pytest.mark.parametrize("part,setting", [("pre_tokenizer", {"add_prefix_space": True}), ("pre_tokenizer", {"use_regex": False}), ("model", {"ignore_merges": True})])
+def test_other_settings_encode_whole_texts(tmp_path, part, setting):
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    spec[part].update(setting)
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec))
+    coder = tokenfile.PieceEncoder(str(path))
+    texts = ["plain words, and  more\n", "", "1234 don't"]
+    assert all(coder.direct(t) for t in texts)
+    assert [x.tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_stay_right_when_the_cache_is_cleared(monkeypatch):
+    coder = tokenfile.PieceEncoder(tokenizer_path())
+    monkeypatch.setattr(tokenfile, "CACHE_PIECES", 3)
+    texts = ["one two three four five", "two six", "one\tseven é"] * 3
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [coder.encode([t])[0].tolist() for t in texts] == want
+
+
 def test_token_files(spark, documents):
     got = tokenfile.token_ids(documents(ODD), tokenizer_path()).orderBy("start").collect()
     coder = tokenfile.PieceEncoder(tokenizer_path()).tokenizer
