@@ -378,7 +378,7 @@ def _unjoined(fp: np.ndarray, root: np.ndarray, own: np.ndarray, across: bool, n
 
 
 def unjoined_pairs(large: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
-    """Distinct pairs ``(a, b)`` that share a key of ``large``, look alike in 64 bits and have different roots.
+    """Distinct ``(a, b, low, high)``: pairs that share a key of ``large``, look alike in 64 bits and have the different roots ``low`` and ``high``.
 
     All of them, or of each key and two roots a ``nearest`` one. A key with
     more members than ``BLOCK`` is cut into blocks, and every two blocks meet.
@@ -390,7 +390,8 @@ def unjoined_pairs(large: DataFrame, labels: DataFrame, nearest: bool) -> DataFr
         def pairs(cell: np.ndarray) -> Iterator[pa.RecordBatch]:
             _, p, q, own, node, fp, root = cell
             for i, j in _unjoined(fp.view(np.uint64), root, own, p[0] != q[0], nearest):
-                yield _ordered(node[i], node[j])
+                a, b = _ordered(node[i], node[j]).columns
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(root[i]), pa.array(root[j])], ["a", "b", "low", "high"])
 
         rest = np.zeros((len(names), 0), np.int64)
         for batch in batches:
@@ -410,7 +411,7 @@ def unjoined_pairs(large: DataFrame, labels: DataFrame, nearest: bool) -> DataFr
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"p": F.least("own", "_other"), "q": F.greatest("own", "_other")})
     rows = rows.select("key", "p", "q", "own", "node", "fp", "root").repartition("key", "p", "q")
-    return rows.sortWithinPartitions("key", "p", "q", "root").mapInArrow(compare, "a long, b long").distinct()
+    return rows.sortWithinPartitions("key", "p", "q", "root").mapInArrow(compare, "a long, b long, low long, high long").distinct()
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -448,18 +449,19 @@ def copy_groups(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHI
     candidates, large = key_matches(shared_keys(nodes))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """``(a, b, apart)`` of the pairs that sizes and bits leave open."""
+        """The pairs that sizes and bits leave open, with ``apart``."""
         side = lambda end: nodes.select(F.col("node").alias(end), F.col("wide").alias(f"w{end}"), F.col("size").alias(f"n{end}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         both = both.filter(F.least("na", "nb") >= similar * F.greatest("na", "nb"))
         apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        return both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= NEAR_BITS)
+        return both.select(*pairs.columns, apart.alias("apart")).filter(F.col("apart") <= NEAR_BITS)
 
     def unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """``pairs`` of different roots, with these as ``ra`` and ``rb``."""
+        """``pairs`` of different roots, with these as ``low`` and ``high``."""
         root = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
         both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        return both.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).filter("ra <> rb")
+        both = both.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).filter("ra <> rb")
+        return both.select("a", "b", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "apart")
 
     first = stored(near(candidates), "copies-near")
     ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(large.select("node"))
@@ -471,15 +473,23 @@ def copy_groups(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHI
     stars = components(first.filter(F.col("apart") <= SURE_BITS)).filter("node <> root")
     stars = stored(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), "copies-stars")
     links = stored(similar_pairs(stars, sets, similar), "copies-links")
+    # both ends of a sure pair are linked to one text now, unless one of them is unlike it
+    unlike = stored(stars.join(links, ["a", "b"], "left_anti").select("b"), "copies-unlike")
+    sure = F.col("apart") <= SURE_BITS
+    doubted = [first.filter(sure).join(unlike.select(F.col("b").alias(end)), end, "left_semi").select(first.columns) for end in "ab"]
     labels = components(links)
+    # links only grow, so what is joined here stays out below
+    rest = stored(unjoined(first.filter(~sure).union(doubted[0]).union(doubted[1]), labels), "copies-rest")
     more = near(unjoined_pairs(large, labels, nearest=True))
-    open_ = unjoined(first.union(more), labels).join(stars, ["a", "b"], "left_anti").groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
-    tried = stored(open_.agg(F.min(F.struct("apart", "a", "b")).alias("_p")).select("_p.a", "_p.b"), "copies-tried")
+    nearest = rest.unionByName(more).join(stars, ["a", "b"], "left_anti").groupBy("low", "high").agg(F.min(F.struct("apart", "a", "b")).alias("_p"))
+    tried = stored(nearest.select("_p.a", "_p.b"), "copies-tried")
     links = stored(links.union(similar_pairs(tried, sets, similar)), "copies-links")
     labels = components(links)
-    more = near(unjoined_pairs(large, labels, nearest=False))
-    open_ = unjoined(first.union(more), labels).select("a", "b").distinct().join(tried.union(stars), ["a", "b"], "left_anti")
-    links = stored(links.union(similar_pairs(stored(open_, "copies-open"), sets, similar)), "copies-links")
+    done = stored(tried.union(stars), "copies-done")
+    untried = lambda pairs: pairs.join(done, ["a", "b"], "left_anti")
+    last = unjoined(untried(rest).select("a", "b", "apart"), labels).unionByName(near(untried(unjoined_pairs(large, labels, nearest=False))))
+    open_ = stored(last.select("a", "b").distinct(), "copies-open")
+    links = stored(links.union(similar_pairs(open_, sets, similar)), "copies-links")
 
     roots = components(links)
     classes = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
