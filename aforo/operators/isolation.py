@@ -26,6 +26,8 @@ SAMPLE_SIZE = 256
 SEED = 42
 CONTAMINATION = 0.01
 EULER = 0.5772156649015329
+#: A mean or deviation is exact to some units in the last place, so a value this near a threshold lies on it.
+ROUNDING = 1e-12
 
 NODE_SCHEMA = (
     "tree_id int, node_id int, feature int, threshold double, left int, right int, "
@@ -144,7 +146,11 @@ def isolation_forest_score(
     df: DataFrame, features: Sequence[str], nodes: DataFrame, n_trees: int = N_TREES,
     sample_size: int = SAMPLE_SIZE,
 ) -> DataFrame:
-    """Add ``score`` in (0, 1): 2 to the minus mean path over the expected path."""
+    """Add ``score`` in (0, 1): 2 to the minus mean path over the expected path.
+
+    A feature that equals a threshold but for rounding goes left, whatever the order
+    in which its records were added up.
+    """
     bound = n_trees * (2 * sample_size - 1)
     table = nodes.limit(bound + 1).toPandas()
     if len(table) > bound:
@@ -162,8 +168,9 @@ def isolation_forest_score(
     roots = table[table["depth"] == 0]["size"]
     expected = mean_path(float(roots.mean()))
     depth = int(table["depth"].max())
+    limits = table["threshold"] + ROUNDING * table["threshold"].abs()
     forest = (
-        grid(table["feature"], np.int32), grid(table["threshold"], float), grid(table["left"], np.int32),
+        grid(table["feature"], np.int32), grid(limits, float), grid(table["left"], np.int32),
         grid(table["right"], np.int32), grid(leaf_path, float),
     )
     shared = df.sparkSession.sparkContext.broadcast(forest)
