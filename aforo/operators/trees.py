@@ -14,7 +14,7 @@ from aforo import schema as S
 from aforo.functions.hashing import key_hash
 from aforo.functions.rows import drop_null_rows, present
 from aforo.operators.encode import feature_vector, train_test_split
-from aforo.session import checkpoint_dir, scratch_path
+from aforo.session import checkpoint_dir, scratch_path, stored_for_passes
 
 # The two published parameter sets.
 BOOSTED = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42, "maxBins": 256}
@@ -47,15 +47,16 @@ def _fit(df: DataFrame, table: str, keys: Sequence[str], as_categories: bool, pa
     rows = drop_null_rows(df.select(*keys, *[c for c in [S.TARGET, *categorical, *numerics] if c not in keys]),
                           [S.TARGET, *categorical, *numerics])
     # The frame is scanned once per boosting level; checkpoints cut the lineage
-    # that boosting would otherwise grow by one step per tree.
+    # that boosting would otherwise grow by one step per tree. Walking a tree of
+    # six levels is cheaper than a table of node ids for every level.
     checkpoint_dir(df.sparkSession)
-    rows = rows.persist()
+    rows = stored_for_passes(rows, "tree-rows", keys).persist()
     ready = feature_vector(rows, categorical, numerics, as_categories)
     train, test = train_test_split(ready.select(*keys, S.TARGET, "features"), keys)
     train = train.persist()
     n_train = train.count()
     gbt = GBTRegressor(
-        labelCol=S.TARGET, featuresCol="features", cacheNodeIds=True, checkpointInterval=10,
+        labelCol=S.TARGET, featuresCol="features", cacheNodeIds=False, checkpointInterval=10,
         maxMemoryInMB=512, **params,
     )
     model = gbt.fit(train)
@@ -93,10 +94,11 @@ def out_of_fold(
     wanted = [S.TARGET, *categorical, *numerics]
     rows = drop_null_rows(df.select(*keys, *[c for c in wanted if c not in keys]), wanted)
     checkpoint_dir(df.sparkSession)
+    rows = stored_for_passes(rows, "tree-rows", keys)
     ready = feature_vector(rows, categorical, numerics, False).withColumn("fold", (key_hash(keys, seed, rows) % folds).cast("int"))
     ready = ready.select(*keys, S.TARGET, "features", "fold").persist()
     gbt = GBTRegressor(
-        labelCol=S.TARGET, featuresCol="features", cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
+        labelCol=S.TARGET, featuresCol="features", cacheNodeIds=False, checkpointInterval=10, maxMemoryInMB=512,
         **{**BOOSTED, **overrides},
     )
     try:

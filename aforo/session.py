@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Rows of a narrow table that one task of a repeated pass takes.
+ROWS_PER_TASK = 50_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -49,6 +53,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_for_passes(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """A stored narrow table laid out for models that read it hundreds of times; persist the result.
+
+    A pass has one task for each ``ROWS_PER_TASK`` rows instead of one for each partition of
+    the wide rows that made them: a small table costs one task a pass, and what
+    tasks send to the driver grows with the rows only. ``keys`` are unique or nearly
+    so; rows lie in their order, so that seeded models agree on every run.
+    """
+    table = stored(df, name)
+    tasks = max(1, math.ceil(table.count() / ROWS_PER_TASK))
+    return table.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder of the shared file system; False if there was none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
