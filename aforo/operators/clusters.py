@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from aforo.functions.rows import drop_null_rows
 from aforo.operators.encode import apply_scaling, scaling
+from aforo.session import stored_for_passes
 from aforo.sources.billing import sample_rows
 
 SEED = 42
@@ -39,7 +40,7 @@ def scaled_vectors(df: DataFrame, features: Sequence[str], scales=None) -> DataF
 def kmeans(
     vectors: DataFrame, k: int, seed: int = SEED, n_init: int = N_INIT, max_iter: int = MAX_ITER, tol: float = TOLERANCE
 ) -> KMeansModel:
-    """The best of ``n_init`` restarts by training cost; persist the vectors first.
+    """The best of ``n_init`` restarts by training cost; lay the vectors out by ``stored_for_passes`` and persist them first.
 
     A fit ends when no centre moves by more than ``tol``.
     """
@@ -133,7 +134,7 @@ def best_k_search(
 
     The silhouette is the one in squared distance, whose cost is linear.
     """
-    rows = vectors.select(*keys, "zvec").persist()
+    rows = stored_for_passes(vectors.select(*keys, "zvec"), "vectors", keys).persist()
     try:
         n = rows.count()
         ks = [k for k in range(k_min, k_max + 1) if k < n]

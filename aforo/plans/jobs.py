@@ -11,7 +11,7 @@ from aforo.functions.rows import drop_null_rows, select_features
 from aforo.operators import clusters, impact, isolation, panel, regression, series, trees
 from aforo.operators.encode import apply_scaling
 from aforo.operators.features import features_connection, features_district_month, features_unit
-from aforo.session import configure, scratch_path
+from aforo.session import configure, scratch_path, stored_for_passes
 from aforo.sources import results
 from aforo.sources.billing import sample_rows
 from aforo.sources.sinks import csv_sink, parquet_sink, result_json_sink, sink_verify
@@ -56,7 +56,7 @@ def train_clusters(
     keys = S.FEATURE_TABLE_KEYS[table]
     wanted = S.CLUSTER_FEATURES[table]
     df = select_features(spark.read.parquet(features), table, "clustering", keys)
-    vectors = clusters.scaled_vectors(df, wanted).persist()
+    vectors = stored_for_passes(clusters.scaled_vectors(df, wanted), "vectors", keys).persist()
     scores = clusters.best_k_search(vectors, keys, n_init=n_init).persist()
     best = max(scores.collect(), key=lambda r: (r["silhouette"], -r["k"]))["k"]
     model = clusters.kmeans(vectors, best, n_init=n_init)

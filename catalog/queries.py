@@ -25,7 +25,7 @@ from aforo.operators import quantiles as Q
 from aforo.operators import regression as G
 from aforo.operators import series as T
 from aforo.operators import trees as B
-from aforo.session import scratch_path
+from aforo.session import scratch_path, stored_for_passes
 from aforo.sources import billing, results, sinks
 from aforo.streaming import incremental as INC
 from catalog.fixture import consumo, table
@@ -611,7 +611,8 @@ def label_encode(spark, sf):
 
 @register
 def categorical_features(spark, sf):
-    df = R.drop_null_rows(districts(spark, sf), S.REGRESSION_NUMERIC["C"])
+    wanted = [*S.REGRESSION_CATEGORICAL["C"], *S.REGRESSION_NUMERIC["C"]]
+    df = stored(spark, R.drop_null_rows(districts(spark, sf).select(*wanted), S.REGRESSION_NUMERIC["C"]), "districts")
     ready = E.feature_vector(df, S.REGRESSION_CATEGORICAL["C"], S.REGRESSION_NUMERIC["C"], True)
     attrs = ready.schema["features"].metadata["ml_attr"]["attrs"]["nominal"]
     counts = F.create_map(*[F.lit(x) for a in attrs for x in (a["name"], len(a["vals"]))])
@@ -652,11 +653,16 @@ def importance_rank(spark, sf):
     return rounded(B.importance_rank(B.feature_importance(fit, spark)))
 
 
+def complete_connections(spark, sf, wanted: Sequence[str]) -> DataFrame:
+    """Connections complete in the wanted columns, stored: the scaling reads them before the rows are scaled."""
+    rows = R.drop_null_rows(connections(spark, sf).select("codcon", *wanted), wanted)
+    return stored(spark, rows, "connections")
+
+
 @register
 def standardise(spark, sf):
     wanted = S.CLUSTER_FEATURES["B"]
-    rows = R.drop_null_rows(connections(spark, sf), wanted)
-    return rounded(E.standardise(rows.select("codcon", *wanted), wanted).drop(*wanted))
+    return rounded(E.standardise(complete_connections(spark, sf, wanted), wanted).drop(*wanted))
 
 
 def stored_features(spark, sf, rows_per_file: int) -> tuple[str, DataFrame]:
@@ -677,12 +683,12 @@ def standardise_incremental(spark, sf):
 
 def vectors_of(spark, sf) -> DataFrame:
     wanted = S.CLUSTER_FEATURES["B"]
-    return K.scaled_vectors(connections(spark, sf).select("codcon", *wanted), wanted)
+    return K.scaled_vectors(complete_connections(spark, sf, wanted), wanted)
 
 
 @register
 def kmeans(spark, sf):
-    vectors = vectors_of(spark, sf).persist()
+    vectors = stored_for_passes(vectors_of(spark, sf), "vectors", ["codcon"]).persist()
     model = K.kmeans(vectors, 3)
     return rounded(K.cluster_profiles(model.transform(vectors), S.CLUSTER_FEATURES["B"]), 4)
 
@@ -735,15 +741,13 @@ def minibatch_kmeans_two_batches(spark, sf):
 def silhouette_by_k(spark, sf):
     """Silhouettes of fixed centres, for three numbers of clusters."""
     wanted = S.CLUSTER_FEATURES["B"]
-    rows = R.drop_null_rows(connections(spark, sf).select("codcon", *wanted), wanted)
-    scaled = E.standardise(rows, wanted)
+    scaled = E.standardise(complete_connections(spark, sf, wanted), wanted)
     return rounded(K.silhouette_by_k(scaled, [f"z_{f}" for f in wanted], FIXED_CENTRES))
 
 
 def labelled_connections(spark, sf) -> DataFrame:
     wanted = S.CLUSTER_FEATURES["B"]
-    rows = R.drop_null_rows(connections(spark, sf).select("codcon", *wanted), wanted)
-    return K.assign_clusters(E.standardise(rows, wanted), [f"z_{f}" for f in wanted], CENTROIDS)
+    return K.assign_clusters(E.standardise(complete_connections(spark, sf, wanted), wanted), [f"z_{f}" for f in wanted], CENTROIDS)
 
 
 @register
@@ -805,12 +809,12 @@ def isolation_forest_shape(spark, sf):
 
 def one_dimension(spark, sf) -> DataFrame:
     """Connections by one scaled feature, where the best two clusters are a cut."""
-    return K.scaled_vectors(connections(spark, sf).select("codcon", "num_unidades_uso"), ["num_unidades_uso"])
+    return K.scaled_vectors(complete_connections(spark, sf, ["num_unidades_uso"]), ["num_unidades_uso"])
 
 
 @register
 def kmeans_1d(spark, sf):
-    vectors = stored(spark, one_dimension(spark, sf), "one-dimension").persist()
+    vectors = stored_for_passes(one_dimension(spark, sf), "one-dimension", ["codcon"]).persist()
     try:
         labelled = K.kmeans(vectors, 2, tol=0.0).transform(vectors)
         return rounded(spark.createDataFrame(
@@ -823,7 +827,7 @@ def kmeans_1d(spark, sf):
 
 @register
 def best_k_search_1d(spark, sf):
-    return rounded(K.best_k_search(stored(spark, one_dimension(spark, sf), "one-dimension"), ["codcon"], 2, 2, tol=0.0))
+    return rounded(K.best_k_search(one_dimension(spark, sf), ["codcon"], 2, 2, tol=0.0))
 
 
 def stump(spark, sf, sampled: bool) -> B.Boosted:
