@@ -603,7 +603,9 @@ def argmax_k(spark, sf):
 
 @register
 def label_encode(spark, sf):
-    coded = E.label_encode(connections(spark, sf), ["distrito", "tipo_predio"])
+    labels = ["distrito", "tipo_predio"]
+    rows = stored(spark, connections(spark, sf).select("codcon", *labels), "connections")
+    coded = E.label_encode(rows, labels)
     return coded.select(
         "codcon", F.col("distrito_idx").cast("long"), F.col("tipo_predio_idx").cast("long")
     )
