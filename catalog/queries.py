@@ -915,33 +915,38 @@ def product_matrix(spark, sf):
     return rounded(entries, 2)
 
 
+def narrow_consumo(spark, sf, *columns: str) -> DataFrame:
+    """Some columns of the billing records, stored: a regression scans its rows three times or more."""
+    return stored(spark, consumo(spark, sf).select(*G.CLUSTER, "volfac", *columns), "fact")
+
+
 def category_terms(fact: DataFrame) -> list[G.Term]:
     return [G.intercept(), *G.dummy_terms(["codcat"], G.design_statistics(fact, ["codcat"], []).levels)]
 
 
 @register
 def ols_normal_equations(spark, sf):
-    fact = consumo(spark, sf)
+    fact = narrow_consumo(spark, sf, "codcat")
     return rounded(G.ols(fact, "volfac", category_terms(fact), None).select("term", "coef", "n_obs", "rank"))
 
 
 @register
 def ols_fit_stats(spark, sf):
-    fact = consumo(spark, sf)
+    fact = narrow_consumo(spark, sf, "codcat")
     fit = G.cluster_robust(fact, G.ols_normal_equations(fact, "volfac", category_terms(fact)))
     return rounded(spark.createDataFrame([(fit.n, fit.sse, fit.sst, fit.r2)], "n long, sse double, sst double, r2 double"), 4)
 
 
 @register
 def cluster_scores(spark, sf):
-    fact = consumo(spark, sf)
+    fact = narrow_consumo(spark, sf, "codcat")
     fit = G.ols_normal_equations(fact, "volfac", category_terms(fact))
     return rounded(G.cluster_scores(fact, fit), 4)
 
 
 @register
 def cluster_robust_se(spark, sf):
-    fact = consumo(spark, sf)
+    fact = narrow_consumo(spark, sf, "codcat")
     return rounded(G.ols(fact, "volfac", category_terms(fact)).select("term", "coef", "std_error", "t_stat", "n_clusters"))
 
 
@@ -959,7 +964,7 @@ def event_study_covariates(spark, sf):
 
 @register
 def coef_interval(spark, sf):
-    fact = consumo(spark, sf)
+    fact = narrow_consumo(spark, sf, "codcat")
     return rounded(G.coef_interval(G.ols(fact, "volfac", category_terms(fact))).select("term", "ci_low", "ci_high"))
 
 
@@ -1052,7 +1057,7 @@ def did_basic_t(spark, sf):
 @register
 def ols_covariate_fwl(spark, sf):
     """One number and one category, clustered by unit: the number's coefficient."""
-    rows = consumo(spark, sf)
+    rows = narrow_consumo(spark, sf, "codcat", "imagua")
     terms, _, cells = G.covariate_terms(rows, ["codcat"], ["imagua"], False)
     found = G.ols(rows, "volfac", [G.intercept(), *terms], G.CLUSTER, cells)
     return rounded(found.filter("term = 'imagua'").select("term", "coef", "std_error", "n_obs", "n_clusters"))
