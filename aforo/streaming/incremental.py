@@ -12,8 +12,10 @@ scales the rows of the k-means pass (``scales_of``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,12 +27,19 @@ from aforo.session import remove_folder
 
 SCALER_SCHEMA = "feature string, n long, mean double, m2 double"
 CENTROID_SCHEMA = "cluster int, weight double, centre array<double>"
+#: The file of a row, in the order in which files are read.
+STEP = "_step"
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+def stream_table(
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1, steps: bool = False
+) -> DataFrame:
+    """Files as batches; with ``steps`` rows keep their file, so that it stays a batch of its own for k-means."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    if steps:
+        file = F.struct("_metadata.file_modification_time", "_metadata.file_path")
+        stream = stream.select("*", file.alias(STEP))
+    return stream
 
 
 def _state(spark: SparkSession, state_path: str, batch_id: int, schema: str) -> DataFrame:
@@ -125,9 +134,17 @@ def minibatch_kmeans(
     state_path: str,
     checkpoint: str,
 ) -> DataFrame:
-    """One pass of centroid updates: each batch pulls a centre by its share of all rows so far."""
+    """One pass of centroid updates: each batch pulls a centre by its share of all rows so far.
+
+    A stream with ``steps`` may bring many small files at once. Each is still one step,
+    from the centres that the file before left. Steps cannot run side by
+    side, so the rows of such a batch pass one task in order, which holds the centres
+    and one step's sums; files of many rows are better read one a batch, without ``steps``.
+    """
     spark = stream.sparkSession
     columns = [f"z_{f}" for f in features]
+    if STEP in stream.columns:
+        return _small_steps(stream, features, scales, centroids, state_path, checkpoint)
 
     def start(session: SparkSession) -> DataFrame:
         rows = [(i, 0.0, [float(v) for v in c]) for i, c in enumerate(centroids)]
@@ -156,3 +173,50 @@ def minibatch_kmeans(
 
     run_available(stream, update, checkpoint)
     return latest_state(spark, state_path, CENTROID_SCHEMA)
+
+
+def _small_steps(stream, features, scales, centroids, state_path: str, checkpoint: str) -> DataFrame:
+    columns = [f"z_{f}" for f in features]
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        old = [(i, 0.0, [float(v) for v in c]) for i, c in enumerate(centroids)]
+        if batch_id > 0:
+            before = _state(session, state_path, batch_id - 1, CENTROID_SCHEMA).orderBy("cluster")
+            old = [tuple(r) for r in before.collect()]  # k x d numbers
+        rows = apply_scaling(drop_null_rows(batch, features), scales)
+        rows = rows.select(F.to_json(STEP).alias("_file"), STEP, *columns).repartition(1).sortWithinPartitions(STEP)
+        found = rows.drop(STEP).mapInPandas(_fold(old, columns), CENTROID_SCHEMA).collect()
+        # without rows there may be no task, then the centres stay
+        _store(session.createDataFrame(found or old, CENTROID_SCHEMA), state_path, batch_id)
+
+    run_available(stream, update, checkpoint)
+    return latest_state(stream.sparkSession, state_path, CENTROID_SCHEMA)
+
+
+def _fold(old: Sequence[tuple], columns: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Moves the centres file by file; a file's rows are all assigned to the centres before it."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, centre = np.array([r[1] for r in old]), np.array([r[2] for r in old])
+        count, total, now = np.zeros(len(old)), np.zeros_like(centre), None
+
+        def step() -> None:
+            hit = count > 0
+            centre[hit] = (centre[hit] * weight[hit, None] + total[hit]) / (weight + count)[hit, None]
+            weight[:] += count
+            count[:], total[:] = 0.0, 0.0
+
+        for batch in batches:
+            for file, part in batch.groupby("_file", sort=False):
+                if now is not None and file != now:
+                    step()
+                now = file
+                x = part[list(columns)].to_numpy(dtype=float)
+                label = ((x[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+                np.add.at(count, label, 1.0)
+                np.add.at(total, label, x)
+        step()
+        yield pd.DataFrame({"cluster": [r[0] for r in old], "weight": weight, "centre": centre.tolist()})
+
+    return fold

@@ -40,6 +40,8 @@ EVENT_YEAR = 1998
 TARIFF = 5.0
 SAMPLE = 1_000
 SHIFT = 0.0173
+#: Files of 500 rows that one streaming batch takes.
+SMALL_FILES = 256
 
 
 def register(fn: Query) -> Query:
@@ -702,10 +704,11 @@ def best_k_search(spark, sf):
 
 @register
 def minibatch_kmeans(spark, sf):
+    """Every file of 500 rows is one step; the stream reads many of them at once."""
     wanted = S.CLUSTER_FEATURES["B"]
     path, stored = stored_features(spark, sf, 500)
     scales = E.scaling(R.drop_null_rows(stored, wanted), wanted)
-    stream = INC.stream_table(spark, path, stored.schema)
+    stream = INC.stream_table(spark, path, stored.schema, files_per_batch=SMALL_FILES, steps=True)
     state, check = scratch_path(spark, "kmeans-state"), scratch_path(spark, "kmeans-stream")
     centres = INC.minibatch_kmeans(stream, wanted, scales, CENTROIDS, state, check)
     return rounded(centres.select("cluster", "weight", F.posexplode("centre").alias("dim", "centre")), 4)
