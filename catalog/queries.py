@@ -129,7 +129,7 @@ def limit_rows(spark, sf):
 
 @register
 def sample_rows(spark, sf):
-    keys = consumo(spark, sf).select(*S.UNIT_KEYS).distinct()
+    keys = stored(spark, consumo(spark, sf).select(*S.UNIT_KEYS).distinct(), "unit-keys")
     return billing.sample_rows(keys, SAMPLE, S.UNIT_KEYS)
 
 
