@@ -10,6 +10,7 @@ from aforo import schema as S
 from aforo.functions import measures as M
 from aforo.operators import aggregates as A
 from aforo.operators.quantiles import HOT_ROWS, group_quantiles
+from aforo.session import stored
 
 TIME_ORDER = ["nuanio", "nummes"]
 
@@ -30,11 +31,17 @@ def _seasonal() -> list[Column]:
     ]
 
 
+def _read_twice(rows: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Rows for ``group_quantiles``: stored where it looks for hot groups first."""
+    return rows if hot_rows is None else stored(rows, "records")
+
+
 def features_unit(df: DataFrame, guard: str = "positive", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row per (unit, connection): consumption profile, billing, service, season.
 
     One exchange on the key. The median is exact; see ``quantiles`` for units
-    that hold very many records.
+    that hold very many records. The search for those reads the records
+    too, so what makes them runs once and their columns are stored.
     """
     attributes = ["nomdis", "coddis", "nomcat", "codcat", "situdu", "coorpx", "coorpy"]
     aggs = [
@@ -45,17 +52,18 @@ def features_unit(df: DataFrame, guard: str = "positive", hot_rows: int | None =
         F.avg("dias_semana").alias("dias_semana_prom"),
         F.avg(M.service_quality()).alias("score_calidad"),
         A.record_count(),
-        A.small_distinct("nuanio").alias("anios_activos"),
         *_seasonal(),
     ]
+    columns = [*S.UNIT_KEYS, *TIME_ORDER, *attributes, *M.MEASURES.values()]
     grouped = group_quantiles(
-        M.cast_measures(df),
+        _read_twice(M.cast_measures(df).select(*dict.fromkeys(columns)), hot_rows),
         S.UNIT_KEYS,
         "consumo",
         {"consumo_mediana": 0.5},
         aggs,
         hot_rows=hot_rows,
         small_groups=True,
+        distinct={"anios_activos": "nuanio"},
     )
     return grouped.select(
         *S.UNIT_KEYS,

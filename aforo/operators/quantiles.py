@@ -7,6 +7,10 @@ counted, and the few distinct values inside are ranked, by ranges where they are
 many. No step moves a whole group to one task, and the answer is exact because
 the counts are.
 
+Where a map task rarely sees two rows of a group, rows are shuffled once, sorted and
+ranked in place, and no group has a buffer of its own. Where too many groups are hot
+to name them, the distinct values of all groups are ranked by ranges, without sketches.
+
 The source is read once without hot groups apart from the sketch that looks for
 them, else three times: that sketch, one aggregation of everything, and one pass
 that writes the hot groups' values as a narrow table for the brackets.
@@ -19,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aforo.operators.aggregates import small_distinct
 from aforo.session import stored
 
 HOT_ROWS = 1_000_000
@@ -88,25 +93,44 @@ def group_quantiles(
     method: str = "linear",
     hot_rows: int | None = HOT_ROWS,
     small_groups: bool = False,
+    distinct: dict[str, str] | None = None,
 ) -> DataFrame:
     """Aggregates and exact quantiles per group, named by ``probs``.
 
+    ``distinct`` names distinct counts of columns with few values.
+
     One aggregation when no group is hot. ``small_groups`` says that a map task
     rarely sees two rows of a group: then raw rows are shuffled, which are
     narrower than partial buffers, provided no group was found hot. Otherwise the
     aggregation keeps exact buffers for cold groups and sketches for hot ones,
-    whose quantiles come from ``select_quantiles``.
+    whose quantiles come from brackets. More than ``MAX_BROADCAST_GROUPS`` hot
+    groups: all quantiles come from ranges of values.
     """
     keys = list(keys)
     if aggregates and not keys:
         raise ValueError("aggregates next to quantiles need a group key")
+    sets = [small_distinct(column).alias(name) for name, column in (distinct or {}).items()]
     if hot_rows is None:
-        return _plain(df, keys, value, probs, aggregates, method, False)
+        return _plain(df, keys, value, probs, [*aggregates, *sets], method)
     hot = hot_groups(df, keys, hot_rows)
+    if not hot and small_groups and keys:
+        return _sorted(df, keys, value, probs, aggregates, method, distinct or {})
+    if keys and len(hot) > MAX_BROADCAST_GROUPS:
+        counts = [F.count_distinct(column).alias(name) for name, column in (distinct or {}).items()]
+        return _by_ranges(df, keys, value, probs, [*aggregates, *counts], method)
+    if hot and small_groups and keys:
+        is_hot = F.xxhash64(*keys).isin(hot)
+        cold = _sorted(df.filter(~is_hot), keys, value, probs, aggregates, method, distinct or {})
+        return cold.unionByName(_bracketed(df.filter(is_hot), keys, value, probs, [*aggregates, *sets], method, hot, hot_rows))
+    aggregates = [*aggregates, *sets]
     if not hot:
-        return _plain(df, keys, value, probs, aggregates, method, small_groups)
+        return _plain(df, keys, value, probs, aggregates, method)
+    return _bracketed(df, keys, value, probs, aggregates, method, hot, hot_rows)
+
 
-    every = not keys or len(hot) > MAX_BROADCAST_GROUPS
+def _bracketed(df, keys, value, probs, aggregates, method, hot, hot_rows) -> DataFrame:
+    """Exact buffers for cold groups, sketches and brackets for the ``hot`` ones."""
+    every = not keys
     is_hot = F.lit(True) if every else F.xxhash64(*keys).isin(hot)
     marked = df.withColumn("_cold", F.when(~is_hot, F.col(value))).withColumn("_v", F.when(is_hot, _element(df, value, method)))
     exact = [] if every else [percentile_column("_cold", list(probs.values()), method).alias("_q")]
@@ -119,7 +143,7 @@ def group_quantiles(
     renamed = found.withColumnsRenamed({name: f"_h{i}" for i, name in enumerate(probs)})
     out = join_on_keys(whole, renamed, keys, "left")
     # a group without any value has no quantile but is a group
-    picked = {n: F.col(f"_h{i}") if every else F.coalesce(f"_h{i}", F.col("_q")[i]) for i, n in enumerate(probs)}
+    picked = {n: F.coalesce(f"_h{i}", F.col("_q")[i]) for i, n in enumerate(probs)}
     drop = ["_q", "_n", "_min", "_max", "_cuts", *[f"_h{i}" for i in range(len(probs))]]
     return out.withColumns(picked).drop(*drop)
 
@@ -134,12 +158,62 @@ def _sketch() -> list[Column]:
     return [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), cuts.alias("_cuts")]
 
 
-def _plain(df, keys, value, probs, aggregates, method, shuffle_rows) -> DataFrame:
-    rows = df.repartition(*keys) if shuffle_rows and keys else df
+def _plain(df, keys, value, probs, aggregates, method) -> DataFrame:
+    out = df.groupBy(*keys).agg(*aggregates, percentile_column(value, list(probs.values()), method).alias("_q"))
+    return out.withColumns({name: F.col("_q")[i] for i, name in enumerate(probs)}).drop("_q")
+
+
+def _ranks(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
+    """Lower and upper rank (from 0) of a quantile of ``n`` values and the share of the way between them."""
+    at = F.lit(p) * (n - 1)
+    if method == "nearest":
+        low = F.round(at).cast("long")
+        return low, low, F.lit(0.0)
+    return F.floor(at).cast("long"), F.ceil(at).cast("long"), at - F.floor(at)
+
+
+def _between(low: Column, high: Column, share: Column, method: str) -> Column:
+    if method == "nearest":
+        return low
+    return F.when((share == 0) | (low == high), low).otherwise((1 - share) * low + share * high)
+
+
+def _sorted(df, keys, value, probs, aggregates, method, distinct) -> DataFrame:
+    """One exchange of the rows, whose order gives ranks; the window may spill, unlike a buffer."""
+    if method not in ("linear", "nearest"):
+        raise ValueError(f"unknown method {method!r}")
+    rows = df.repartition(*keys).withColumn("_v", _element(df, value, method))
+    for i, column in enumerate(distinct.values()):
+        place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col(column).asc_nulls_last()))
+        rows = rows.withColumn(f"_d{i}", F.when(F.col(column).isNotNull(), place).otherwise(0))
+    inner = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+    whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_r": F.row_number().over(inner) - 1, "_n": F.count("_v").over(whole)})
+    ranks = {name: _ranks(F.col("_n"), float(p), method) for name, p in probs.items()}
     out = rows.groupBy(*keys).agg(
-        *aggregates, percentile_column(value, list(probs.values()), method).alias("_q")
+        *aggregates,
+        *[F.max(f"_d{i}").cast("long").alias(name) for i, name in enumerate(distinct)],
+        *[F.max(F.when(F.col("_r") == rank[end], F.col("_v"))).alias(f"_q{i}{end}") for i, rank in enumerate(ranks.values()) for end in (0, 1)],
+        F.first("_n").alias("_n"),
     )
-    return out.withColumns({name: F.col("_q")[i] for i, name in enumerate(probs)}).drop("_q")
+    picked = {name: _between(F.col(f"_q{i}0"), F.col(f"_q{i}1"), rank[2], method) for i, (name, rank) in enumerate(ranks.items())}
+    return out.withColumns(picked).drop("_n", *[f"_q{i}{end}" for i in range(len(probs)) for end in (0, 1)])
+
+
+def _by_ranges(df, keys, value, probs, aggregates, method) -> DataFrame:
+    """Quantiles of all groups from ranges of their distinct values; work and shuffles grow with the rows."""
+    whole = stored(df.groupBy(*keys).agg(*aggregates, F.count(value).alias("_n")), "group-aggregates")
+    values = df.select(*keys, _element(df, value, method).alias("_v")).filter(F.col("_v").isNotNull())
+    counts = stored(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "group-values")
+    ranked = join_on_keys(_ranked(counts, keys, True), whole.select(*keys, "_n"), keys)
+    ranks = {name: _ranks(F.col("_n"), float(p), method) for name, p in probs.items()}
+    holds = lambda rank: (F.col("_start") <= rank) & (F.col("_end") > rank)
+    found = ranked.groupBy(*keys).agg(
+        *[F.max(F.when(holds(rank[end]), F.col("_v"))).alias(f"_h{i}{end}") for i, rank in enumerate(ranks.values()) for end in (0, 1)]
+    )
+    out = join_on_keys(whole, found, keys, "left")
+    picked = {name: _between(F.col(f"_h{i}0"), F.col(f"_h{i}1"), rank[2], method) for i, (name, rank) in enumerate(ranks.items())}
+    return out.withColumns(picked).drop("_n", *[f"_h{i}{end}" for i in range(len(probs)) for end in (0, 1)])
 
 
 def select_quantiles(
