@@ -40,7 +40,7 @@ EVENT_YEAR = 1998
 TARIFF = 5.0
 SAMPLE = 1_000
 SHIFT = 0.0173
-#: Files of 500 rows that one streaming batch takes.
+#: Files that one streaming batch takes where they are small.
 SMALL_FILES = 256
 
 
@@ -679,8 +679,9 @@ def stored_features(spark, sf, rows_per_file: int) -> tuple[str, DataFrame]:
 
 @register
 def standardise_incremental(spark, sf):
+    """Files of 10,000 rows; moments pool exactly, so the stream reads many files at once."""
     path, stored = stored_features(spark, sf, 10_000)
-    stream = INC.stream_table(spark, path, stored.schema)
+    stream = INC.stream_table(spark, path, stored.schema, files_per_batch=SMALL_FILES)
     state, check = scratch_path(spark, "scaler-state"), scratch_path(spark, "scaler-stream")
     return rounded(INC.standardise_incremental(stream, S.CLUSTER_FEATURES["B"], state, check))
 

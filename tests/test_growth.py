@@ -1,4 +1,4 @@
-"""What larger tables must not multiply: scans and buffers of each group."""
+"""What larger tables must not multiply: scans, buffers of each group, streaming batches."""
 
 import numpy as np
 import pytest
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from aforo.operators import quantiles as Q
 from aforo.operators.features import features_unit
+from aforo.streaming import incremental as INC
+from catalog import queries as C
 
 PROBS = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}
 
@@ -54,3 +56,10 @@ def test_units_keep_no_buffer_for_each_group_and_read_records_once(spark, bills)
     plan = units._jdf.queryExecution().toString()
     assert "percentile" not in plan and "collect_set" not in plan
     assert units.count() == 5 and seen.value == 20
+
+
+def test_scaler_takes_many_files_a_batch(spark, monkeypatch):
+    seen, real = [], INC.stream_table
+    monkeypatch.setattr(INC, "stream_table", lambda *a, **k: seen.append(k.get("files_per_batch", 1)) or real(*a, **k))
+    C.QUERIES["standardise_incremental"](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [C.SMALL_FILES]
