@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -12,6 +14,8 @@ from aforo.operators import aggregates as A
 from aforo.operators.quantiles import HOT_ROWS, group_quantiles
 from aforo.session import stored
 
+#: Rows of which one task collects distinct ids.
+ROWS_PER_DISTINCT = 500_000
 TIME_ORDER = ["nuanio", "nummes"]
 
 
@@ -36,6 +40,18 @@ def _read_twice(rows: DataFrame, hot_rows: int | None) -> DataFrame:
     return rows if hot_rows is None else stored(rows, "records")
 
 
+def _dealt(rows: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame:
+    """Stored rows, some ``ROWS_PER_DISTINCT`` a task, so that what a task's distinct holds does not grow.
+
+    They are dealt by all their columns: rows of one id differ in others, so a hot id goes to many tasks.
+    """
+    if hot_rows is None:
+        return rows
+    tasks = max(1, math.ceil(rows.count() / ROWS_PER_DISTINCT))
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(16 * tasks)).cast("int")
+    return rows.withColumn("_share", share).select(*keys, "_share").repartition(tasks, "_share")
+
+
 def features_unit(df: DataFrame, guard: str = "positive", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row per (unit, connection): consumption profile, billing, service, season.
 
@@ -140,9 +156,14 @@ def features_district_month(
     quantile_method: str = "linear",
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """One row per district and month, in order: demand, billing, quantiles, mix."""
+    """One row per district and month, in order: demand, billing, quantiles, mix.
+
+    The records are read three times or more, so their columns are stored.
+    """
     keys = S.DISTRICT_MONTH_KEYS
-    base = M.cast_measures(df)
+    numbers = all(isinstance(df.schema[c].dataType, IntegralType) for c in S.UNIT_KEYS)
+    columns = [*keys, *TIME_ORDER, *S.UNIT_KEYS, "codcat", "situdu", *M.MEASURES.values()]
+    df = base = _read_twice(M.cast_measures(df).select(*dict.fromkeys(columns)), hot_rows)
     aggs = [
         A.record_count("num_registros"),
         F.sum("consumo").alias("demanda_total_m3"),
@@ -159,14 +180,14 @@ def features_district_month(
     main = group_quantiles(base, keys, "consumo", probs, aggs, method=quantile_method, hot_rows=hot_rows)
     # Two distinct counts would send every wide row through the shuffle three
     # times; here only (group, kind, id) is shuffled, and the join is on groups.
-    numbers = all(isinstance(df.schema[c].dataType, IntegralType) for c in S.UNIT_KEYS)
     id_type = "long" if numbers else "string"
     ids = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("codudu").cast(id_type).alias("id")),
         F.struct(F.lit(1).alias("kind"), F.col("codcon").cast(id_type).alias("id")),
     )
     right = (
-        df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(ids).alias("e"))
+        _dealt(df, [*keys, *S.UNIT_KEYS], hot_rows)
+        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(ids).alias("e"))
         .select(*[f"_{k}" for k in keys], "e.kind", "e.id")
         .filter(F.col("id").isNotNull())
         .distinct()

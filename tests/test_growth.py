@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aforo.operators import quantiles as Q
+from aforo.operators import features as FT
 from aforo.operators.features import features_unit
 from aforo.streaming import incremental as INC
 from catalog import queries as C
@@ -63,3 +64,16 @@ def test_scaler_takes_many_files_a_batch(spark, monkeypatch):
     monkeypatch.setattr(INC, "stream_table", lambda *a, **k: seen.append(k.get("files_per_batch", 1)) or real(*a, **k))
     C.QUERIES["standardise_incremental"](spark, "/root/testdata/sf0.001").collect()
     assert seen == [C.SMALL_FILES]
+
+
+def test_distinct_ids_are_dealt_by_rows(bills, monkeypatch):
+    """Districts read records once; no task collects ids of much more than its share, one id or not."""
+    monkeypatch.setattr(FT, "ROWS_PER_DISTINCT", 50)
+    seen, real = [], FT._dealt
+    monkeypatch.setattr(FT, "_dealt", lambda *a: seen.append(real(*a)) or seen[0])
+    df = bills(*[dict(codudu=i % 3, codcon=1, volfac=float(i)) for i in range(400)])
+    row = FT.features_district_month(df).first()
+    assert (row.num_registros, row.num_unidades, row.num_conexiones) == (400, 3, 1)
+    assert all("/aforo/" in f for f in seen[0].inputFiles())
+    sizes = seen[0].groupBy(F.spark_partition_id()).count().collect()
+    assert seen[0].rdd.getNumPartitions() == 8 and max(r["count"] for r in sizes) < 200
