@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from aforo.llm.common import stored
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node and its neighbours, then
     follows that label one step, so paths shrink fast. A round's labels are
-    stored, which cuts lineage; the driver sees only the number of changes. A
+    stored, which cuts lineage; the number of changes is observed on the way, so that
+    no job of its own counts them, and is all that the driver sees. A
     label may be shared by a third of all nodes: that join has two stored sides
     and can be split. No edges: no rows.
     """
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         own = labels.withColumnRenamed("root", "_old").join(near, "node").withColumn("_at", F.least("_old", "_near"))
         further = labels.select(F.col("node").alias("_at"), F.col("root").alias("_next"))
         moved = own.join(further, "_at", "left").select("node", F.least("_at", "_next").alias("root"), "_old")
-        after = stored(moved, "graph-labels")
-        labels = after.select("node", "root")
-        if after.filter("root <> _old").isEmpty():
+        changes = Observation()
+        labels = stored(moved.observe(changes, F.count_if(F.col("root") != F.col("_old")).alias("n")).select("node", "root"), "graph-labels")
+        if not changes.get.get("n"):
             return labels

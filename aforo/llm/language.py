@@ -68,9 +68,8 @@ def byte_counts(text: str) -> np.ndarray:
     return out / norm if norm else out
 
 
-def fit_machine(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Weights and bias of a linear machine: squared hinge loss, accelerated descent, classes balanced."""
-    rows = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def fit_machine(rows: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Weights and bias (the last, of a column of ones) of a linear machine: squared hinge loss, accelerated descent, classes balanced."""
     share = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)).astype(np.float32)
     weights = np.zeros(rows.shape[1], np.float32)
     ahead, t = weights, 1.0
@@ -85,7 +84,10 @@ def fit_machine(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Families, their machines, and a machine for every pair of languages in a family."""
+    """Families, their machines, and a machine for every pair of languages in a family.
+
+    A row of ``x`` is a text's features and a one for the bias.
+    """
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         lang = np.array(langs)
@@ -158,10 +160,15 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["_h"], pa.array(x, pa.binary())], ["lang", "h", "x"])
 
     rows = pick(docs.filter(learn), id=doc_id, text=text, lang=lang).filter("lang IS NOT NULL AND text IS NOT NULL")
-    got = sample_labelled(rows, most).mapInArrow(features, "lang string, h long, x binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["h"]))
-    x = [np.frombuffer(r["x"], np.float16).astype(np.float32) for r in got]
-    return Model(np.array(x, np.float32).reshape(-1, BINS), [r["lang"] for r in got])
+    # the driver holds the sample as it came and one matrix of it, no rows as objects
+    got = sample_labelled(rows, most).mapInArrow(features, "lang string, h long, x binary").toArrow()
+    langs, hashes = got["lang"].to_pylist(), got["h"].to_pylist()
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], hashes[i]))
+    place = np.argsort(np.array(order, np.int64))
+    x = np.ones((len(langs), BINS + 1), np.float32)
+    for to, value in zip(place, (v for chunk in got["x"].chunks for v in chunk), strict=True):
+        x[to, :BINS] = np.frombuffer(value.as_buffer(), np.float16)
+    return Model(x, [langs[i] for i in order])
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,9 +27,9 @@ numbers of two segments: two texts of similarity 0.8 share one with probability
 of its neighbours first, which joins most of what belongs together. Then all
 members of such a key that no links join yet are compared, a key of more than
 ``BLOCK`` in blocks. A pair that differs in at most ``NEAR_BITS`` of the 512 bits
-is a link if its shingles say so, never by its bits alone. Groups of copies spare
-most of that work: what pairs of at most ``SURE_BITS`` connect is verified against
-one text of it first, and pairs that verified links join already are left out.
+is a link if its shingles say so, never by its bits alone. Pairs are checked in
+cells, where the texts of many pairs meet once; groups of copies spare most of that
+work, as pairs that verified links join already are left out.
 Which texts share a key is left to chance, not exact; what
 shares one is compared. ``tests/llm`` hold the recall against brute force.
 
@@ -40,7 +40,8 @@ repeat share fingerprint and component. Empty table: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,9 @@ FIRST_BITS = 20
 WINDOW = 16
 #: Members of a large key that are compared in one task with as many others.
 BLOCK = 8192
+#: Least number of parts that nodes of pairs are dealt to, and pairs of two parts that are checked in one task.
+PARTS = 9
+CELL = 20_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -415,22 +419,98 @@ def unjoined_pairs(large: DataFrame, labels: DataFrame, nearest: bool) -> DataFr
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``(node, s)``, the hashes of the shingles of ``texts(node, t)``."""
+    """``(node, wide, s)`` with ``s``, the sorted hashes of the shingles of ``texts(node, wide, t)``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t, shingle).view(np.int64) for t in text_values(batch["t"])]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+            sets = [np.sort(shingle_hashes(t, shingle).view(np.int64)) for t in text_values(batch["t"])]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["wide"], pa.array(sets, pa.list_(pa.int64()))], ["node", "wide", "s"])
 
-    return texts.mapInArrow(read, "node long, s array<long>")
+    return texts.mapInArrow(read, "node long, wide array<long>, s array<long>")
+
+
+def in_cells(pairs: DataFrame, ends: DataFrame, check: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Those of the stored ``pairs(a, b)`` that ``check`` keeps, given rows of ``ends(node, ...)`` and where in them the ends are.
+
+    Nodes are dealt to parts and pairs to cells, one for each two parts. A node is sent
+    once to each cell that has pairs of it: never oftener than a join would repeat it, and in a
+    dense family far less. Parts grow with the pairs, so that cells do not.
+    """
+    parts = max(PARTS, math.ceil(math.sqrt(2 * pairs.count() / CELL)))
+    i, j = (F.pmod(F.xxhash64(end), F.lit(parts)) for end in "ab")
+    dealt = pairs.select("a", "b", (F.least(i, j) * parts + F.greatest(i, j)).alias("cell"))
+    asked = dealt.select(F.col("a").alias("node"), "cell").union(dealt.select(F.col("b").alias("node"), "cell"))
+    asked = asked.groupBy("node").agg(F.collect_set("cell").alias("_cells"))
+    sent = ends.join(asked, "node").withColumn("cell", F.explode("_cells")).drop("_cells")
+
+    def read(own: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        node, a, b = rows["node"].to_numpy(), own["a"].to_numpy(), own["b"].to_numpy()
+        order = np.argsort(node)
+        left, right = (order[np.searchsorted(node, end, sorter=order)] for end in (a, b))
+        kept = check(rows, left, right)
+        return pa.table({"a": a[kept], "b": b[kept]})
+
+    return dealt.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(read, "a long, b long")
+
+
+def _bits_apart(wide: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    apart = np.zeros(len(left), np.int64)
+    for at in range(0, len(left), 16_384):
+        some = slice(at, at + 16_384)
+        apart[some] = np.bitwise_count(wide[left[some]] ^ wide[right[some]]).sum(axis=1)
+    return apart
+
+
+def _wide_rows(rows: pa.Table) -> np.ndarray:
+    return rows["wide"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that sizes and bits of ``nodes(node, size, wide)`` leave open."""
+
+    def check(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        size = rows["size"].to_numpy()
+        fits = np.minimum(size[left], size[right]) >= similar * np.maximum(size[left], size[right])
+        return fits & (_bits_apart(_wide_rows(rows), left, right) <= NEAR_BITS)
+
+    return in_cells(pairs, nodes.select("node", "size", "wide"), check)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar; ``sets(node, s)`` has a row for each end."""
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    """Links that join all of ``pairs(a, b)`` near in bits whose shingle sets are similar; ``sets(node, wide, s)`` has a row for each end.
+
+    A cell takes its nearest pairs first. Each link is verified, and a pair that verified
+    links of its cell join already is left out.
+    """
+
+    def check(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        lists = rows["s"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        size, root = np.diff(ends), list(range(len(lists)))
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        apart = _bits_apart(_wide_rows(rows), left, right)
+        fits = np.minimum(size[left], size[right]) >= similar * np.maximum(size[left], size[right])
+        at = np.flatnonzero(fits & (apart <= NEAR_BITS))
+        kept = []
+        for k in at[np.argsort(apart[at], kind="stable")].tolist():
+            i, j = int(left[k]), int(right[k])
+            if find(i) == find(j):
+                continue
+            both = np.concatenate([flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]])
+            both.sort(kind="stable")  # two sorted runs are merged
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if common >= similar * (len(both) - common):
+                root[find(j)] = find(i)
+                kept.append(k)
+        return np.array(kept, np.int64)
+
+    return in_cells(pairs, sets, check)
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -447,49 +527,17 @@ def copy_groups(docs: DataFrame, doc_id: str, text: str, shingle: int = COPY_SHI
     node = marked.groupBy("node").agg(F.min("doc_id").alias("_least"), F.min(F.struct("h", "size", "wide")).alias("_m"))
     nodes = stored(node.select("node", "_least", "_m.h", "_m.size", "_m.wide"), "copies-nodes")
     candidates, large = key_matches(shared_keys(nodes))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and bits leave open, with ``apart``."""
-        side = lambda end: nodes.select(F.col("node").alias(end), F.col("wide").alias(f"w{end}"), F.col("size").alias(f"n{end}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        both = both.filter(F.least("na", "nb") >= similar * F.greatest("na", "nb"))
-        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        return both.select(*pairs.columns, apart.alias("apart")).filter(F.col("apart") <= NEAR_BITS)
-
-    def unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """``pairs`` of different roots, with these as ``low`` and ``high``."""
-        root = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-        both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        both = both.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).filter("ra <> rb")
-        return both.select("a", "b", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "apart")
-
-    first = stored(near(candidates), "copies-near")
+    first = stored(near_pairs(stored(candidates, "copies-candidates"), nodes, similar), "copies-near")
     ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(large.select("node"))
-    asked = stored(nodes.select("node", "h").join(ends.distinct(), "node"), "copies-asked")
-    texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("node", "t").dropDuplicates(["node"])
+    asked = stored(nodes.select("node", "h", "wide").join(ends.distinct(), "node"), "copies-asked")
+    texts = pick(docs, t=text).withColumn("h", F.xxhash64("t")).join(asked, "h").select("node", "wide", "t").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, shingle), "copies-sets")
 
-    # members of what sure pairs connect against one of them, one pair of each two groups, then whatever is still apart
-    stars = components(first.filter(F.col("apart") <= SURE_BITS)).filter("node <> root")
-    stars = stored(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), "copies-stars")
-    links = stored(similar_pairs(stars, sets, similar), "copies-links")
-    # both ends of a sure pair are linked to one text now, unless one of them is unlike it
-    unlike = stored(stars.join(links, ["a", "b"], "left_anti").select("b"), "copies-unlike")
-    sure = F.col("apart") <= SURE_BITS
-    doubted = [first.filter(sure).join(unlike.select(F.col("b").alias(end)), end, "left_semi").select(first.columns) for end in "ab"]
-    labels = components(links)
-    # links only grow, so what is joined here stays out below
-    rest = stored(unjoined(first.filter(~sure).union(doubted[0]).union(doubted[1]), labels), "copies-rest")
-    more = near(unjoined_pairs(large, labels, nearest=True))
-    nearest = rest.unionByName(more).join(stars, ["a", "b"], "left_anti").groupBy("low", "high").agg(F.min(F.struct("apart", "a", "b")).alias("_p"))
-    tried = stored(nearest.select("_p.a", "_p.b"), "copies-tried")
-    links = stored(links.union(similar_pairs(tried, sets, similar)), "copies-links")
-    labels = components(links)
-    done = stored(tried.union(stars), "copies-done")
-    untried = lambda pairs: pairs.join(done, ["a", "b"], "left_anti")
-    last = unjoined(untried(rest).select("a", "b", "apart"), labels).unionByName(near(untried(unjoined_pairs(large, labels, nearest=False))))
-    open_ = stored(last.select("a", "b").distinct(), "copies-open")
-    links = stored(links.union(similar_pairs(open_, sets, similar)), "copies-links")
+    links = stored(similar_pairs(first, sets, similar), "copies-links")
+    # of large keys a nearest pair of each two groups, then whatever is still apart
+    for nearest in (True, False):
+        more = stored(unjoined_pairs(large, components(links), nearest).select("a", "b").distinct(), "copies-open")
+        links = stored(links.union(similar_pairs(more, sets, similar)), "copies-links")
 
     roots = components(links)
     classes = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

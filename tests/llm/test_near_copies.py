@@ -97,3 +97,24 @@ def test_edges(spark, documents):
     got = {(r.doc_id, r.component_id) for r in simhash.near_copies(documents(rows)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (6, 6), (None, None)}
     assert simhash.near_copies(documents([(1, "a")]).limit(0)).count() == 0
+
+
+def test_pairs_meet_their_texts_in_cells(spark, monkeypatch):
+    """A family of pairs without links repeats no text for each pair, and none of its links is lost."""
+    monkeypatch.setattr(simhash, "PARTS", 3, raising=False)
+    rng = random.Random(21)
+    base = prose(rng, 300)
+    texts = [" ".join([*base[: 300 - n], *prose(rng, n)]) for n in [40] * 60 + [5] * 30]
+    wide = [[int(w) for w in simhash.wide_fingerprint(t).view(np.int64)] for t in texts]
+    rows = spark.createDataFrame(list(zip(range(90), wide, texts, strict=True)), "node long, wide array<long>, t string")
+    pairs = spark.createDataFrame([(a, b) for a in range(90) for b in range(a + 1, 90)], "a long, b long")
+    found = simhash.similar_pairs(pairs, simhash.shingle_sets(rows, 5), 0.8)
+    got = [(r.a, r.b) for r in found.collect()]
+    near = np.bitwise_count(np.array(wide).view(np.uint64)[:, None] ^ np.array(wide).view(np.uint64)).sum(axis=2) <= simhash.NEAR_BITS
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if near[a, b] and jaccard(texts[a], texts[b]) >= 0.8}
+    assert set(got) <= want and len(got) < len(want)
+    root = list(range(90))
+    for a, b in got:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert all(root[a] == root[b] for a, b in want)
+    assert "Join [a#" not in found._jdf.queryExecution().toString()
