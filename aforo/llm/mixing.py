@@ -20,12 +20,15 @@ documents are taken as often as any. Empty table: no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforo.llm.common import WORD, packed, pick, stored
+from aforo.session import ROWS_PER_TASK
 
 BUCKETS = 4096
 LEAST_QUALITY = 1e-3
@@ -66,8 +69,11 @@ def fitted_quality(
     # measured before the join, so that no text is shuffled
     measured = texts.select(F.col("id").cast("long").alias("key"), *[c.alias(n) for n, c in zip(names, quality_features(F.col("t")), strict=True)])
     rows = stored(measured.join(marks.filter("label IN (0, 1)"), "key").select("label", *names), "mixing-labelled")
-    if rows.select("label").distinct().count() < 2:
+    counts = [r["count"] for r in rows.groupBy("label").count().collect()]
+    if len(counts) < 2:
         return text_quality(F.col("_t"))
+    # a pass has a task for each ROWS_PER_TASK rows, not for each file of the wide rows that made them
+    rows = rows.coalesce(math.ceil(sum(counts) / ROWS_PER_TASK))
     model = LogisticRegression(regParam=QUALITY_DECAY, maxIter=50).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     score = F.lit(round(float(model.intercept), 4))
     for weight, feature in zip(model.coefficients.toArray(), quality_features(F.col("_t")), strict=True):
