@@ -62,6 +62,7 @@ COPY_SHINGLE = 5
 WIDE = 8
 KEY_WORDS = (1, 2, 3, 4, 5)
 SIMILAR = 0.8
+#: Pairs at most ``SURE_BITS`` apart look sure, but are verified like all others (only tests use it).
 SURE_BITS, NEAR_BITS = 60, 104
 #: Of the 64 bits at hand with a key, so many may differ in a candidate (unrelated texts: 32).
 FIRST_BITS = 20
