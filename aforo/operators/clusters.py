@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+import pyarrow as pa
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -26,6 +28,14 @@ N_INIT = 10
 MAX_ITER = 300
 TOLERANCE = 1e-4
 PARALLEL_FITS = 8
+#: Tasks for each core that fits side by side may keep waiting; each fit holds a copy of the vectors.
+WAITING_TASKS = 8
+#: Distances and points that a step of many fits holds at once.
+DISTANCES, POINTS = 1 << 19, 2048
+#: Starting centres lie far from zero if their mean is so many times their range.
+FAR = 100.0
+#: Bytes of points that one task of a step reads.
+TASK_BYTES = 64 << 20
 
 
 def scaled_vectors(df: DataFrame, features: Sequence[str], scales=None) -> DataFrame:
@@ -52,9 +62,9 @@ def kmeans(
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def _in_parallel(task, arguments, df: DataFrame) -> list:
+def _in_parallel(task, arguments, df: DataFrame, at_once: int = PARALLEL_FITS) -> list:
     """Independent fits submitted side by side, so that small jobs fill the cluster."""
-    pool = ThreadPool(min(PARALLEL_FITS, len(arguments)))
+    pool = ThreadPool(min(at_once, len(arguments)))
     try:
         return pool.map(inheritable_thread_target(df.sparkSession)(task), arguments)
     finally:
@@ -138,24 +148,170 @@ def best_k_search(
     try:
         n = rows.count()
         ks = [k for k in range(k_min, k_max + 1) if k < n]
-        fits = _in_parallel(
-            lambda a: KMeans(
-                k=a[0], seed=a[1], maxIter=MAX_ITER, tol=tol, featuresCol="zvec", predictionCol="cluster"
-            ).fit(rows),
-            [(k, seed + i) for k in ks for i in range(n_init)],
-            rows,
-        )
-        scores = []
-        for k in ks:
-            best = min((m for m in fits if m.getK() == k), key=lambda m: m.summary.trainingCost)
+        starts = starting_centres(rows, [(k, seed + i) for k in ks for i in range(n_init)])
+        fits = fit_together(rows, starts, MAX_ITER, tol)
+        best = [min(fits[i * n_init : (i + 1) * n_init], key=lambda fit: fit[1])[0] for i in range(len(ks))]
+        labelled = _labelled(rows, best).persist()
+        try:
             # equal points can leave fewer centres than asked for, at worst one
-            score = silhouette(best.transform(rows)) if len(best.clusterCenters()) > 1 else 0.0
-            scores.append((k, score, n))
+            values = _in_parallel(
+                lambda i: silhouette(labelled, label=f"cluster_{i}") if len(best[i]) > 1 else 0.0, range(len(ks)), rows
+            )
+        finally:
+            labelled.unpersist()
     finally:
         rows.unpersist()
+    scores = [(k, value, n) for k, value in zip(ks, values)]
     return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double, n long")
 
 
+def starting_centres(rows: DataFrame, fits: Sequence[tuple[int, int]]) -> list[list[np.ndarray]]:
+    """MLlib's k-means|| centres for pairs of k and seed; ``rows`` are persisted.
+
+    MLlib decodes rows that are persisted themselves in each of its passes. A projection of them
+    it keeps decoded, so only as many fits run at once as fill the cores. ``solver`` is the one of
+    persisted rows.
+    """
+    bare = rows.select("zvec")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    at_once = min(PARALLEL_FITS, max(1, WAITING_TASKS * cores // bare.rdd.getNumPartitions()))
+
+    def start(fit: tuple[int, int]) -> list[np.ndarray]:
+        means = KMeans(k=fit[0], seed=fit[1], maxIter=0, solver="row", featuresCol="zvec", predictionCol="cluster")
+        return means.fit(bare).clusterCenters()
+
+    return _in_parallel(start, fits, rows, at_once)
+
+
+def fit_together(
+    rows: DataFrame, starts: Sequence[Sequence[np.ndarray]], max_iter: int = MAX_ITER, tol: float = TOLERANCE
+) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of k-means from many sets of starting centres; a pass over ``rows`` is a step of all fits.
+
+    Each fit does what MLlib does: a row goes to its nearest centre, the first one on ties, a
+    centre without rows stays, and the fit ends when no centre moves by more than ``tol``. Its
+    cost is that of the last assignment.
+    """
+    first = np.vstack([np.asarray(c) for c in starts])
+    # squares of values far from zero would lose the digits that tell centres apart
+    far = np.abs(first.mean(axis=0)) > FAR * np.ptp(first, axis=0)
+    origin = np.where(far, first.mean(axis=0), 0.0)
+    points = _matrices(rows, origin).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        offset = points.map(lambda m: float((m[:-1] ** 2).sum())).sum()
+        centres = [np.asarray(c) - origin for c in starts]
+        costs = [0.0] * len(centres)
+        # fits of equally many centres lie side by side
+        moving = sorted(range(len(centres)), key=lambda i: len(centres[i]))
+        for _ in range(max_iter):
+            if not moving:
+                break
+            parts = points.mapPartitions(_nearest_sums([centres[i] for i in moving])).collect()
+            sums, cost = sum(p[0] for p in parts), sum(p[1] for p in parts)
+            still, at = [], 0
+            for i, c in zip(moving, cost):
+                old = centres[i]
+                own = sums[at : at + len(old)]
+                at += len(old)
+                count = own[:, -1:]
+                centres[i] = np.where(count > 0, own[:, :-1] / np.maximum(count, 1), old)
+                costs[i] = float(c) + offset
+                if (((centres[i] - old) ** 2).sum(axis=1) > tol * tol).any():
+                    still.append(i)
+            moving = still
+    finally:
+        points.unpersist()
+    return [(c + origin, cost) for c, cost in zip(centres, costs)]
+
+
+def _matrices(rows: DataFrame, origin: np.ndarray) -> RDD:
+    """The vectors less ``origin`` as columns of matrices, with a last row of ones.
+
+    A task of Python costs some 0.1 s whatever it does, so tasks are as many as cores, or a
+    multiple of that where they would read more than ``TASK_BYTES``.
+    """
+    height = len(origin) + 1
+    width = max(1, min(POINTS, DISTANCES // height))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - origin
+            for start in range(0, len(x), width):
+                part = x[start : start + width]
+                matrix = np.vstack([part.T, np.ones(len(part))])
+                yield pa.RecordBatch.from_pydict({"m": pa.array([matrix.tobytes()], pa.binary())})
+
+    packed = rows.select(vector_to_array("zvec").alias("x")).mapInArrow(pack, "m binary")
+    tasks, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    if tasks > cores:
+        tasks = cores * max(1, math.ceil(rows.count() * height * 8 / (cores * TASK_BYTES)))
+        packed = packed.repartition(tasks)
+    return packed.rdd.map(lambda r: np.frombuffer(r["m"]).reshape(height, -1))
+
+
+def _nearest_sums(centres: Sequence[np.ndarray]) -> Callable[[Iterator[np.ndarray]], Iterator[tuple]]:
+    """For the matrices of a task: sum and number of the points nearest to each centre, and each fit's cost.
+
+    The cost lacks the points' own squares. Fits come in order of their numbers of centres.
+    """
+    flat = np.vstack(centres)
+    squares = (flat**2).sum(axis=1)
+    groups = []  # rows of distances, their fits, centres of each
+    at = 0
+    for i, c in enumerate(centres):
+        first = np.unique(c, axis=0, return_index=True)[1]
+        repeated = np.setdiff1d(np.arange(len(c)), first)
+        squares[at + repeated] = np.inf  # the first of equal centres takes the rows
+        if groups and groups[-1][2] == len(c):
+            groups[-1] = (slice(groups[-1][0].start, at + len(c)), slice(groups[-1][1].start, i + 1), len(c))
+        else:
+            groups.append((slice(at, at + len(c)), slice(i, i + 1), len(c)))
+        at += len(c)
+    weights = np.column_stack([-2 * flat, squares])
+    n_fits, width = len(centres), min(POINTS, max(64, DISTANCES // len(flat)))
+
+    def run(matrices: Iterator[np.ndarray]) -> Iterator[tuple]:
+        sums, cost = np.zeros(weights.shape), np.zeros(n_fits)
+        for matrix in matrices:
+            for start in range(0, matrix.shape[1], width):
+                x = matrix[:, start : start + width]
+                for lines, fits, k in groups:
+                    d = (weights[lines] @ x).reshape(-1, k, x.shape[1])
+                    least = d.min(axis=1)
+                    cost[fits] += least.sum(axis=1)
+                    hit = d == least[:, None]
+                    own = hit.reshape(-1, x.shape[1]).astype(float) @ x.T
+                    counts = own[:, -1].reshape(-1, k).sum(axis=1)
+                    for f in np.flatnonzero(counts > x.shape[1]):  # ties go to the first centre
+                        own[f * k : (f + 1) * k] = (hit[f].argmax(axis=0) == np.arange(k)[:, None]).astype(float) @ x.T
+                    sums[lines] += own
+        yield sums, cost
+
+    return run
+
+
+def _labelled(rows: DataFrame, models: Sequence[np.ndarray]) -> DataFrame:
+    """The vectors with the nearest centre of each model in ``cluster_0``, ``cluster_1``, ..."""
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return pd.Series([], dtype=object)
+        x = np.vstack(vectors.to_numpy())
+        out = []
+        for centres in models:
+            label, least = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.inf)
+            for i, c in enumerate(centres):
+                d = ((x - c) ** 2).sum(axis=1)
+                label[d < least] = i
+                least = np.minimum(least, d)
+            out.append(label)
+        return pd.Series(list(np.stack(out, axis=1)))
+
+    wide = rows.select("zvec", nearest(vector_to_array("zvec")).alias("_labels"))
+    return wide.select("zvec", *[F.col("_labels")[i].alias(f"cluster_{i}") for i in range(len(models))])
+
+
 def silhouette_by_k(df: DataFrame, columns: Sequence[str], centroids: dict[int, Sequence[Sequence[float]]]) -> DataFrame:
     """Silhouette over all rows of given centres, per number of clusters."""
     rows = VectorAssembler(inputCols=list(columns), outputCol="zvec").transform(df).persist()
