@@ -31,7 +31,7 @@ PARALLEL_FITS = 8
 #: Tasks for each core that fits side by side may keep waiting; each fit holds a copy of the vectors.
 WAITING_TASKS = 8
 #: Distances and points that a step of many fits holds at once.
-DISTANCES, POINTS = 1 << 19, 2048
+DISTANCES, POINTS = 1 << 19, 1024
 #: Starting centres lie far from zero if their mean is so many times their range.
 FAR = 100.0
 #: Bytes of points that one task of a step reads.
